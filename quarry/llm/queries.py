@@ -1,0 +1,24 @@
+"""The pN_ queries of this subpackage, by name."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarry.llm import census, forms, rankmix, ridf
+from quarry.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "p1_found": lambda s, d: ridf.distinctive_found(table(s, d, "docs")),
+        "p1_scores": lambda s, d: ridf.distinctive_terms(table(s, d, "docs")),
+        "p2_found": lambda s, d: census.marked_found(table(s, d, "docs")),
+        "p2_census": lambda s, d: census.marked_terms(table(s, d, "docs")),
+        "p5_found": lambda s, d: rankmix.head_of_all_lists(table(s, d, "hits")),
+        "p5_order": lambda s, d: rankmix.fused_order(table(s, d, "hits")),
+        "p6_found": lambda s, d: forms.same_looking_pairs(table(s, d, "docs")),
+    }
