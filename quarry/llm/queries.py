@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import census, forms, rankmix, ridf
+from quarry.llm import bpe, census, forms, mixture, rankmix, ridf
 from quarry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,4 +21,9 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: rankmix.head_of_all_lists(table(s, d, "hits")),
         "p5_order": lambda s, d: rankmix.fused_order(table(s, d, "hits")),
         "p6_found": lambda s, d: forms.same_looking_pairs(table(s, d, "docs")),
+        "p7_ids": lambda s, d: bpe.token_ids(table(s, d, "documents")),
+        "p7_round_trip": lambda s, d: bpe.round_trip(table(s, d, "documents")),
+        "p8_found": lambda s, d: mixture.unreachable(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_report": lambda s, d: mixture.mixture_report(table(s, d, "documents"), table(s, d, "mix_targets")),
     }
