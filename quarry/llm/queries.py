@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, census, forms, mixture, rankmix, ridf
+from quarry.llm import bpe, census, forms, mixture, rankmix, ridf, spans
 from quarry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,4 +26,7 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda s, d: mixture.unreachable(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_report": lambda s, d: mixture.mixture_report(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: spans.shared_pairs(table(s, d, "documents")),
+        "p9_spans": lambda s, d: spans.shared_spans(table(s, d, "documents")),
+        "p9_report": lambda s, d: spans.shared_report(table(s, d, "documents")),
     }
