@@ -17,6 +17,24 @@ SELECT p.qid, p.doc_id FROM placed p JOIN lists l ON p.qid = l.qid
 WHERE p.place <= 10 GROUP BY p.qid, p.doc_id, l.n HAVING count(*) = l.n
 """
 
+P3_FOUND = """
+WITH cur AS (
+  SELECT doc_id, text, length(text) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY updated DESC NULLS LAST, doc_ord DESC NULLS LAST) AS r FROM docs WHERE doc_id IS NOT NULL)
+  WHERE r = 1 AND text IS NOT NULL),
+pieces AS (
+  SELECT *, try_cast(regexp_extract(chunk_id, '[^#]*$') AS BIGINT) AS ordinal
+  FROM (SELECT DISTINCT chunk_id, doc_id, "start" AS s, "end" AS e FROM chunks)),
+placed AS (
+  SELECT *, lag(e) OVER w AS before, row_number() OVER w AS k FROM pieces
+  WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal NULLS FIRST, s, e, chunk_id))
+SELECT chunk_id FROM placed p LEFT JOIN cur c ON p.doc_id = c.doc_id
+WHERE s IS NULL OR e IS NULL OR s < 0 OR e <= s OR e > n OR e - s > 1200
+   OR (k > 1 AND coalesce(before - s, -1) NOT BETWEEN 80 AND 160)
+   OR (e > 0 AND e < n AND regexp_full_match(substring(text, e, 2), '[\\p{L}\\p{N}]{2}')
+       AND regexp_matches(substring(text, s + (e - s + 1) // 2 + 1, e - (s + (e - s + 1) // 2)), '[ \\t\\r\\n]'))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND}
+    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND}

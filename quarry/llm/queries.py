@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, census, forms, mixture, pathjoin, rankmix, ridf, spans
+from quarry.llm import bpe, census, forms, mixture, pathjoin, rankmix, ridf, spans, splitter
 from quarry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,9 @@ def queries() -> dict[str, Query]:
         "p1_scores": lambda s, d: ridf.distinctive_terms(table(s, d, "docs")),
         "p2_found": lambda s, d: census.marked_found(table(s, d, "docs")),
         "p2_census": lambda s, d: census.marked_terms(table(s, d, "docs")),
+        "p3_found": lambda s, d: splitter.faulty_pieces(table(s, d, "docs"), table(s, d, "chunks")),
+        "p3_pieces": lambda s, d: splitter.split_records(table(s, d, "docs")),
+        "p3_audit": lambda s, d: splitter.audit_pieces(table(s, d, "docs"), splitter.as_chunks(splitter.split_records(table(s, d, "docs")))).where("bad_range or too_long or bad_overlap or torn_word"),
         "p4_found": lambda s, d: pathjoin.near_duplicate_pairs(table(s, d, "docs")),
         "p4_groups": lambda s, d: pathjoin.near_duplicate_groups(table(s, d, "docs")),
         "p5_found": lambda s, d: rankmix.head_of_all_lists(table(s, d, "hits")),
