@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Windows that are looked up in one piece of a pattern.
+PIECE = 480
+
 
 class WaveletMatrix:
     """Rank of a symbol in a prefix of a sequence."""
@@ -146,7 +149,10 @@ class FMIndex:
         interval). At ``limit`` characters the match is kept at that length.
         """
         limit, top = self.limit, self.n
-        coded = [self.encode(p) for p in patterns]
+        # long patterns are read in pieces that share limit - 1 characters, so that all end at about the same step
+        pieces = [(k, s) for k, p in enumerate(patterns) for s in range(0, max(1, len(p) - limit + 1), PIECE)]
+        whole = [self.encode(p) for p in patterns]
+        coded = [whole[k][s : s + PIECE + limit - 1] for k, s in pieces]
         offset = np.concatenate([[0], np.cumsum([len(c) for c in coded])[:-1]]).astype(np.int64)
         flat = np.concatenate(coded) if coded else np.zeros(0, np.int64)
         at = np.array([len(c) for c in coded], np.int64)  # characters not read yet
@@ -192,7 +198,9 @@ class FMIndex:
         if not out:
             empty = np.zeros(0, np.int64)
             return empty, empty, empty
-        return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+        piece, start, run = (np.concatenate(x) for x in zip(*out))
+        origin = np.array(pieces, np.int64)
+        return origin[piece, 0], start + origin[piece, 1], run
 
 
 def _nearest_smaller(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

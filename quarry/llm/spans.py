@@ -34,17 +34,25 @@ GRAM = 96
 INDEX_CHARS = 1_000_000
 #: Regions of an anchor from which they are split by the text beside the anchor.
 HOT_REGIONS = 1000
-#: Characters of a text hashed at a time; below 2 ** 16, so that a place fits the low bits.
+#: Characters hashed at a time; below 2 ** 16, so that a place fits the low bits.
 _SEGMENT = 48_000
 
 
-@lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    base = 0x9E3779B97F4A7C15
-    up, down = (np.full(1 << 16, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_powers_made: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Longest text whose links are hashed; anchors of longer ones count as unlinked.
+_LINK_CHARS = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1, at least, of an odd number and of its inverse modulo 2 ** 64."""
+    if len(_powers_made[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        base = 0x9E3779B97F4A7C15
+        for k, x in enumerate((base, pow(base, -1, 1 << 64))):
+            made = np.full(size, x, np.uint64)
+            made[0] = 1
+            _powers_made[k] = np.cumprod(made, dtype=np.uint64)
+    return _powers_made[0], _powers_made[1]
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
@@ -57,6 +65,18 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _plane() -> np.ndarray:
+    return _scatter(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+
+
+def _values(text: np.ndarray) -> np.ndarray:
+    """A random number for each character."""
+    if len(text) and text.max() >= 1 << 16:
+        return _scatter(text.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return _plane()[text]
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     step, out = 1, x
     while 2 * step <= width:
@@ -66,57 +86,84 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:rest], out[width - step : width - step + rest]) if step < width else out
 
 
-def anchors(text: np.ndarray, span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first place, last place, link): anchors in the order of the text.
-    Repetitions of one anchor with none between are one, from first to last.
-    link is a hash of the text from the anchor before to the end of this one;
-    -1 for the first."""
-    up, down = _powers()
-    width = span - gram + 1
-    n = len(text)
-    values = _scatter(text.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    places, hashes = [], []
-    for begin in range(0, max(1, n - span + 1), _SEGMENT):
-        part = values[begin : begin + _SEGMENT + span - 1]
-        m = len(part)
-        sums = np.zeros(m + 1, np.uint64)
-        np.cumsum(part * up[:m], out=sums[1:], dtype=np.uint64)
-        grams = _scatter((sums[gram:] - sums[:-gram]) * down[: m - gram + 1])
-        low = np.uint64(0xFFFF)
-        # of equal hashes in a window the last place is taken
-        packed = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
-        least = _sliding_min(packed, width)
-        at = (low - (least[np.flatnonzero(np.append(True, least[1:] != least[:-1]))] & low)).astype(np.int64)
-        at = np.unique(at)
-        places.append(at + begin)
-        hashes.append(grams[at])
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    hash_ = np.concatenate(hashes)[first].astype(np.int64)
-    new = np.flatnonzero(np.append(True, hash_[1:] != hash_[:-1]))
-    start, end = place[new], place[np.append(new[1:], len(place)) - 1]
+_LOW = np.uint64(0xFFFF)
+
+
+def _places(sums: np.ndarray, begin: int, end: int, span: int, gram: int, text_of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors of the windows within [begin, end), at most 2 ** 16 grams.
+    text_of: number of the text at each place; windows over a border are none."""
+    down = _powers(end)[1]
+    grams = (sums[begin + gram : end + 1] - sums[begin : end + 1 - gram]) * down[begin : end + 1 - gram]
+    grams ^= grams >> np.uint64(32)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(29)
+    # of equal hashes in a window the last place is taken
+    packed = (grams & ~_LOW) | (_LOW - np.arange(len(grams), dtype=np.uint64))
+    least = _sliding_min(packed, span - gram + 1)
+    if text_of is not None:
+        least = least[text_of[begin : end - span + 1] == text_of[begin + span - 1 : end]]
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    at = np.unique((_LOW - (least[np.append(0, change)] & _LOW)).astype(np.int64))
+    return at + begin, grams[at].view(np.int64)
+
+
+def anchors(texts: list[np.ndarray], span: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's number, hash, first place, last place, link): anchors of texts
+    of ``span`` characters or more, in order. Repetitions of one anchor with
+    none between are one, from first to last. link is a hash of the text from
+    the anchor before to the end of this one, -1 for the first of a text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    joined = np.concatenate(texts)
+    n = len(joined)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_values(joined) * up[:n], out=sums[1:], dtype=np.uint64)
+    own = np.repeat(np.arange(len(texts)), sizes) if len(texts) > 1 else None
+    found = [_places(sums, b, min(n, b + _SEGMENT + span - 1), span, gram, own) for b in range(0, max(1, n - span + 1), _SEGMENT)]
+    place, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+    hash_ = np.concatenate([f[1] for f in found])[first]
+    text = own[place] if own is not None else np.zeros(len(place), np.int64)
+    if not len(place):
+        return text, hash_, place, place, hash_
+    new = np.flatnonzero(np.append(True, (hash_[1:] != hash_[:-1]) | (text[1:] != text[:-1])))
+    start, end, text = place[new], place[np.append(new[1:], len(place)) - 1], text[new]
     link = np.full(len(new), -1, np.int64)
-    if len(new) > 1:
-        # differences of one running hash over the whole text, taken back to a common power
-        exp = np.cumprod(np.append(np.uint64(1), np.full(n, up[1])), dtype=np.uint64)
-        inv = np.cumprod(np.append(np.uint64(1), np.full(n, down[1])), dtype=np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * exp[:n], out=sums[1:], dtype=np.uint64)
-        a, b = start[:-1], end[1:] + gram
-        link[1:] = (_scatter((sums[b] - sums[a]) * inv[a] + (b - a).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    return hash_[new], start, end, link
+    if n <= _LINK_CHARS:
+        follow = np.flatnonzero(text[1:] == text[:-1]) + 1
+        a, b = start[follow - 1], end[follow] + gram
+        link[follow] = (_scatter((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)) >> np.uint64(1)).view(np.int64)
+    offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])[text]
+    return text, hash_[new], start - offset, end - offset, link
+
+
+def _packs(texts: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(number of the first, texts): short texts together, so that numpy's cost for a call is shared."""
+    pack: list[np.ndarray] = []
+    size = first = 0
+    for k, t in enumerate(texts):
+        if pack and size + len(t) > _SEGMENT:
+            yield first, pack
+            pack, size, first = [], 0, k
+        pack.append(t)
+        size += len(t)
+    if pack:
+        yield first, pack
 
 
 def _anchor_rows(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = anchors(_points(text), span)
-                for column, x in zip(columns, (*found, np.full(len(found[0]), doc_id, np.int64))):
+            for first, pack in _packs([_points(t) for t in batch.column(1).to_pylist()]):
+                text, *found = anchors(pack, span)
+                for column, x in zip(columns, (ids[text + first], *found)):
                     column.append(x)
             if columns[0]:
-                h, start, end, link, doc = (np.concatenate(c) for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(link)], ["anchor", "doc_id", "first", "last", "link"])
+                doc, h, start, end, link = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(link)], ["anchor", "doc_id", "first", "last", "link"])
 
     return run
 
@@ -303,11 +350,12 @@ def text_classes(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]
 
 def _regions(texts: DataFrame, span: int) -> DataFrame:
     """(key, doc_id, start, region): rows of one key are to meet."""
+    # both uses of the rows take all their columns, so that one shuffle serves both
     rows = texts.mapInArrow(_anchor_rows(span), "anchor bigint, doc_id bigint, first int, last int, link bigint").repartition("anchor")
     shared = rows.groupBy("anchor").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), (F.min("link") == F.max("link")).alias("same"), F.min("link").alias("link")
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), ((F.min("link") == F.max("link")) & (F.min(F.col("last") - F.col("first")) == F.max(F.col("last") - F.col("first")))).alias("same"), F.min("link").alias("link")
     ).where("a <> b").select("anchor", (F.col("same") & (F.col("link") >= 0)).alias("linked"), (F.col("n") > HOT_REGIONS).alias("hot"))
-    marks = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "linked", "hot")).alias("marks"))
+    marks = rows.alias("rows").join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", F.col("rows.link").alias("link"), "linked", "hot")).alias("marks"))
     return texts.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_region_rows(span), "key bigint, doc_id bigint, start int, region string")
 
 
