@@ -350,12 +350,12 @@ def text_classes(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]
 
 def _regions(texts: DataFrame, span: int) -> DataFrame:
     """(key, doc_id, start, region): rows of one key are to meet."""
-    # both uses of the rows take all their columns, so that one shuffle serves both
-    rows = texts.mapInArrow(_anchor_rows(span), "anchor bigint, doc_id bigint, first int, last int, link bigint").repartition("anchor")
-    shared = rows.groupBy("anchor").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), ((F.min("link") == F.max("link")) & (F.min(F.col("last") - F.col("first")) == F.max(F.col("last") - F.col("first")))).alias("same"), F.min("link").alias("link")
-    ).where("a <> b").select("anchor", (F.col("same") & (F.col("link") >= 0)).alias("linked"), (F.col("n") > HOT_REGIONS).alias("hot"))
-    marks = rows.alias("rows").join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", F.col("rows.link").alias("link"), "linked", "hot")).alias("marks"))
+    rows = texts.mapInArrow(_anchor_rows(span), "anchor bigint, doc_id bigint, first int, last int, link bigint")
+    # one shuffle: an anchor's statistics return to its rows in place
+    group = Window.partitionBy("anchor")
+    same = (F.min("link").over(group) == F.max("link").over(group)) & (F.min("link").over(group) >= 0)
+    shared = rows.withColumn("linked", same).withColumn("hot", F.count("*").over(group) > HOT_REGIONS).withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
+    marks = shared.where("least <> most").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "linked", "hot")).alias("marks"))
     return texts.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_region_rows(span), "key bigint, doc_id bigint, start int, region string")
 
 
