@@ -24,6 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ DEPTH = 8
 RUN_RECALL = 0.5
 #: Rows whose tokens are expanded at a time.
 _SLICE = 400
-SKETCH_WORDS = 2
+SKETCH_WORDS = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,14 +80,17 @@ class Shingler:
         return np.unique(h)
 
 
+_SKETCH_SEEDS = _mix(np.arange(1, 64 * SKETCH_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Bits of which two sets agree in about (1 + J) / 2: for each bit, the last bit of the least hash over the set."""
-    bits = 64 * SKETCH_WORDS
-    out = np.empty(bits, np.uint8)
-    seeds = _mix(np.arange(1, bits + 1, dtype=np.uint64))
-    for k in range(0, bits, 32):
-        out[k : k + 32] = (_mix(tokens[None, :] ^ seeds[k : k + 32, None]).min(axis=1) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(out, bitorder="little").view(np.uint64)
+    """Bits of which two sets agree in about (1 + J) / 2: for each bit, a bit
+    of the least value over the set. Tokens are hashes, so multiplying by an
+    odd number orders them anew."""
+    least = np.empty(64 * SKETCH_WORDS, np.uint64)
+    for k in range(0, len(least), 32):
+        least[k : k + 32] = (tokens[None, :] * _SKETCH_SEEDS[k : k + 32, None]).min(axis=1)
+    return np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def _children(values: np.ndarray, row: np.ndarray, chance: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,40 +206,52 @@ def _split_paths(sets: DataFrame, threshold: float, runs: int, bucket: int) -> l
 
 
 def _bucket_pairs(threshold: float):
-    """Pairs of a node whose sketches and sizes allow the threshold."""
+    """Pairs of a node whose sketches and sizes allow the threshold. Rows come
+    ordered by path; whole nodes are compared, row i with row i + d for d = 1,
+    2, ..., in all nodes at a time."""
     bits = 64 * SKETCH_WORDS
-    # agreeing bits of a pair at the threshold: mean less five deviations
+    # agreeing bits of a pair just at the threshold: mean less four deviations
     p = (1 + threshold) / 2
-    most_apart = bits - math.floor(bits * p - 5 * math.sqrt(bits * p * (1 - p)))
+    most_apart = bits - math.floor(bits * p - 4 * math.sqrt(bits * p * (1 - p)))
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        path = rows.column("path").to_numpy()
+        lone = np.append(True, path[1:] != path[:-1]) & np.append(path[1:] != path[:-1], True)
+        rows = rows.filter(pa.array(~lone))
+        path, n = rows.column("path").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
+        rep = rows.column("rep").combine_chunks()
+        marks = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(path), SKETCH_WORDS)
+        live, d = np.arange(len(path)), 1
+        while len(live := live[live + d < len(path)]) and len(live := live[path[live] == path[live + d]]):
+            other = live + d
+            near = np.minimum(n[live], n[other]) >= threshold * np.maximum(n[live], n[other]) - 1e-9
+            x, y = live[near], other[near]
+            apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            x, y = x[apart <= most_apart], y[apart <= most_apart]
+            if len(x):
+                a, b = rep.take(pa.array(x)), rep.take(pa.array(y))
+                swap = pc.greater(a, b)
+                one, two = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+                differ = pc.not_equal(one, two)
+                yield pa.RecordBatch.from_arrays([one.filter(differ), two.filter(differ)], ["a", "b"])
+            d += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, rows = None, []
-
-        def compare() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            rows.sort()
-            ids = np.array([r[0] for r in rows], object)
-            n = np.array([r[1] for r in rows], np.float64)
-            marks = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(len(rows), SKETCH_WORDS)
-            for i in range(0, len(rows), 512):
-                for j in range(i, len(rows), 4096):
-                    a, b = slice(i, i + 512), slice(j, j + 4096)
-                    apart = sum(np.bitwise_count(marks[a, None, w] ^ marks[None, b, w]).astype(np.int16) for w in range(SKETCH_WORDS))
-                    near = (apart <= most_apart) & (np.minimum(n[a, None], n[None, b]) >= threshold * np.maximum(n[a, None], n[None, b]) - 1e-9)
-                    x, y = np.nonzero(near)
-                    x, y = x + i, y + j
-                    keep = (x < y) & (ids[x] != ids[y])
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[x[keep]], pa.string()), pa.array(ids[y[keep]], pa.string())], ["a", "b"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for p_, rep, size, mark in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if p_ != path:
-                    yield from compare()
-                    path, rows = p_, []
-                rows.append((rep, size, mark))
-        yield from compare()
+            if not batch.num_rows:
+                continue
+            path = batch.column(0).to_numpy()
+            # the last node may go on in the next batch
+            whole = int(np.searchsorted(path, path[-1])) if path[0] != path[-1] else 0
+            if held and (whole or held[-1].column(0)[-1].as_py() != path[-1]):
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            elif whole:
+                yield from compare(pa.Table.from_batches([batch.slice(0, whole)]))
+            held.append(batch.slice(whole))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
 
     return run
 
