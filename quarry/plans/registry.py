@@ -5,13 +5,184 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.operators import chunking, crud, dense, evaluate, filters, fusion, lexical, search
+from quarry.plans import corpora as c
+from quarry.plans.oracles import FILTERS, SOURCE_WEIGHTS, WHERE, oracle_sql
+from quarry.session import staged
+from quarry.sources.tables import table
+
+__all__ = ["oracle_sql", "queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
+_SPAN = ["doc_id", "chunk_ord", "start", "end"]
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+def _staged_chunks(s: SparkSession, d: str) -> DataFrame:
+    return staged(c.chunks(s, d), "chunks")
+
+
+def _scores(s: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25_scores(_staged_chunks(s, d), c.queries(s, d))
+
+
+def _padded(s: SparkSession, d: str) -> DataFrame:
+    cut, q = _staged_chunks(s, d), c.queries(s, d)
+    best = staged(lexical.top(lexical.bm25_scores(cut, q), 100), "best")
+    return lexical.padded(best, cut, q, 100).select("qid", "slot", _r("score"), "rank")
+
+
+def _idf(s: SparkSession, d: str) -> DataFrame:
+    cut = _staged_chunks(s, d)
+    return lexical.terms_table(lexical.term_freq(cut), lexical.corpus_stats(cut)).select("term", "df", _r("idf"))
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    cut = _staged_chunks(s, d)
+    tf = lexical.term_freq(cut).agg(F.countDistinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
+    counts = c.docs(s, d).agg(F.count("*").alias("documents")).join(cut.agg(F.count("*").alias("chunks")))
+    return counts.join(tf)
+
+
+def _upsert(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "docs")
+    first = crud.latest(rows.withColumn("_order", -F.col("doc_ord")), "doc_id", "_order").drop("_order")
+    return crud.upsert(first, rows).select("doc_id", "doc_ord", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def _delete(s: SparkSession, d: str) -> DataFrame:
+    rows = c.docs(s, d)
+    return crud.delete(rows, rows.where(filters.compile_filter({"ano": {"$lt": 2005}})).select("doc_id")).select("doc_id", "doc_ord")
+
+
+def _update(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "docs")
+    first = crud.latest(rows.withColumn("_order", -F.col("doc_ord")), "doc_id", "_order").drop("_order")
+    last = crud.latest(rows)
+    merged = crud.update_metadata(first, last.select("doc_id", "meta"))
+    return merged.select("doc_id", *[F.get_json_object("meta", f"$.{f}").alias(f) for f in ("ano", "tipo", "uf", "tags")])
+
 
+def _leaderboard(s: SparkSession, d: str) -> DataFrame:
+    rows = fusion.counting_hits(table(s, d, "hits"))
+    best = rows.groupBy(F.col("source").alias("task"), "qid", "doc_id").agg(F.max("score").alias("score"))
+    ours = best.where("qid <= 'q00000004'").select("task", F.col("qid").alias("mode"), "score").groupBy("task", "mode").agg(F.max("score").alias("score"))
+    others = best.groupBy("task", F.col("qid").alias("model")).agg(F.max("score").alias("score"))
+    return evaluate.leaderboard(ours, others).select("task", _r("best"), "mode", _r("best_other"), _r("median"), "models", _r("below"))
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+def _searched(mode: str, where: dict | None = None) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = search.search(c.collection(s, d, vectors=mode != "lexical"), c.queries(s, d), 10, mode, where)
+        return found.select("qid", "rank", "doc_id", _r("score"), "chunk_id", "start", "end")
+
+    return run
+
+
+def _reranked(mode: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = search.rerank(c.collection(s, d, vectors=mode != "lexical"), c.queries(s, d), c.wanted(s, d), mode)
+        return found.select("qid", "doc_id", _r("score"), "rank")
+
+    return run
+
+
+def _unknown_last(s: SparkSession, d: str) -> DataFrame:
+    found = search.rerank(c.collection(s, d), c.queries(s, d), c.wanted(s, d), "lexical")
+    return found.groupBy("qid").agg(F.count_if(F.col("score").isNull()).alias("unknown"), F.min(F.when(F.col("score").isNull(), F.col("rank"))).alias("first_unknown"), F.max(F.when(F.col("score").isNotNull(), F.col("rank"))).alias("last_known"))
+
+
+def _filter(where: dict) -> Query:
+    return lambda s, d: filters.matching(c.docs(s, d), where).select("doc_id")
+
+
+def _measured(measure: Callable[..., DataFrame], k: int) -> Query:
+    return lambda s, d: measure(c.list_ranking(s, d, "lexical"), c.qrels(s, d), k).select("qid", _r("value"))
+
+
+def _chunked(mode: str) -> Query:
+    return lambda s, d: c.chunks(s, d, mode).select(_SPAN)
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    spans = table(s, d, "hits").select("doc_id", "start", "end").distinct()
+    return chunking.resolve(spans, c.docs(s, d)).select("doc_id", "start", "end", F.char_length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
+def _contract(s: SparkSession, d: str) -> DataFrame:
+    return chunking.contract_violations(c.chunks(s, d), c.docs(s, d), c.MAX_CHARS)
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {
+        # text
+        "canonicalize": lambda s, d: table(s, d, "docs").where("text is not null").select("doc_ord", F.md5(tx.canonicalize("text")).alias("text_md5"), F.char_length(tx.canonicalize("text")).alias("n")),
+        "tokenize": lambda s, d: c.docs(s, d).select("doc_id", F.posexplode(tx.tokens("text")).alias("pos", "term")),
+        "token_counts": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(tx.tokens("text")).alias("n_tokens"), F.size(F.array_distinct(tx.tokens("text"))).alias("n_terms")),
+        "strip_html": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.md5(tx.strip_html("text")).alias("text_md5"), F.char_length(tx.strip_html("text")).alias("n")),
+        "doc_char_cap": lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.char_length(tx.char_cap("text", 32000)).alias("n"), (F.char_length("text") > 32000).alias("cut")),
+        "hit_preview": lambda s, d: table(s, d, "chunks").where("text is not null").select("chunk_id", tx.preview("text").alias("preview")).distinct(),
+        # chunking
+        "chunk_document": _chunked("document"),
+        "chunk_hard_window": _chunked("hard"),
+        "chunk_paragraph": _chunked("paragraph"),
+        "chunk_window": _chunked("window"),
+        "chunk_structure": _chunked("structure"),
+        "chunk_contract": _contract,
+        "chunk_gaps": lambda s, d: chunking.gaps(c.chunks(s, d)),
+        "resolve_offsets": _resolved,
+        # index
+        "term_freq": lambda s, d: lexical.term_freq(c.chunks(s, d)),
+        "doc_freq": lambda s, d: lexical.doc_freq(lexical.term_freq(c.chunks(s, d))),
+        "corpus_stats": lambda s, d: lexical.corpus_stats(c.chunks(s, d)).select("n", _r("avgdl")),
+        "idf": _idf,
+        "bm25_postings": lambda s, d: lexical.postings(c.chunks(s, d), lexical.query_terms(c.queries(s, d))).select("term", "slot", "tf", "dl"),
+        "index_stats": _stats,
+        "join_chunks_docs": lambda s, d: table(s, d, "chunks").select("chunk_id", "doc_id", "start", "end").distinct().join(c.docs(s, d).select("doc_id", "doc_ord"), "doc_id"),
+        # lexical
+        "bm25_scores": lambda s, d: _scores(s, d).select("qid", "slot", _r("score")),
+        "bm25_topk": lambda s, d: lexical.top(_scores(s, d), 100).select("qid", "slot", _r("score"), "rank"),
+        "bm25_topk_padded": _padded,
+        "search_lexical": _searched("lexical"),
+        # dense
+        "l2_normalize": lambda s, d: c.vectors(s, d).select("vec_id", F.posexplode(dense.l2_normalize(F.transform("v", lambda x: x * F.lit(3.0)))).alias("i", "x")).select("vec_id", "i", _r("x")),
+        "dense_scores": lambda s, d: dense.scores(c.vectors(s, d), c.vector_queries(s, d), "vec_id").select("qid", "vec_id", _r("score")),
+        "dense_topk": lambda s, d: dense.topk(c.vectors(s, d), c.vector_queries(s, d), 10, "vec_id"),
+        "search_dense": _searched("dense"),
+        # fusion
+        "rrf_fuse": lambda s, d: fusion.rrf(c.lists(s, d, 100), "chunk_id").select("qid", "chunk_id", _r("score", 9)),
+        "rrf_weighted": lambda s, d: fusion.rrf(c.lists(s, d, 100), "chunk_id", 60, SOURCE_WEIGHTS).select("qid", "chunk_id", _r("score", 9)),
+        "doc_maxpool": lambda s, d: fusion.pool_documents(fusion.rrf(c.lists(s, d, 100), ["chunk_id", "doc_id"]), "chunk_id").select("qid", "doc_id", "chunk_id", _r("score")),
+        "search_hybrid": _searched("hybrid"),
+        "search_chunks": lambda s, d: search.search_chunks(c.collection(s, d, vectors=True), c.queries(s, d), 10).select("qid", "rank", "chunk_id", _r("score"), "start", "end"),
+        "retrieve_ranking": lambda s, d: search.retrieve_ranking(c.collection(s, d), c.queries(s, d), 100, "lexical"),
+        # rerank
+        "score_documents": lambda s, d: search.score_documents(c.collection(s, d), c.queries(s, d), c.wanted(s, d)).select("qid", "doc_id", _r("score")),
+        "rerank_lexical": _reranked("lexical"),
+        "rerank_dense": _reranked("dense"),
+        "rerank_hybrid": _reranked("hybrid"),
+        "rerank_unknown_last": _unknown_last,
+        "filtered_search": _searched("lexical", WHERE),
+        "json_filter": lambda s, d: table(s, d, "events").where(filters.compile_filter({"k": {"$gte": 50}}, "props")).select("event_id"),
+        # evaluation
+        "task_queries": lambda s, d: c.queries(s, d).join(c.qrels(s, d).select("qid").distinct(), "qid", "left_semi"),
+        "task_candidates": lambda s, d: c.wanted(s, d).join(c.queries(s, d), "qid", "left_semi").join(c.qrels(s, d).select("qid").distinct(), "qid", "left_semi"),
+        "eval_ndcg": _measured(evaluate.ndcg, 10),
+        "eval_recall": _measured(evaluate.recall, 100),
+        "eval_mrr": _measured(evaluate.mrr, 10),
+        "eval_map": _measured(evaluate.average_precision, 1000),
+        "eval_summary": lambda s, d: evaluate.evaluate(c.list_ranking(s, d, "lexical"), c.qrels(s, d)).select("metric", "queries", _r("value")),
+        "latency_percentiles": lambda s, d: evaluate.latency_percentiles(table(s, d, "events"), "event_type", "value").select("event_type", "n", _r("p50"), _r("p95")),
+        "leaderboard_pct": _leaderboard,
+        # changes
+        "upsert_docs": _upsert,
+        "delete_docs": _delete,
+        "update_metadata": _update,
+    }
+    return found | {name: _filter(where) for name, where in FILTERS.items()}
