@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import _folds, tokens
+from quarry.session import staged
 
 #: Decimals at which scores are ranked, so that the order does not hang on the order of additions.
 DIGITS = 6
@@ -19,9 +24,40 @@ class BM25:
     b: float = 0.8
 
 
+def term_counts(text: Column | str) -> Column:
+    """array<struct<term string, tf bigint>>: the terms of a text, each once.
+    All of a chunk's tokens stand in its row, so they are counted there and
+    nothing is shuffled; null and empty texts have none."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("array<struct<term: string, tf: bigint>>")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))
+        find = re.compile(r"[^\W_]+").findall
+        memo: dict[str, str] = {}
+        for texts in batches:
+            offsets, terms, tfs = [0], [], []
+            for t in texts.to_pylist():
+                counts: dict[str, int] = {}
+                for run, n in Counter(find(t or "")).items():
+                    term = memo.get(run)
+                    if term is None:
+                        if len(memo) > 1_000_000:
+                            memo.clear()
+                        term = memo[run] = run.lower().translate(fold)
+                    counts[term] = counts.get(term, 0) + n
+                terms += counts
+                tfs += counts.values()
+                offsets.append(len(terms))
+            rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return count(F.col(text) if isinstance(text, str) else text)
+
+
 def term_freq(chunks: DataFrame, key: str = "slot") -> DataFrame:
-    """(key, term, tf): occurrences of each term in each chunk."""
-    return chunks.select(key, F.explode(tokens("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): occurrences of each term in each chunk. Narrow."""
+    return chunks.select(key, F.inline(term_counts("text")))
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
@@ -58,30 +94,39 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(term, slot, doc_id, tf, dl). wanted(term) restricts to these terms
-    before anything is counted, so only their rows are shuffled."""
-    each = chunks.select("slot", "doc_id", tokens("text").alias("_t")).select("slot", "doc_id", F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "slot", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    """(term, slot, doc_id, tf, dl). wanted(term) restricts to these terms. Narrow but for that join."""
+    counted = chunks.select("slot", "doc_id", term_counts("text").alias("_t"))
+    dl = F.aggregate("_t", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
+    rows = counted.select("slot", "doc_id", dl.alias("dl"), F.inline("_t")).select("term", "slot", "doc_id", "tf", "dl")
+    return rows if wanted is None else rows.join(wanted.select("term").distinct(), "term", "left_semi")
+
+
+def postings_stats(stored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(n, avgdl) as ``corpus_stats``, from stored postings: texts are not read."""
+    total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t"))
+    return chunks.agg(F.count("slot").alias("n")).join(total).select("n", F.coalesce(F.col("t") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, p: BM25 = BM25(), allowed: DataFrame | None = None) -> DataFrame:
+def bm25_scores(chunks: DataFrame, queries: DataFrame, p: BM25 = BM25(), allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(qid, slot, doc_id, score): all chunks with a score above 0.
 
-    allowed(slot or doc_id): only these are scored; statistics stay those of
-    the whole collection. Terms outside the collection add nothing; a repeated
-    term of a query counts once.
+    stored: the postings of the chunks; without, they are counted and written
+    once. allowed(slot or doc_id): only these are scored; statistics stay
+    those of the whole collection. Terms outside the collection add nothing; a
+    repeated term of a query counts once.
     """
+    stored = staged(postings(chunks), "postings") if stored is None else stored
     wanted = query_terms(queries)
-    found = postings(chunks, wanted)
-    stats = corpus_stats(chunks)
+    stats = postings_stats(stored, chunks)
+    found = stored.join(wanted.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     if allowed is not None:
         key = "slot" if "slot" in allowed.columns else "doc_id"
         found = found.join(allowed.select(key).distinct(), key, "left_semi")
-    weighed = found.join(df, "term").join(F.broadcast(stats)).select("term", "slot", "doc_id", weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), idf_of(F.col("df"), F.col("n")), p).alias("w"))
-    return weighed.join(wanted, "term").groupBy("qid", "slot", "doc_id").agg(F.sum("w").alias("score"))
+    # idf travels with the query's terms: their table is as small as the query set
+    weighed_terms = wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", "avgdl", idf_of(F.col("df"), F.col("n")).alias("idf"))
+    rows = found.join(weighed_terms, "term")
+    return rows.groupBy("qid", "slot", "doc_id").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: str = "qid", tie: str = "slot") -> DataFrame:

@@ -29,7 +29,9 @@ def local_session(name: str = "quarry", cores: int | str = "*", **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:
