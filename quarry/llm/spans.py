@@ -301,22 +301,26 @@ def _span_rows(span: int, index_chars: int):
         def emit() -> Iterator[pa.RecordBatch]:
             rows: set[tuple[int, int, int]] = set()
             for owners, pattern, start, runs, index in shard.matched():
-                docs_of = [{x for x, _ in o} for o in owners]
-                lone = np.array([len(d) == 1 for d in docs_of])
-                by: dict[int, list[int]] = {}
-                some: dict[int, set[int]] = {}
-                for p, s, r in zip(pattern.tolist(), start.tolist(), runs.tolist()):
-                    docs = some.get(r)
-                    if docs is None:
-                        members = np.unique(index.text_of[index.sa[r : index.run_end[r]]])
-                        docs = some[r] = {-1, -2} if not lone[members].all() else set().union(*(docs_of[m] for m in members[:64].tolist()))
-                    if len(docs | docs_of[p]) > 1:
-                        by.setdefault(p, []).append(s)
-                for p, starts in by.items():
-                    at = np.unique(starts)
-                    cut = np.flatnonzero(np.append(True, at[1:] > at[:-1] + span))
-                    for a, b in zip(at[cut].tolist(), at[np.append(cut[1:], len(at)) - 1].tolist()):
-                        rows.update((doc, own + a, own + b + span) for doc, own in owners[p])
+                # the one document of each text, -1 for texts of several
+                docs = [{x for x, _ in o} for o in owners]
+                one = np.array([next(iter(d)) if len(d) == 1 else -1 for d in docs], np.int64)
+                if not len(runs):
+                    continue
+                each, which = np.unique(runs, return_inverse=True)
+                held = one[index.text_of[index.sa]]
+                bounds = np.stack([each, np.minimum(index.run_end[each], index.n - 1)], axis=1).ravel()
+                # a run that ends with the array takes its last entry in
+                low, high = np.minimum.reduceat(held, bounds)[::2], np.maximum.reduceat(held, bounds)[::2]
+                open_end = index.run_end[each] == index.n
+                low[open_end], high[open_end] = np.minimum(low[open_end], held[-1]), np.maximum(high[open_end], held[-1])
+                other = (low != high) | (low < 0)
+                shared = other[which] | (one[pattern] != low[which])
+                p, at = pattern[shared], start[shared]
+                order = np.lexsort((at, p))
+                p, at = p[order], at[order]
+                new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (at[1:] > at[:-1] + span)))
+                for k, first, last in zip(p[new].tolist(), at[new].tolist(), at[np.append(new[1:], len(p)) - 1].tolist()) if len(p) else ():
+                    rows.update((doc, own + first, own + last + span) for doc, own in owners[k])
             done = sorted(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int32()), pa.array([r[2] for r in done], pa.int32())], ["doc_id", "start", "end"])
 
