@@ -46,7 +46,7 @@ def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
         return spark.createDataFrame([], _DOCS)
     files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     path = F.regexp_replace(F.try_url_decode("path"), "^file:/+", "/")
-    rows = files.select(path.alias("doc_id"), F.decode("content", "UTF-8").alias("text")).dropDuplicates(["doc_id"])
+    rows = files.select(path.alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).dropDuplicates(["doc_id"])
     # few rows of ids, numbered in one place; texts do not take part
     order = rows.select("doc_id").withColumn("doc_ord", F.row_number().over(Window.orderBy("doc_id")).cast("bigint") - 1)
     return rows.join(order, "doc_id").select("doc_id", "doc_ord", "text")
