@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from quarry.llm.forms import LOOK_ALIKES, _changing_points, _invisible_points, _ranges
+
 P5_FOUND = """
 WITH ranked AS (
   SELECT qid, source, doc_id, chunk_id, score,
@@ -36,5 +40,81 @@ WHERE s IS NULL OR e IS NULL OR s < 0 OR e <= s OR e > n OR e - s > 1200
 """
 
 
+CURRENT = """cur AS (
+  SELECT doc_id, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY updated DESC NULLS LAST, doc_ord DESC NULLS LAST) AS r FROM docs WHERE doc_id IS NOT NULL)
+  WHERE r = 1 AND text IS NOT NULL)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _form(text: str) -> str:
+    """The consistent form in SQL: invisible characters out, single characters
+    by one translation, longer equivalents by replacements, accents composed.
+    Only code points below U+3000 and the presentation and width forms."""
+    one: dict[str, str] = {}
+    more: list[tuple[str, str]] = []
+    points = [cp for cp in _changing_points() if cp < 0x3100 or 0xF900 <= cp < 0xFFF0]
+    for ch in [*map(chr, points), *LOOK_ALIKES]:
+        plain = unicodedata.normalize("NFKC", "".join(LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFKD", ch)))
+        if len(plain) == 1 and plain != ch:
+            one[ch] = plain
+        elif len(plain) > 1 and ch in "ﬀﬁﬂﬃﬄ…№½¼¾ⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶⅷⅸⅺⅻ":
+            more.append((ch, plain))
+    hidden = _ranges(cp for cp in _invisible_points() if cp < 0x10000)
+    sql = f"regexp_replace({text}, {_quoted('[' + _plain_class(hidden) + ']')}, '', 'g')"
+    for ch, plain in more:
+        sql = f"replace({sql}, {_quoted(ch)}, {_quoted(plain)})"
+    sql = f"translate({sql}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    return f"nfc_normalize({sql})"
+
+
+def _plain_class(ranges: str) -> str:
+    """A character class of escapes as characters."""
+    return ranges.encode("ascii").decode("unicode_escape")
+
+
+_RUNS = "regexp_extract_all(form, '[\\p{L}\\p{N}]+')"
+
+
+def _terms() -> str:
+    return f"""{CURRENT},
+forms AS (SELECT doc_id, text, {_form("text")} AS form FROM cur),
+occ AS (SELECT doc_id, strip_accents(lower(unnest({_RUNS}))) AS term, unnest(range(len({_RUNS}))) AS i FROM forms),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM occ GROUP BY ALL),
+df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term)"""
+
+
+P9_FOUND = """
+WITH spans AS (
+  SELECT DISTINCT doc_id, hash(substr(text, i, 240)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
+shared AS (SELECT h FROM spans GROUP BY h HAVING count(*) > 1),
+kept AS (SELECT doc_id, h FROM spans SEMI JOIN shared USING (h))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM kept a JOIN kept b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_found": P5_FOUND}
+    terms = _terms()
+    return {
+        "p1_found": f"WITH {terms} SELECT doc_id, tf.term FROM tf JOIN df ON tf.term = df.term WHERE tf >= 3 AND df BETWEEN 2 AND 4 AND length(tf.term) >= 5 AND regexp_full_match(tf.term, '\\p{{L}}+')",
+        "p1_scores": f"""WITH {terms}, n AS (SELECT count(*) AS n FROM cur)
+SELECT doc_id, tf.term, tf, df, cf::BIGINT AS cf, round(-log2(df / n) + log2(1 - exp(-cf / n)), 6) AS ridf, round(tf * (-log2(df / n) + log2(1 - exp(-cf / n))), 6) AS score FROM tf JOIN df ON tf.term = df.term CROSS JOIN n""",
+        "p2_found": f"""WITH {terms}, n AS (SELECT count(*) AS n FROM cur)
+SELECT term, 'rare' AS mark FROM df WHERE df < 3 UNION ALL SELECT term, 'common' FROM df CROSS JOIN n WHERE df * 3 > n""",
+        "p3_found": P3_FOUND,
+        "p4_found": f"""WITH {terms},
+tri AS (SELECT DISTINCT doc_id, hash(term, lead(term) OVER w, lead(term, 2) OVER w) AS h, lead(term, 2) OVER w AS last FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT DISTINCT doc_id, h FROM tri WHERE last IS NOT NULL),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS doc_id_a, y AS doc_id_b FROM met JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y JOIN forms f ON f.doc_id = x JOIN forms g ON g.doc_id = y
+WHERE c * 5 >= 3 * (p.n + q.n - c) AND f.form <> g.form""",
+        "p5_found": P5_FOUND,
+        "p6_found": f"""WITH {CURRENT}, forms AS (SELECT doc_id, text, {_form("text")} AS form FROM cur WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]'))
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+        "p9_found": P9_FOUND,
+    }

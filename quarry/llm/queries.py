@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import bpe, census, forms, mixture, pathjoin, rankmix, ridf, spans, splitter
 from quarry.sources.tables import table
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: ridf.distinctive_found(table(s, d, "docs")),
-        "p1_scores": lambda s, d: ridf.distinctive_terms(table(s, d, "docs")),
+        "p1_scores": lambda s, d: ridf.distinctive_terms(table(s, d, "docs")).withColumns({c: F.round(c, 6) for c in ("ridf", "score")}),
         "p2_found": lambda s, d: census.marked_found(table(s, d, "docs")),
         "p2_census": lambda s, d: census.marked_terms(table(s, d, "docs")),
         "p3_found": lambda s, d: splitter.faulty_pieces(table(s, d, "docs"), table(s, d, "chunks")),

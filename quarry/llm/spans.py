@@ -168,8 +168,17 @@ def _anchor_rows(span: int):
     return run
 
 
-def _side_key(key: int, side: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{key} {side}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _side_keys(text: str, key: int, first: int, last: int, half: int) -> set[int]:
+    """Keys of an anchor that too many texts have, by the text beside it: a
+    shared window holds ``half`` characters on one side of the anchor at least,
+    so two texts that share a window through the anchor have a key in common.
+    An anchor from first to last has the keys of all its places."""
+    gram, sides, at = text[first : first + GRAM], set(), first
+    while 0 <= at <= last:
+        sides.update((("l", text[at - half : at]) if at >= half else ("", ""), ("r", text[at + GRAM : at + GRAM + half])))
+        at = text.find(gram, at + 1, last + GRAM)
+    digests = (hashlib.blake2b(f"{key} {side} {near}".encode("utf-8", "surrogatepass"), digest_size=8).digest() for side, near in sides if len(near) == half)
+    return {int.from_bytes(d, "little", signed=True) for d in digests}
 
 
 def _region_rows(span: int):
@@ -184,17 +193,11 @@ def _region_rows(span: int):
                     if m["linked"] and chains:
                         chains[-1][2] = m["last"] + span
                     else:
-                        chains.append([m["anchor"], max(0, m["first"] - (span - GRAM)), m["last"] + span, m["first"], m["hot"] and m["first"] == m["last"]])
-                for key, start, end, at, hot in chains:
+                        chains.append([m["anchor"], max(0, m["first"] - (span - GRAM)), m["last"] + span, m["first"], m["last"], m["hot"]])
+                for key, start, end, first, last, hot in chains:
                     region = text[start:end]
-                    if not hot:
-                        out.append((key, doc_id, start, region))
-                        continue
-                    # a shared window holds half of the room beside the anchor on one side at least
-                    half = (span - GRAM) // 2
-                    for side in (text[at - half : at] if at >= half else "", text[at + GRAM : at + GRAM + half]):
-                        if len(side) == half:
-                            out.append((_side_key(key, side), doc_id, start, region))
+                    for k in _side_keys(text, key, first, last, (span - GRAM) // 2) if hot else (key,):
+                        out.append((k, doc_id, start, region))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], ["key", "doc_id", "start", "region"])
 
     return run
