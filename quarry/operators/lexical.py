@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,22 @@ def postings_stats(stored: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("slot").alias("n")).join(total).select("n", F.coalesce(F.col("t") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
 
 
+def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, term, idf, avgdl): the terms of the queries that the collection
+    has. A table of the size of the query set."""
+    wanted = query_terms(queries)
+    df = stored.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    stats = postings_stats(stored, chunks)
+    return wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", idf_of(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+
+
+def _allowed_only(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    if allowed is None:
+        return rows
+    key = "slot" if "slot" in allowed.columns else "doc_id"
+    return rows.join(allowed.select(key).distinct(), key, "left_semi")
+
+
 def bm25_scores(chunks: DataFrame, queries: DataFrame, p: BM25 = BM25(), allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(qid, slot, doc_id, score): all chunks with a score above 0.
 
@@ -116,19 +133,99 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, p: BM25 = BM25(), allowed
     repeated term of a query counts once.
     """
     stored = staged(postings(chunks), "postings") if stored is None else stored
-    wanted = query_terms(queries)
-    stats = postings_stats(stored, chunks)
-    found = stored.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    if allowed is not None:
-        key = "slot" if "slot" in allowed.columns else "doc_id"
-        found = found.join(allowed.select(key).distinct(), key, "left_semi")
-    # idf travels with the query's terms: their table is as small as the query set
-    weighed_terms = wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", "avgdl", idf_of(F.col("df"), F.col("n")).alias("idf"))
-    rows = found.join(weighed_terms, "term")
+    rows = _allowed_only(stored, allowed).join(weighed_terms(stored, chunks, queries), "term")
     return rows.groupBy("qid", "slot", "doc_id").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
 
 
+def pair_scores(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, p: BM25 = BM25(), stored: DataFrame | None = None) -> DataFrame:
+    """(qid, slot, score) of given pairs(qid, slot) with a score above 0: the
+    postings of other chunks are not weighed."""
+    stored = staged(postings(chunks), "postings") if stored is None else stored
+    told = weighed_terms(stored, chunks, queries)
+    found = stored.join(told.select("term").distinct(), "term", "left_semi").join(pairs.select("qid", "slot").distinct(), "slot")
+    rows = found.join(told, ["qid", "term"])
+    return rows.groupBy("qid", "slot").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
+
+
+#: Rows (query, term) that go along with one pass over the postings.
+TERM_ROWS = 2_000_000
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """(qid, slot, doc_id, score, rank): the best k chunks of each query, as
+    ``top`` of ``bm25_scores``, without a row for every (query, chunk).
+
+    The queries' terms go along in blocks of TERM_ROWS. Postings of these terms
+    are dealt by chunk; a task adds up all queries over its chunks as arrays
+    and keeps k rows for each, so k rows for each query and task are shuffled.
+    """
+    spark = chunks.sparkSession
+    stored = staged(postings(chunks), "postings") if stored is None else stored
+    told = weighed_terms(stored, chunks, queries).collect()
+    kind = queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
+    by_query: dict = {}
+    for r in told:
+        by_query.setdefault(r.qid, []).append((r.term, r.idf))
+    blocks: list[dict] = [{}]
+    size = 0
+    for qid, own in by_query.items():
+        if size + len(own) > TERM_ROWS and blocks[-1]:
+            blocks.append({})
+            size = 0
+        blocks[-1][qid] = own
+        size += len(own)
+    found = None
+    for block in blocks:
+        part = _scored_block(spark, _allowed_only(stored, allowed), block, told[0].avgdl if told else 1.0, k, p, schema)
+        found = part if found is None else found.unionAll(part)
+    order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), "slot")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p: BM25, schema: str) -> DataFrame:
+    terms = sorted({t for own in block.values() for t, _ in own})
+    number = {t: i for i, t in enumerate(terms)}
+    asked = [(qid, np.array([number[t] for t, _ in own], np.int64), np.array([x for _, x in own])) for qid, own in block.items()]
+    told = spark.sparkContext.broadcast((asked, len(terms)))
+    ids = spark.createDataFrame(list(number.items()) or [("", -1)], "term string, _term bigint")
+    # dealt by chunk; the numbers of the terms replace their texts before the shuffle
+    weight = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / avgdl))
+    rows = stored.join(ids, "term").select("slot", "doc_id", F.col("_term").cast("int").alias("t"), weight.alias("w")).repartition("slot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        asked, n_terms = told.value
+        slots, first, at = np.unique(table.column("slot").to_numpy(), return_index=True, return_inverse=True)
+        docs = table.column("doc_id").take(pa.array(first)).combine_chunks()
+        t, w = table.column("t").to_numpy(), table.column("w").to_numpy()
+        order = np.argsort(t, kind="stable")
+        at, w = at[order], w[order]
+        begin = np.searchsorted(t[order], np.arange(n_terms + 1))
+        out: list[tuple] = []
+        for qid, own, idf in asked:
+            score = np.zeros(len(slots))
+            for term, x in zip(own.tolist(), idf.tolist()):
+                part = slice(begin[term], begin[term + 1])
+                score[at[part]] += x * w[part]
+            hit = np.flatnonzero(score > 0)
+            value = np.round(score[hit], DIGITS)
+            if len(hit) > k:
+                keep = value >= np.partition(value, len(value) - k)[len(value) - k]
+                hit, value = hit[keep], value[keep]
+            best = np.lexsort((slots[hit], -value))[:k]
+            out.append((qid, hit[best], score[hit[best]]))
+        chosen = np.concatenate([h for _, h, _ in out]) if out else np.zeros(0, np.int64)
+        if len(chosen):
+            qids = pa.array([q for q, h, _ in out for _ in range(len(h))])
+            yield pa.RecordBatch.from_arrays([qids, pa.array(slots[chosen]), docs.take(pa.array(chosen)), pa.array(np.concatenate([v for _, _, v in out]))], ["qid", "slot", "doc_id", "score"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def top(scores: DataFrame, k: int, by: str = "qid", tie: str = "slot") -> DataFrame:
     """The best k of each ``by`` with ``rank``; equal (rounded) scores by ``tie``.
     The planner keeps k rows of each group before the shuffle."""

@@ -70,8 +70,8 @@ def candidates(c: Collection, queries: DataFrame, mode: str, k: int, where: Mapp
         q = dense.encode(queries, c.encoder, query=True).select("qid", "v")
         lists.append(dense.topk(vectors, q, k, keep=("doc_id",)).withColumn("source", F.lit("dense")).select(columns))
     if mode != "dense":
-        found = lexical.bm25_scores(c.chunks, queries, c.bm25, allowed, c.stored_postings)
-        lists.append(lexical.top(found, k).withColumn("source", F.lit("lexical")).select(columns))
+        found = lexical.bm25_topk(c.chunks, queries, k, c.bm25, allowed, c.stored_postings)
+        lists.append(found.withColumn("source", F.lit("lexical")).select(columns))
     return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
 
 
@@ -146,7 +146,7 @@ def score_documents(c: Collection, queries: DataFrame, wanted: DataFrame, mode:
         return want.join(by_doc, ["qid", "doc_id"], "left")
     parts: dict[str, DataFrame] = {}
     if mode in ("lexical", "hybrid"):
-        found = lexical.bm25_scores(c.chunks, queries, c.bm25, want.select("doc_id"), c.stored_postings).select("qid", "slot", F.col("score").alias("s"))
+        found = lexical.pair_scores(c.chunks, queries, present, c.bm25, c.stored_postings).select("qid", "slot", F.col("score").alias("s"))
         parts["lexical"] = present.join(found, ["qid", "slot"], "left").groupBy("qid", "doc_id").agg(F.max(F.coalesce("s", F.lit(0.0))).alias("score"))
     if mode in ("dense", "hybrid"):
         q = dense.encode(queries, c.encoder, query=True).select("qid", F.col("v").alias("_q"))

@@ -34,7 +34,7 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 
 def _padded(s: SparkSession, d: str) -> DataFrame:
     cut, q = _staged_chunks(s, d), c.queries(s, d)
-    best = staged(lexical.top(lexical.bm25_scores(cut, q), 100), "best")
+    best = staged(lexical.bm25_topk(cut, q, 100), "best")
     return lexical.padded(best, cut, q, 100).select("qid", "slot", _r("score"), "rank")
 
 
@@ -147,7 +147,7 @@ def queries() -> dict[str, Query]:
         "join_chunks_docs": lambda s, d: table(s, d, "chunks").select("chunk_id", "doc_id", "start", "end").distinct().join(c.docs(s, d).select("doc_id", "doc_ord"), "doc_id"),
         # lexical
         "bm25_scores": lambda s, d: _scores(s, d).select("qid", "slot", _r("score")),
-        "bm25_topk": lambda s, d: lexical.top(_scores(s, d), 100).select("qid", "slot", _r("score"), "rank"),
+        "bm25_topk": lambda s, d: lexical.bm25_topk(_staged_chunks(s, d), c.queries(s, d), 100).select("qid", "slot", _r("score"), "rank"),
         "bm25_topk_padded": _padded,
         "search_lexical": _searched("lexical"),
         # dense
