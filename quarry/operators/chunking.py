@@ -122,7 +122,8 @@ def spans(text: Column | str, mode: str | Splitter = "structure", max_chars: int
             rows = [splitter(t, max_chars, min_chars) if t else [] for t in texts.to_pylist()]
             yield pa.array([[{"start": a, "end": b} for a, b in r if b > a] for r in rows], SPANS)
 
-    return split(F.col(text) if isinstance(text, str) else text)
+    # not deterministic for the planner: else it would split each text twice, once to filter out those without spans
+    return split.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def chunk(docs: DataFrame, mode: str | Splitter = "structure", max_chars: int = 2500, min_chars: int = 100) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import TOKEN, _folds
 from quarry.operators.lexical import DIGITS
@@ -122,6 +123,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "slot", keep
     rows = queries.where("v is not null").select("qid", "v").collect()
     fields = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in (key, *keep))
     qtype = queries.schema["qid"].dataType
+    qid_type = to_arrow_type(qtype)
     schema = f"qid {qtype.simpleString()}, {fields}, score double"
     if not rows:
         return spark.createDataFrame([], schema + ", rank int")
@@ -165,7 +167,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "slot", keep
             taken = table.take(pa.array(at)).combine_chunks()
             names = [qids[q] for q, x in enumerate(best) for _ in x]
             value = np.array([s_ for x in best for s_, _, _ in x], np.float64)
-            columns = [pa.array(names), *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in taken.columns], pa.array(value)]
+            columns = [pa.array(names, qid_type), *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in taken.columns], pa.array(value)]
             yield pa.RecordBatch.from_arrays(columns, ["qid", *taken.column_names, "score"])
 
         part = vectors.where("v is not null").select(key, *keep, "v").mapInArrow(run, schema)

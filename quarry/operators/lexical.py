@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import _folds, tokens
 from quarry.session import staged
@@ -25,22 +26,22 @@ class BM25:
     b: float = 0.8
 
 
-def term_counts(text: Column | str) -> Column:
-    """array<struct<term string, tf bigint>>: the terms of a text, each once.
-    All of a chunk's tokens stand in its row, so they are counted there and
-    nothing is shuffled; null and empty texts have none."""
-    from pyspark.sql.functions import arrow_udf
+def term_rows(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(keep..., term, tf, dl): one row for each distinct term of each text; dl
+    is the number of all its tokens. All tokens of a text stand in its row, so
+    they are counted there and nothing is shuffled; null and empty texts have
+    no row."""
 
-    @arrow_udf("array<struct<term: string, tf: bigint>>")
-    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))
         find = re.compile(r"[^\W_]+").findall
         memo: dict[str, str] = {}
-        for texts in batches:
-            offsets, terms, tfs = [0], [], []
-            for t in texts.to_pylist():
+        for batch in batches:
+            sizes, terms, tfs, dls = [], [], [], []
+            for t in batch.column(len(keep)).to_pylist():
                 counts: dict[str, int] = {}
-                for run, n in Counter(find(t or "")).items():
+                runs = find(t or "")
+                for run, n in Counter(runs).items():
                     term = memo.get(run)
                     if term is None:
                         if len(memo) > 1_000_000:
@@ -49,16 +50,19 @@ def term_counts(text: Column | str) -> Column:
                     counts[term] = counts.get(term, 0) + n
                 terms += counts
                 tfs += counts.values()
-                offsets.append(len(terms))
-            rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["term", "tf"])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+                sizes.append(len(counts))
+                dls.append(len(runs))
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns = [batch.column(i).take(row) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(np.repeat(np.array(dls, np.int64), sizes))], [*keep, "term", "tf", "dl"])
 
-    return count(F.col(text) if isinstance(text, str) else text)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, text).mapInArrow(count, f"{kinds}, term string, tf bigint, dl bigint")
 
 
 def term_freq(chunks: DataFrame, key: str = "slot") -> DataFrame:
     """(key, term, tf): occurrences of each term in each chunk. Narrow."""
-    return chunks.select(key, F.inline(term_counts("text")))
+    return term_rows(chunks, (key,)).select(key, "term", "tf")
 
 
 def doc_freq(tf: DataFrame) -> DataFrame:
@@ -96,9 +100,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(term, slot, doc_id, tf, dl). wanted(term) restricts to these terms. Narrow but for that join."""
-    counted = chunks.select("slot", "doc_id", term_counts("text").alias("_t"))
-    dl = F.aggregate("_t", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
-    rows = counted.select("slot", "doc_id", dl.alias("dl"), F.inline("_t")).select("term", "slot", "doc_id", "tf", "dl")
+    rows = term_rows(chunks, ("slot", "doc_id")).select("term", "slot", "doc_id", "tf", "dl")
     return rows if wanted is None else rows.join(wanted.select("term").distinct(), "term", "left_semi")
 
 
@@ -162,8 +164,8 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), a
     spark = chunks.sparkSession
     stored = staged(postings(chunks), "postings") if stored is None else stored
     told = weighed_terms(stored, chunks, queries).collect()
-    kind = queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {kind}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
     by_query: dict = {}
     for r in told:
         by_query.setdefault(r.qid, []).append((r.term, r.idf))
@@ -177,13 +179,13 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), a
         size += len(own)
     found = None
     for block in blocks:
-        part = _scored_block(spark, _allowed_only(stored, allowed), block, told[0].avgdl if told else 1.0, k, p, schema)
+        part = _scored_block(spark, _allowed_only(stored, allowed), block, told[0].avgdl if told else 1.0, k, p, schema, qid_type)
         found = part if found is None else found.unionAll(part)
     order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), "slot")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p: BM25, schema: str) -> DataFrame:
+def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p: BM25, schema: str, qid_type: pa.DataType) -> DataFrame:
     terms = sorted({t for own in block.values() for t, _ in own})
     number = {t: i for i, t in enumerate(terms)}
     asked = [(qid, np.array([number[t] for t, _ in own], np.int64), np.array([x for _, x in own])) for qid, own in block.items()]
@@ -220,7 +222,7 @@ def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p
             out.append((qid, hit[best], score[hit[best]]))
         chosen = np.concatenate([h for _, h, _ in out]) if out else np.zeros(0, np.int64)
         if len(chosen):
-            qids = pa.array([q for q, h, _ in out for _ in range(len(h))])
+            qids = pa.array([q for q, h, _ in out for _ in range(len(h))], qid_type)
             yield pa.RecordBatch.from_arrays([qids, pa.array(slots[chosen]), docs.take(pa.array(chosen)), pa.array(np.concatenate([v for _, _, v in out]))], ["qid", "slot", "doc_id", "score"])
 
     return rows.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators.lexical import term_counts
+from quarry.operators.lexical import term_rows
 
 
 def naive(text):
@@ -26,10 +26,14 @@ def test_tokens(spark):
 
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("aáÃçÇñ _-1٣\n", max_size=20), min_size=1, max_size=20))
-def test_term_counts_agree_with_tokens(spark, texts):
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.tokens("t").alias("a"), term_counts("t").alias("b"))
-    for r in df.collect():
-        assert sorted(r.a) == sorted(t for x in r.b for t in [x.term] * x.tf)
+def test_term_rows_agree_with_tokens(spark, texts):
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "i int, text string, dl int")
+    got = {}
+    for r in term_rows(df, ("i",)).collect():
+        got.setdefault(r.i, []).append(r)
+    for r in df.select("i", tx.tokens("text").alias("a")).collect():
+        rows = got.get(r.i, [])
+        assert sorted(r.a) == sorted(t for x in rows for t in [x.term] * x.tf) and {x.dl for x in rows} <= {len(r.a)}
 
 
 def test_strip_and_canonicalize(spark):
