@@ -246,24 +246,49 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[tuple[
         yield group
 
 
-def _pairs_of(owners: list[list[tuple[int, int]]], runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
-    """Pairs of texts that have a window in common; by the size of the runs, so that all runs of a size are one step."""
+def _pairs_of(runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
+    """Pairs of texts that have a window in common. Neighbouring windows mostly
+    have the same texts, so equal runs are dropped by a hash first; then all
+    runs of a size are one step."""
     found: set[tuple[int, int]] = set()
     runs = np.unique(runs)
     sizes = index.run_end[runs] - runs
-    for size in np.unique(sizes):
-        if size < 2:
-            continue
-        own = index.text_of[index.sa[runs[sizes == size][:, None] + np.arange(size)]]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        own = index.text_of[index.sa[runs[sizes == size][:, None] + np.arange(size)]].astype(np.int64)
+        mark = _scatter(own.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)).sum(axis=1, dtype=np.uint64)
+        own = own[np.unique(mark, return_index=True)[1]]
         own.sort(axis=1)
-        own = np.unique(own, axis=0)
-        for i in range(int(size) - 1):
-            for j in range(i + 1, int(size)):
-                ab = own[:, [i, j]]
-                found.update(map(tuple, np.unique(ab[ab[:, 0] != ab[:, 1]], axis=0).tolist()))
+        if size <= 64:
+            for i in range(size - 1):
+                for j in range(i + 1, size):
+                    found.update(_distinct(own[:, i], own[:, j]))
+        else:
+            for row in own:
+                texts = np.unique(row)
+                for i in range(len(texts) - 1):
+                    found.update(_distinct(np.full(len(texts) - 1 - i, texts[i]), texts[i + 1 :]))
     return found
 
 
+def _outside_pairs(pattern: np.ndarray, runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
+    """Pairs of a text outside the index with all texts inside that have one of its windows."""
+    found: set[tuple[int, int]] = set()
+    outside = ~np.isin(pattern, index.text_of)
+    code = np.unique(pattern[outside] << 32 | runs[outside])
+    pattern, runs = code >> 32, code & 0xFFFFFFFF
+    sizes = index.run_end[runs] - runs
+    for size in np.unique(sizes).tolist():
+        at = sizes == size
+        for k in range(size):
+            found.update(_distinct(pattern[at], index.text_of[index.sa[runs[at] + k]].astype(np.int64)))
+    return found
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
+    code = np.unique((a << 32 | b)[a != b])
+    return zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())
+
+
 def _pair_rows(span: int, index_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(span, index_chars)
@@ -271,10 +296,8 @@ def _pair_rows(span: int, index_chars: int):
         def emit() -> Iterator[pa.RecordBatch]:
             pairs: set[tuple[int, int]] = set()
             for owners, pattern, _, runs, index in shard.matched():
-                texts = _pairs_of(owners, runs, index)
-                # windows of a text outside the block against the block's texts
-                k = np.unique(np.stack([pattern, index.text_of[index.sa[runs]]]), axis=1) if len(runs) else np.zeros((2, 0), np.int64)
-                texts.update(map(tuple, k[:, k[0] != k[1]].T.tolist()))
+                texts = _pairs_of(runs, index)
+                texts.update(_outside_pairs(pattern, runs, index))
                 for a, b in texts:
                     pairs.update((min(x, y), max(x, y)) for x, _ in owners[a] for y, _ in owners[b] if x != y)
             rows = sorted(pairs)

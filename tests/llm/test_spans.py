@@ -93,6 +93,18 @@ def test_pairs(documents, texts, rows):
     assert rows(spans.shared_pairs(documents.where("false"))) == []
 
 
+def test_pairs_of_a_group_over_several_blocks(spark, rows):
+    """All texts have one stretch within different surroundings: one group, many blocks."""
+    rng = random.Random(21)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    quote = some(SPAN)
+    texts = {d: some(150) + quote + some(250) for d in range(9)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = [(a, b) for a in range(9) for b in range(a + 1, 9)]
+    for chars in (1, 700, 10**6):
+        assert rows(spans.shared_pairs(df, index_chars=chars)) == want
+
+
 def test_pairs_with_hot_anchors(documents, rows, monkeypatch):
     want = rows(spans.shared_pairs(documents))
     monkeypatch.setattr(spans, "HOT_REGIONS", 1)
