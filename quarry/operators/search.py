@@ -5,13 +5,16 @@ Queries always come as a table (qid, text); one query is a table of one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import _folds
 from quarry.operators import dense, fusion, lexical
 from quarry.operators.filters import compile_filter
 from quarry.operators.lexical import BM25, DIGITS
@@ -176,22 +179,38 @@ def ngram_reranker(n: int = 3) -> Reranker:
     query's terms that a chunk holds and of the share of its character n-grams."""
 
     def run(pairs: DataFrame, queries: DataFrame, c: Collection) -> DataFrame:
-        from quarry.functions.text import tokens
-
-        def grams(text: str):
-            folded = F.concat_ws(" ", tokens(text))
-            return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(folded) - (n - 1), F.lit(1))), lambda i: F.substring(folded, i, F.lit(n))))
-
-        wanted = lexical.query_terms(queries)
-        stats = lexical.corpus_stats(c.chunks).select("n")
-        df = lexical.postings(c.chunks, wanted).groupBy("term").agg(F.count("*").alias("df"))
-        idf = wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", lexical.idf_of(F.col("df"), F.col("n")).alias("idf"))
-        terms = idf.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("_terms"), F.sum("idf").alias("_all"))
-        q = queries.select("qid", grams("text").alias("_grams")).join(terms, "qid", "left")
-        rows = pairs.select("qid", "slot", tokens("text").alias("_t"), grams("text").alias("_g")).join(q, "qid")
-        held = F.aggregate(F.filter("_terms", lambda t: F.array_contains("_t", t["term"])), F.lit(0.0), lambda a, t: a + t["idf"])
-        word = F.coalesce(held / F.nullif("_all", F.lit(0.0)), F.lit(0.0))
-        gram = F.size(F.array_intersect("_g", "_grams")) / F.greatest(F.size("_grams"), F.lit(1))
-        return rows.select("qid", "slot", ((word + gram) / 2).alias("score"))
+        told = lexical.weighed_terms(c.stored_postings if c.stored_postings is not None else lexical.postings(c.chunks), c.chunks, queries)
+        terms = told.groupBy("qid").agg(F.collect_list("term").alias("_terms"), F.collect_list("idf").alias("_idf"))
+        asked = queries.select("qid", F.col("text").alias("_query")).join(terms, "qid", "left")
+        rows = pairs.select("qid", "slot", "text").join(asked, "qid")
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))
+            find = re.compile(r"[^\W_]+").findall
+
+            def parts(text: str | None) -> tuple[set[str], set[str]]:
+                own = [t.lower().translate(fold) for t in find(text or "")]
+                line = " ".join(own)
+                return set(own), {line[i : i + n] for i in range(max(1, len(line) - n + 1))}
+
+            for batch in batches:
+                asked_parts: dict[object, set[str]] = {}
+                held: dict[int, tuple[set[str], set[str]]] = {}
+                values = []
+                for qid, slot, text, query, terms_, idf in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    if qid not in asked_parts:
+                        asked_parts[qid] = parts(query)[1]
+                    if slot not in held:
+                        if len(held) > 200:
+                            held.clear()
+                        held[slot] = parts(text)
+                    own, grams = held[slot]
+                    weight = dict(zip(terms_ or (), idf or ()))
+                    word = sum(w for t, w in weight.items() if t in own) / sum(weight.values()) if weight else 0.0
+                    values.append((word + len(asked_parts[qid] & grams) / max(1, len(asked_parts[qid]))) / 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["qid", "slot", "score"])
+
+        kind = queries.schema["qid"].dataType.simpleString()
+        return rows.select("qid", "slot", "text", "_query", "_terms", "_idf").mapInArrow(score, f"qid {kind}, slot bigint, score double")
 
     return run

@@ -155,8 +155,8 @@ def _rounded(sql: str) -> str:
     return f"{EVAL} SELECT qid, round(value, 6) AS value FROM ({sql})"
 
 
-def _summary() -> str:
-    each = [f"SELECT '{kind}_at_{k}' AS metric, count(*) AS queries, round(avg(value), 6) AS value FROM ({_measure(kind, k)}) HAVING count(*) > 0" for k in (10, 100) for kind in ("ndcg", "recall", "mrr")]
+def _summary(kinds: tuple[tuple[str, int], ...] = tuple((kind, k) for k in (10, 100) for kind in ("ndcg", "recall", "mrr"))) -> str:
+    each = [f"SELECT '{kind}_at_{k}' AS metric, count(*) AS queries, round(avg(value), 6) AS value FROM ({_measure(kind, k)}) HAVING count(*) > 0" for kind, k in kinds]
     return EVAL + " " + " UNION ALL ".join(each)
 
 
@@ -298,6 +298,12 @@ SELECT qid, pos, doc_id FROM each WHERE doc_id IS NOT NULL AND qid IN (SELECT qi
         "eval_mrr": _rounded(_measure("mrr", 10)),
         "eval_map": _rounded(_measure("map", 1000)),
         "eval_summary": _summary(),
+        "eval_reranking": _summary((("map", 1000), ("ndcg", 10), ("mrr", 10))),
+        "task_stats": f"""WITH {QUERIES}, {QRELS},
+one AS (SELECT "query-id" AS qid, max_by("corpus-ids", len("corpus-ids")) AS ids FROM top_ranked WHERE "query-id" IS NOT NULL AND "corpus-ids" IS NOT NULL GROUP BY 1),
+j AS (SELECT qid, count(*) AS judged, count(*) FILTER (rel > 0) AS relevant FROM qr GROUP BY qid)
+SELECT count(*) AS queries, round(avg(judged), 6) AS judged, round(avg(relevant), 6) AS relevant, round(avg(coalesce(len(list_filter(ids, lambda x: x IS NOT NULL)), 0)), 6) AS candidates
+FROM qs JOIN j ON j.qid = qs.qid LEFT JOIN one ON one.qid = qs.qid""",
         "latency_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
         "leaderboard_pct": "WITH " + LISTS.split(",\nlists AS")[0] + """,
 best AS (SELECT source AS task, qid, max(score) AS score FROM counting GROUP BY ALL),
@@ -308,4 +314,5 @@ FROM best b JOIN ours o ON o.task = b.task GROUP BY b.task, best, mode""",
         "delete_docs": f"WITH {CURRENT} SELECT doc_id, doc_ord FROM cur WHERE {_no(_number('ano') + ' < 2005')}",
         "update_metadata": f"SELECT o.doc_id, {', '.join(_merged(f) for f in ('ano', 'tipo', 'uf', 'tags'))} FROM {_first('doc_ord')} o JOIN {_first('doc_ord DESC')} n ON o.doc_id = n.doc_id",
     }
+    found["index_search"] = found["search_lexical"]
     return found | {name: f"WITH {CURRENT} SELECT doc_id FROM cur WHERE {_WHERE_SQL[name]}" for name in FILTERS}

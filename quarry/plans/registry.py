@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.index import Index
 from quarry.operators import chunking, crud, dense, evaluate, filters, fusion, lexical, search
 from quarry.plans import corpora as c
 from quarry.plans.oracles import FILTERS, SOURCE_WEIGHTS, WHERE, oracle_sql
-from quarry.session import staged
+from quarry.session import staged, work_root
 from quarry.sources.tables import table
 
 __all__ = ["oracle_sql", "queries"]
@@ -119,6 +122,29 @@ def _contract(s: SparkSession, d: str) -> DataFrame:
     return chunking.contract_violations(c.chunks(s, d), c.docs(s, d), c.MAX_CHARS)
 
 
+def _task_stats(s: SparkSession, d: str) -> DataFrame:
+    judged = c.qrels(s, d).groupBy("qid").agg(F.count("*").alias("judged"), F.count_if(F.col("rel") > 0).alias("relevant"))
+    listed = c.wanted(s, d).groupBy("qid").agg(F.count("*").alias("candidates"))
+    rows = c.queries(s, d).select("qid").join(judged, "qid").join(listed, "qid", "left")
+    return rows.agg(F.count("*").alias("queries"), F.avg("judged").alias("judged"), F.avg("relevant").alias("relevant"), F.avg(F.coalesce("candidates", F.lit(0))).alias("candidates")).select("queries", _r("judged"), _r("relevant"), _r("candidates"))
+
+
+def _from_index(s: SparkSession, d: str) -> DataFrame:
+    """The index end to end: add, delete, put back, compact, search."""
+    index = Index(s, f"{work_root(s)}/quarry/index-{uuid.uuid4().hex}", "window", c.MAX_CHARS)
+    rows = c.docs(s, d)
+    index.add_documents(rows)
+    index.delete_documents(rows.where(filters.compile_filter(WHERE)).select("doc_id"))
+    index.add_documents(rows)
+    index.compact()
+    found = index.search(c.queries(s, d), 10, "lexical")
+    return found.select("qid", "rank", "doc_id", _r("score"), "chunk_id", "start", "end")
+
+
+def _with_reranker(s: SparkSession, d: str) -> search.Collection:
+    return replace(c.collection(s, d, vectors=True), reranker=search.ngram_reranker())
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         # text
@@ -170,7 +196,12 @@ def queries() -> dict[str, Query]:
         "rerank_unknown_last": _unknown_last,
         "filtered_search": _searched("lexical", WHERE),
         "json_filter": lambda s, d: table(s, d, "events").where(filters.compile_filter({"k": {"$gte": 50}}, "props")).select("event_id"),
+        "search_hybrid_rerank": lambda s, d: search.search(_with_reranker(s, d), c.queries(s, d), 10, "hybrid_rerank").select("qid", "rank", "doc_id", _r("score"), "chunk_id"),
+        "rerank_ngram": lambda s, d: search.rerank(_with_reranker(s, d), c.queries(s, d), c.wanted(s, d), "rerank").select("qid", "doc_id", _r("score"), "rank"),
+        "index_search": _from_index,
         # evaluation
+        "task_stats": _task_stats,
+        "eval_reranking": lambda s, d: evaluate.evaluate_reranking(c.list_ranking(s, d, "lexical"), c.qrels(s, d)).select("metric", "queries", _r("value")),
         "task_queries": lambda s, d: c.queries(s, d).join(c.qrels(s, d).select("qid").distinct(), "qid", "left_semi"),
         "task_candidates": lambda s, d: c.wanted(s, d).join(c.queries(s, d), "qid", "left_semi").join(c.qrels(s, d).select("qid").distinct(), "qid", "left_semi"),
         "eval_ndcg": _measured(evaluate.ndcg, 10),

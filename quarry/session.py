@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 import zipfile
@@ -118,6 +117,3 @@ def _release_all() -> None:
                 _remove_tree(path.removeprefix("file:").replace("//", "/", 1))
     _written.clear()
 
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism or os.cpu_count() or 1)
