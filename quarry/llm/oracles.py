@@ -96,6 +96,17 @@ kept AS (SELECT doc_id, h FROM spans SEMI JOIN shared USING (h))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM kept a JOIN kept b ON a.h = b.h AND a.doc_id < b.doc_id
 """
 
+_SPANS = """
+WITH win AS (
+  SELECT doc_id, i - 1 AS s, hash(substr(text, i, 240)) AS h
+  FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
+shared AS (SELECT h FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+kept AS (SELECT doc_id, s FROM win SEMI JOIN shared USING (h)),
+cuts AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 240 THEN 0 ELSE 1 END AS new FROM kept),
+spans AS (
+  SELECT doc_id, min(s) AS s, max(s) + 240 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM cuts) GROUP BY doc_id, k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     terms = _terms()
@@ -105,6 +116,9 @@ def oracle_sql() -> dict[str, str]:
 SELECT doc_id, tf.term, tf, df, cf::BIGINT AS cf, round(-log2(df / n) + log2(1 - exp(-cf / n)), 6) AS ridf, round(tf * (-log2(df / n) + log2(1 - exp(-cf / n))), 6) AS score FROM tf JOIN df ON tf.term = df.term CROSS JOIN n""",
         "p2_found": f"""WITH {terms}, n AS (SELECT count(*) AS n FROM cur)
 SELECT term, 'rare' AS mark FROM df WHERE df < 3 UNION ALL SELECT term, 'common' FROM df CROSS JOIN n WHERE df * 3 > n""",
+        "p2_census": f"""WITH {terms}, n AS (SELECT count(*) AS n FROM cur)
+SELECT term, cf::BIGINT AS occurrences, df AS records, unnest(CASE WHEN df < 3 AND df * 3 > n THEN ['rare', 'common'] WHEN df < 3 THEN ['rare'] WHEN df * 3 > n THEN ['common'] ELSE [NULL] END) AS mark FROM df CROSS JOIN n""",
+        "p3_audit": "SELECT NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS doc_id, 0 AS start, 0 AS \"end\", false AS bad_range, false AS too_long, false AS bad_overlap, false AS torn_word WHERE false",
         "p3_found": P3_FOUND,
         "p4_found": f"""WITH {terms},
 tri AS (SELECT DISTINCT doc_id, hash(term, lead(term) OVER w, lead(term, 2) OVER w) AS h, lead(term, 2) OVER w AS last FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
@@ -117,4 +131,8 @@ WHERE c * 5 >= 3 * (p.n + q.n - c) AND f.form <> g.form""",
         "p6_found": f"""WITH {CURRENT}, forms AS (SELECT doc_id, text, {_form("text")} AS form FROM cur WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]'))
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
         "p9_found": P9_FOUND,
+        "p9_spans": f"{_SPANS} SELECT doc_id, s::INT AS start, e::INT AS \"end\" FROM spans",
+        "p9_report": f"""{_SPANS}
+SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(k, 0) AS spans, coalesce(c, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(c, 0)::DOUBLE / length(text) END AS share
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS k, sum(e - s) AS c FROM spans GROUP BY doc_id) x ON x.doc_id = d.doc_id""",
     }
