@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.forms import current_rows
-from quarry.llm.terms import Folder
+from quarry.llm.terms import _RUNS, Folder
 from quarry.session import staged
 
 #: Records of a node that are compared without further splitting.
@@ -51,33 +51,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Codes(dict):
+    """Run of letters and digits -> number of the term it folds to, 0 where it folds to nothing; bounded, refilled when full."""
+
+    def __init__(self, folder: Folder) -> None:
+        super().__init__()
+        self.fold = folder.fold
+
+    def __missing__(self, run: str) -> int:
+        term = self.fold(run)
+        code = int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if term else 0
+        if len(self) > 1_000_000:
+            self.clear()
+        self[run] = code
+        return code
+
+
 class Shingler:
     """Hashed sets of consecutive terms."""
 
     def __init__(self, width: int) -> None:
         self.width = width
         self.folder = Folder()
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes(self.folder)
         self.salts = [np.uint64(int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest(), "little") | 1) for k in range(width)]
 
-    def _code(self, term: str) -> int:
-        got = int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self.codes) > 1_000_000:
-            self.codes.clear()
-        self.codes[term] = got
-        return got
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Distinct shingles, ascending; none if the text has fewer terms than the width."""
-        terms, codes = self.folder.terms(text), self.codes.get
-        if len(terms) < self.width:
-            return np.zeros(0, np.uint64)
-        c = np.array([codes(t) or self._code(t) for t in terms], np.uint64)
+    def of_form(self, form: str) -> np.ndarray:
+        """Distinct shingles of a consistent form, ascending; none if it has fewer terms than the width."""
+        runs = _RUNS(form)
+        c = np.fromiter(map(self.codes.__getitem__, runs), np.uint64, len(runs))
+        if not c.all():
+            c = c[c != 0]
         n = len(c) - self.width + 1
+        if n < 1:
+            return np.zeros(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for k, salt in enumerate(self.salts):
             h = _mix(h + c[k : k + n] * salt)
-        return np.unique(h)
+        h.sort()
+        return h[np.append(True, h[1:] != h[:-1])]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.of_form(self.folder.form(text))
 
 
 _SKETCH_SEEDS = _mix(np.arange(1, 64 * SKETCH_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -93,11 +108,12 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((_mix(least) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _children(values: np.ndarray, row: np.ndarray, chance: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) for tokens sampled at a node: values, row, path run in parallel."""
+def _children(values: np.ndarray, most: np.ndarray, path: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(which, child path) of the tokens sampled at a node: a token is sampled
+    where its hash with the path is below ``most``. path: of each token, or one for all."""
     drawn = _mix(values + path * np.uint64(0x9E3779B97F4A7C15))
-    sampled = (drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53 < chance[row]
-    return row[sampled], _mix(drawn[sampled] + np.uint64(0xD1B54A32D192ED03))
+    which = np.flatnonzero(drawn < most)
+    return which, _mix(drawn[which] + np.uint64(0xD1B54A32D192ED03))
 
 
 def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.ndarray], level: int, leaves: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +121,16 @@ def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.
     the ends of all paths. split[k] holds the paths of level k + 1 that are
     split, ascending."""
     sizes = np.array([len(t) for t in tokens])
-    chance = np.minimum(1.0, 1.0 / (threshold * np.maximum(sizes, 1)))
+    # a token is sampled with the chance 1 / (threshold * size)
+    most = (np.minimum(1.0, 1.0 / (threshold * np.maximum(sizes, 1))) * (2.0**64 - 2048)).astype(np.uint64)
     flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if tokens else np.zeros(0, np.int64)
     row_of = np.repeat(np.arange(len(tokens)), sizes)
+    flat_most = most[row_of]
     ends: list[tuple[np.ndarray, np.ndarray]] = []
-    found = [_children(flat, row_of, chance, np.full(len(flat), _mix(np.array([r + 1], np.uint64))[0])) for r in range(runs)]
-    row, path = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    with np.errstate(over="ignore"):
+        found = [_children(flat, flat_most, root) for root in _mix(np.arange(1, runs + 1, dtype=np.uint64))]
+    row, path = row_of[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found])
     for k in range(1, level + 1):
         if k == level and not leaves:
             return row, path
@@ -127,7 +146,9 @@ def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.
         n = sizes[row]
         which = np.repeat(np.arange(len(row)), n)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        row, path = _children(flat[start[row[which]] + inside], row[which], chance, path[which])
+        own = row[which]
+        found_at, path = _children(flat[start[own] + inside], most[own], path[which])
+        row = own[found_at]
     if leaves:
         ends.append((row, path))
         return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
@@ -152,10 +173,11 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             ids, forms, sets = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text)
+                form = shingles.folder.form(text)
+                s = shingles.of_form(form)
                 if len(s):
                     ids.append(doc_id)
-                    forms.append(hashlib.md5(shingles.folder.form(text).encode("utf-8", "surrogatepass")).digest())
+                    forms.append(hashlib.md5(form.encode("utf-8", "surrogatepass")).digest())
                     sets.append(hashlib.md5(s.tobytes()).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(forms, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "form_key", "set_key"])
 
