@@ -5,7 +5,8 @@ each record samples tokens of its set, about 1 / threshold of them, by a hash
 of the path and the token, so that records that share much sample the same
 ones; each sampled token leads to a child node. Nodes that are small enough
 are compared by brute force on bit sketches, larger ones are split again, and
-runs are repeated until the target recall. Pairs that pass are checked exactly.
+runs are repeated until the target recall; how many that takes follows from the
+levels that the nodes were really split to. Pairs that pass are checked exactly.
 
 Spark holds no node: a node is a 64-bit path. For each level, one pass over the
 sets counts records by path; only paths above the size of a bucket come to the
@@ -38,8 +39,10 @@ BUCKET = 500
 SPLIT_SHARE = 100_000
 #: Levels after which a node is compared whatever its size, block by block.
 DEPTH = 8
-#: Recall of one run that the number of runs assumes; tests measure it from above.
+#: Recall of one run from which the number of the first runs follows; the depth that these reach tells how many are added.
 RUN_RECALL = 0.5
+#: Runs whose paths are extended at a time.
+_RUNS_AT_ONCE = 14
 #: Rows whose tokens are expanded at a time.
 _SLICE = 400
 SKETCH_WORDS = 4
@@ -116,10 +119,21 @@ def _children(values: np.ndarray, most: np.ndarray, path: np.ndarray | np.uint64
     return which, _mix(drawn[which] + np.uint64(0xD1B54A32D192ED03))
 
 
-def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.ndarray], level: int, leaves: bool) -> tuple[np.ndarray, np.ndarray]:
+def depth_recall(depth: int) -> float:
+    """Least recall of a run whose paths have at most ``depth`` levels, for a
+    pair at the threshold: at every node the two sample one common token on
+    average at least (just one if one set holds the other), and meet if they
+    do below any of these."""
+    met = 1.0
+    for _ in range(depth):
+        met = -math.expm1(-met)
+    return met
+
+
+def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.ndarray], level: int, leaves: bool, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, path): the records' paths of the given level, or, with leaves,
     the ends of all paths. split[k] holds the paths of level k + 1 that are
-    split, ascending."""
+    split, ascending. first: runs that go before these."""
     sizes = np.array([len(t) for t in tokens])
     # a token is sampled with the chance 1 / (threshold * size)
     most = (np.minimum(1.0, 1.0 / (threshold * np.maximum(sizes, 1))) * (2.0**64 - 2048)).astype(np.uint64)
@@ -129,7 +143,7 @@ def paths(tokens: list[np.ndarray], threshold: float, runs: int, split: list[np.
     flat_most = most[row_of]
     ends: list[tuple[np.ndarray, np.ndarray]] = []
     with np.errstate(over="ignore"):
-        found = [_children(flat, flat_most, root) for root in _mix(np.arange(1, runs + 1, dtype=np.uint64))]
+        found = [_children(flat, flat_most, root) for root in _mix(np.arange(first + 1, first + runs + 1, dtype=np.uint64))]
     row, path = row_of[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found])
     for k in range(1, level + 1):
         if k == level and not leaves:
@@ -205,8 +219,14 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return staged(many, "copies"), sets
 
 
-def _split_paths(sets: DataFrame, threshold: float, runs: int, bucket: int) -> list[np.ndarray]:
-    """The paths to be split, by level."""
+def _run_parts(first: int, runs: int) -> Iterator[tuple[int, int]]:
+    """(first, runs) of parts that are extended at a time, so that memory does not grow with the runs."""
+    for k in range(first, first + runs, _RUNS_AT_ONCE):
+        yield k, min(_RUNS_AT_ONCE, first + runs - k)
+
+
+def _split_paths(sets: DataFrame, threshold: float, runs: int, bucket: int, first: int = 0) -> list[np.ndarray]:
+    """The paths of the runs after ``first`` to be split, by level."""
     split: list[np.ndarray] = []
     most = max(bucket, sets.count() // SPLIT_SHARE)
     for level in range(1, DEPTH):
@@ -216,8 +236,9 @@ def _split_paths(sets: DataFrame, threshold: float, runs: int, bucket: int) -> l
             for batch in batches:
                 tokens = _token_arrays(batch.column(0))
                 for k in range(0, len(tokens), _SLICE):
-                    path, n = np.unique(paths(tokens[k : k + _SLICE], threshold, runs, known, level, False)[1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(n.astype(np.int64))], ["path", "n"])
+                    for before, some in _run_parts(first, runs):
+                        path, n = np.unique(paths(tokens[k : k + _SLICE], threshold, some, known, level, False, before)[1], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(n.astype(np.int64))], ["path", "n"])
 
         large = sets.select("tokens").mapInArrow(count, "path bigint, n bigint").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") > most)
         found = np.array([r.path for r in large.select("path").collect()], np.int64).view(np.uint64)
@@ -282,16 +303,25 @@ def similar_sets(sets: DataFrame, threshold: Fraction, recall: float = 0.9999, b
     """(a, b), a < b: reps whose sets have a Jaccard similarity of ``threshold`` or more."""
     low = float(threshold)
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - RUN_RECALL)))
-    split = _split_paths(sets, low, runs, bucket)
-    depth = len(split) + 1
+    # (first, runs, split paths) of runs that were split together; to_miss: logarithm of the chance of a miss that is still too much
+    done: list[tuple[int, int, list[np.ndarray]]] = []
+    first, to_miss = 0, math.log(1 - recall)
+    while runs > 0:
+        split = _split_paths(sets, low, runs, bucket, first)
+        done.append((first, runs, split))
+        miss = math.log1p(-depth_recall(len(split) + 1))
+        first, to_miss = first + runs, to_miss - runs * miss
+        runs = math.ceil(to_miss / miss)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _token_arrays(batch.column(2))
             for k in range(0, len(tokens), _SLICE):
-                row, path = paths(tokens[k : k + _SLICE], low, runs, split, depth, True)
-                take = pa.array(row + k)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take)], ["path", "rep", "n", "sketch"])
+                for start, together, split in done:
+                    for before, some in _run_parts(start, together):
+                        row, path = paths(tokens[k : k + _SLICE], low, some, split, len(split) + 1, True, before)
+                        take = pa.array(row + k)
+                        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take)], ["path", "rep", "n", "sketch"])
 
     ends = sets.select("rep", "n", "tokens", "sketch").mapInArrow(leaves, "path bigint, rep string, n int, sketch binary")
     met = ends.repartition("path").sortWithinPartitions("path")

@@ -51,6 +51,23 @@ def test_pairs_through_split_nodes(make_docs, items, rows):
     assert got == rows(pj.similar_sets(sets, Fraction(3, 5), bucket=10**6)) and len(got) > 15
 
 
+def test_contained_sets_through_deep_nodes(spark):
+    """Sets just at the threshold, one inside the other, under templates that keep nodes large at every level."""
+    rng = np.random.default_rng(4)
+    sets, want = [], set()
+    for i in range(400):
+        if i % 4 == 0:
+            template = rng.integers(0, 2**63, 29, dtype=np.uint64)
+        small = np.append(template, rng.integers(0, 2**63, 1, dtype=np.uint64))
+        large = np.append(small, rng.integers(0, 2**63, 20, dtype=np.uint64))
+        sets += [(f"{name}{i:03}", len(t), np.sort(t).view(np.int64).tolist(), bytearray(pj.sketch(t).tobytes())) for name, t in (("l", large), ("s", small))]
+        want.add((f"l{i:03}", f"s{i:03}"))
+    frame = pj.staged(spark.createDataFrame(sets, "rep string, n int, tokens array<bigint>, sketch binary"), "sets")
+    assert len(pj._split_paths(frame, 0.6, 2, 3)) >= 3
+    met = {tuple(r) for r in pj.similar_sets(frame, Fraction(3, 5), bucket=3).where("a like 'l%' and b like 's%'").collect()}
+    assert met == want
+
+
 def test_groups(make_docs, items, rows):
     text, rng = dict(items), random.Random(1)
     got = {r.doc_id: (r.group_id, r.links) for r in pj.near_duplicate_groups(make_docs(items), 3, Fraction(3, 5)).collect()}
