@@ -182,9 +182,9 @@ def queries() -> dict[str, Query]:
         "dense_topk": lambda s, d: dense.topk(c.vectors(s, d), c.vector_queries(s, d), 10, "vec_id"),
         "search_dense": _searched("dense"),
         # fusion
-        "rrf_fuse": lambda s, d: fusion.rrf(c.lists(s, d, 100), "chunk_id").select("qid", "chunk_id", _r("score", 9)),
-        "rrf_weighted": lambda s, d: fusion.rrf(c.lists(s, d, 100), "chunk_id", 60, SOURCE_WEIGHTS).select("qid", "chunk_id", _r("score", 9)),
-        "doc_maxpool": lambda s, d: fusion.pool_documents(fusion.rrf(c.lists(s, d, 100), ["chunk_id", "doc_id"]), "chunk_id").select("qid", "doc_id", "chunk_id", _r("score")),
+        "rrf_fuse": lambda s, d: fusion.rrf(c.lists(s, d), "chunk_id").select("qid", "chunk_id", _r("score", 9)),
+        "rrf_weighted": lambda s, d: fusion.rrf(c.lists(s, d), "chunk_id", 60, SOURCE_WEIGHTS).select("qid", "chunk_id", _r("score", 9)),
+        "doc_maxpool": lambda s, d: fusion.pool_documents(fusion.rrf(c.lists(s, d), ["chunk_id", "doc_id"]), "chunk_id").select("qid", "doc_id", "chunk_id", _r("score")),
         "search_hybrid": _searched("hybrid"),
         "search_chunks": lambda s, d: search.search_chunks(c.collection(s, d, vectors=True), c.queries(s, d), 10).select("qid", "rank", "chunk_id", _r("score"), "start", "end"),
         "retrieve_ranking": lambda s, d: search.retrieve_ranking(c.collection(s, d), c.queries(s, d), 100, "lexical"),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, dense, fusion, lexical, search
+from quarry.plans import registry
 
 
 def corpus(spark, texts):
@@ -149,3 +150,16 @@ def test_partitions_do_not_change_results(spark, small):
     one = sorted(map(tuple, search.search(small, q, 3).collect()))
     moved = search.Collection(small.chunks.repartition(7), small.docs.repartition(3))
     assert sorted(map(tuple, search.search(moved, q, 3).collect())) == one
+
+
+def test_stored_lists_are_fused_whole(spark, tmp_path):
+    """A list of more rows than any retriever's depth counts to its last row."""
+    hits = [("q1", source, f"d{i % 7}#{i:03}", f"d{i % 7}", float(-i if source == "dense" else i)) for source in ("dense", "lexical") for i in range(130)]
+    hits += [("q1", "dense", "far#000", "far", -1000.0)]
+    frame = spark.createDataFrame(hits, "qid string, source string, chunk_id string, doc_id string, score double")
+    frame.selectExpr("*", "0 as start", "1 as end", "timestamp_ntz'2024-01-01' as run_ts").write.parquet(f"{tmp_path}/hits.parquet")
+    want = {f"d{i % 7}#{i:03}": (1 / (61 + i), 1 / (190 - i)) for i in range(130)} | {"far#000": (1 / 191, 0.0)}
+    for name, weight in (("rrf_fuse", 1.0), ("rrf_weighted", 3.0)):
+        got = {r.chunk_id: r.score for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == pytest.approx({k: d + weight * x for k, (d, x) in want.items()}, abs=2e-9)
+    assert {r.doc_id for r in registry.queries()["doc_maxpool"](spark, str(tmp_path)).collect()} == {*(f"d{i}" for i in range(7)), "far"}
