@@ -264,10 +264,10 @@ def same_looking_pairs(docs: DataFrame) -> DataFrame:
     have the same consistent form. Texts without a letter or digit and null
     texts are left out.
 
-    Records meet on a digest of the form. Groups in which all texts are equal
-    are dropped before pairs are made, and pairs are made only between records
-    of different stored texts; a group's hot copies spread over tasks by the
-    shuffle on the pair of digests."""
+    What meets on a digest of the form are the distinct stored texts, once
+    each; forms with a single one are dropped before. Only pairs of different
+    texts are then expanded to their records, first on one side, then on the
+    other, so no pair of equal copies is ever made."""
     freq = fit_rewriter(docs)
     records = current_rows(docs, "text").where("text is not null")
     keyed = consistent_form(records, "text", "form", freq).where(F.col("text").rlike(r"[\p{L}\p{N}]")).select(
@@ -281,7 +281,9 @@ def same_looking_pairs(docs: DataFrame) -> DataFrame:
     # the distinct stored texts of each form: copies do not multiply here
     texts = keyed.groupBy("form_key", "text_key").agg(F.count("*").alias("n"))
     many = texts.groupBy("form_key").agg(F.count("*").alias("texts")).where("texts > 1").select("form_key")
-    mixed = keyed.join(many, "form_key", "left_semi")
-    a = mixed.select("form_key", F.col("text_key").alias("ta"), F.col("doc_id").alias("doc_id_a"))
-    b = mixed.select("form_key", F.col("text_key").alias("tb"), F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "form_key").where("ta <> tb and doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    mixed = staged(texts.join(many, "form_key", "left_semi").select("form_key", "text_key"), "mixed")
+    members = keyed.join(mixed.select("text_key"), "text_key", "left_semi").select("text_key", "doc_id")
+    pairs = mixed.select("form_key", F.col("text_key").alias("ta")).join(mixed.select("form_key", F.col("text_key").alias("tb")), "form_key").where("ta < tb").select("ta", "tb")
+    left = pairs.join(members.select(F.col("text_key").alias("ta"), F.col("doc_id").alias("x")), "ta").select("x", "tb")
+    both = left.join(members.select(F.col("text_key").alias("tb"), F.col("doc_id").alias("y")), "tb")
+    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))

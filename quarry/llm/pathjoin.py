@@ -343,8 +343,12 @@ def near_duplicate_pairs(docs: DataFrame, width: int = 3, threshold: Fraction =
     met = similar_sets(sets, threshold, recall)
     left = met.join(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), "a", "left").select(F.coalesce("x", "a").alias("x"), "b")
     both = left.join(copies.select(F.col("rep").alias("b"), F.col("doc_id").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
-    p, q = copies.alias("p"), copies.alias("q")
-    inside = p.join(q, "rep").where("p.doc_id < q.doc_id and p.form_key <> q.form_key").select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y"))
+    # within a set, the distinct forms meet first, so no pair of equal forms is made
+    forms = copies.select("rep", "form_key").distinct()
+    p, q = forms.select("rep", F.col("form_key").alias("fp")), forms.select("rep", F.col("form_key").alias("fq"))
+    differ = p.join(q, "rep").where("fp < fq")
+    first = differ.join(copies.select("rep", F.col("form_key").alias("fp"), F.col("doc_id").alias("x")), ["rep", "fp"]).select("rep", "fq", "x")
+    inside = first.join(copies.select("rep", F.col("form_key").alias("fq"), F.col("doc_id").alias("y")), ["rep", "fq"]).select("x", "y")
     return both.unionAll(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
