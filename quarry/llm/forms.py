@@ -194,7 +194,18 @@ def _ranges(points: Iterable[int]) -> str:
     return "".join(parts)
 
 
-_MARKS = [cp for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp))]
+def _joining_points() -> Iterator[int]:
+    """Characters that compose with the one before though their combining class
+    is 0: conjoining Jamo, and second parts of other canonical pairs."""
+    for lo, hi in ((0x1100, 0x11FF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF)):
+        yield from range(lo, hi + 1)
+    for cp in _changing_points():
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and not unicodedata.combining(parts[-1]):
+            yield ord(parts[-1])
+
+
+_MARKS = sorted({*_joining_points(), *(cp for cp in range(0x300, 0x110000) if unicodedata.combining(chr(cp)))})
 
 
 @lru_cache(maxsize=1)

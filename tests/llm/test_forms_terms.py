@@ -148,3 +148,17 @@ def test_burst_trie(words):
     assert got == want and trie.size == len(want)
     parts = census._parts(trie, 5).to_pylist()
     assert {(r["path"] + s): (o, c) for r in parts[:-1] for s, o, c in zip(r["suffixes"], r["occurrences"], r["records"])} == want
+
+
+# decomposed Hangul, a syllable with a final Jamo, compatibility and half-width Jamo, old Jamo, vowel signs without a class
+JOINING = ["한글", "각", "ㄱㅏ", "ﾡￂ", "ꥠᅡퟋ", "ো", "ௌ a"]
+
+
+@pytest.mark.parametrize("text", JOINING)
+def test_characters_that_join_without_a_class(text):
+    assert forms.rewriter()(text) == definition(text) == forms.rewriter()(definition(text))
+
+
+def test_composed_and_decomposed_hangul_look_the_same(make_docs, rows):
+    docs = make_docs([("a", "한글 lei"), ("b", "한글 lei"), ("c", "lei")])
+    assert rows(forms.same_looking_pairs(docs)) == [("a", "b")]
