@@ -376,3 +376,11 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, threshold: Fraction =
     reps = sets.select("rep").join(label, "rep", "left").join(links, "rep", "left").select("rep", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
     members = reps.join(copies.select("rep", "doc_id"), "rep", "left")
     return members.select(F.coalesce("doc_id", "rep").alias("doc_id"), "group_id", "links")
+
+
+def record_groups(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), recall: float = 0.9999) -> DataFrame:
+    """near_duplicate_groups with a row for every record: one without enough
+    terms, an empty one too, is a group of its own. A null text is no record."""
+    records = current_rows(docs.withColumn("text", F.col("text").isNotNull()), "text").where("text").select("doc_id")
+    groups = near_duplicate_groups(docs, width, threshold, recall)
+    return records.join(groups, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -23,7 +23,7 @@ def queries() -> dict[str, Query]:
         "p3_pieces": lambda s, d: splitter.split_records(table(s, d, "docs")),
         "p3_audit": lambda s, d: splitter.audit_pieces(table(s, d, "docs"), splitter.as_chunks(splitter.split_records(table(s, d, "docs")))).where("bad_range or too_long or bad_overlap or torn_word"),
         "p4_found": lambda s, d: pathjoin.near_duplicate_pairs(table(s, d, "docs")),
-        "p4_groups": lambda s, d: pathjoin.near_duplicate_groups(table(s, d, "docs")),
+        "p4_groups": lambda s, d: pathjoin.record_groups(table(s, d, "docs")),
         "p5_found": lambda s, d: rankmix.head_of_all_lists(table(s, d, "hits")),
         "p5_order": lambda s, d: rankmix.fused_order(table(s, d, "hits")),
         "p6_found": lambda s, d: forms.same_looking_pairs(table(s, d, "docs")),

@@ -1,6 +1,6 @@
 """Equal copies of a record multiply only where the result does."""
 
-from quarry.llm import forms, pathjoin
+from quarry.llm import forms, pathjoin, queries
 
 VARIANTS = [("v0", "a conta dos prazos da lei"), ("v1", "а conta dos prazos da lei"), ("v2", "A conta dos prazos, da lei"), ("v3", "outra coisa sem nada em comum")]
 
@@ -35,3 +35,10 @@ def test_copies_of_one_set(make_docs, rows):
     assert rows(pairs) == sorted((a, b) for a in form for b in form if a < b and form[a] != form[b] and "v3" not in (a, b))
     met = compared(pairs)
     assert met and not any("doc_id" in m for m in met)
+
+
+def test_every_record_has_a_group(make_docs, rows, tmp_path):
+    items = [("a", "um dois três quatro cinco seis"), ("b", "um dois tres quatro cinco seis"), ("s", "um dois"), ("t", "um dois"), ("e", ""), ("n", None), ("o", None, 2), ("o", "versão antiga", 1)]
+    make_docs(items).write.parquet(f"{tmp_path}/docs.parquet")
+    got = queries.queries()["p4_groups"](make_docs(items).sparkSession, str(tmp_path))
+    assert rows(got, "doc_id", "group_id", "links") == [("a", "a", 0), ("b", "a", 0), ("e", "e", 0), ("s", "s", 0), ("t", "t", 0)]
