@@ -54,17 +54,36 @@ def ship_package(spark: SparkSession) -> None:
 
 def work_root(spark: SparkSession) -> str:
     """Folder shared by all executors: spark.checkpoint.dir, or a temporary one
-    where that setting is absent (tests on one machine)."""
+    where that setting is absent on one machine. On a cluster without it this
+    raises an error: executors would each write to a disk of their own."""
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(_remove_tree, _local_root)
     return f"file://{_local_root}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; who writes there removes it."""
+    return f"{work_root(spark)}/quarry/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to keep them busy, as a
+    small table in one file is; larger inputs are left as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Rows of keys that a plan may broadcast, after they were counted.
+BROADCAST_ROWS = 200_000
+
+
 def staged(df: DataFrame, label: str = "part", partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df once as Parquet in the shared folder and return it as read back.
 
@@ -73,7 +92,7 @@ def staged(df: DataFrame, label: str = "part", partition_by: tuple[str, ...] = (
     interpreter) removes them.
     """
     spark = df.sparkSession
-    path = f"{work_root(spark)}/quarry/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -88,13 +107,14 @@ def release(spark: SparkSession) -> None:
     keep = []
     for owner, path in _written:
         if owner is spark:
-            _delete(spark, path)
+            remove(spark, path)
         else:
             keep.append((owner, path))
     _written[:] = keep
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, on whatever file system it is; one that is not there changes nothing."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -111,7 +131,7 @@ def _release_all() -> None:
     for owner, path in _written:
         try:
             if owner.sparkContext._jsc is not None:
-                _delete(owner, path)
+                remove(owner, path)
         except Exception:  # the JVM may be gone already
             if path.startswith("file:"):
                 _remove_tree(path.removeprefix("file:").replace("//", "/", 1))
