@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import BROADCAST_ROWS, spread, staged
+
 # Letters of other alphabets and the Latin letters they look like.
 LOOK_ALIKES = {
     # Greek
@@ -214,17 +216,35 @@ def rewriter() -> Rewriter:
     return Rewriter()
 
 
+def _newest(docs: DataFrame, keep: list[str]) -> DataFrame:
+    order = Window.partitionBy("doc_id").orderBy(F.col("updated").desc_nulls_last(), F.col("doc_ord").desc_nulls_last())
+    return docs.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keep)
+
+
 def current_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """The current row of each doc_id: the one with the greatest ``updated``.
 
     Rows that tie are equal by definition; of others the latest doc_ord is
     taken. A null ``updated`` counts as the oldest. Rows without doc_id are no
     records and are left out. A current text may be null.
+
+    Texts move only where they must: the ids of several rows are counted
+    first, and while these are few, only their rows are shuffled.
     """
     keep = ["doc_id", *columns]
-    order = Window.partitionBy("doc_id").orderBy(F.col("updated").desc_nulls_last(), F.col("doc_ord").desc_nulls_last())
-    need = list(dict.fromkeys([*keep, "updated", "doc_ord"]))
-    return docs.select(*need).where("doc_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*keep)
+    rows = docs.select(*dict.fromkeys([*keep, "updated", "doc_ord"])).where("doc_id is not null")
+    several = staged(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "versions")
+    if several.count() > BROADCAST_ROWS:
+        return _newest(rows, keep)
+    rows = spread(rows)
+    told = F.broadcast(several)
+    return rows.join(told, "doc_id", "left_anti").select(*keep).unionAll(_newest(rows.join(told, "doc_id", "left_semi"), keep))
+
+
+def record_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id): the records, those with a current text, without reading texts twice or moving them."""
+    rows = docs.where("doc_id is not null").select("doc_id", "updated", "doc_ord", F.col("text").isNotNull().alias("_there"))
+    return _newest(rows, ["doc_id", "_there"]).where("_there").select("doc_id")
 
 
 def code_point_counts(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -286,8 +306,6 @@ def same_looking_pairs(docs: DataFrame) -> DataFrame:
         F.unhex(F.md5("form")).alias("form_key"),
         F.unhex(F.md5("text")).alias("text_key"),
     )
-    from quarry.session import staged
-
     keyed = staged(keyed, "forms")
     # the distinct stored texts of each form: copies do not multiply here
     texts = keyed.groupBy("form_key", "text_key").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.forms import current_rows
+from quarry.llm.forms import record_ids
 from quarry.llm.terms import record_terms
 from quarry.session import staged
 
@@ -39,7 +39,7 @@ def distinctive_terms(docs: DataFrame) -> DataFrame:
     """
     rows = staged(record_terms(docs), "terms")
     stats = staged(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf")), "termstats")
-    n = _with_text(docs).agg(F.count("*").alias("n"))
+    n = record_ids(docs).agg(F.count("*").alias("n"))
     total = rows.count()
     hot = F.col("df") * HOT_SHARE > total
     hot_stats = stats.where(hot)
@@ -51,11 +51,6 @@ def distinctive_terms(docs: DataFrame) -> DataFrame:
     return joined.join(F.broadcast(n)).select("doc_id", "term", "tf", "df", "cf", ridf.alias("ridf"), (F.col("tf") * ridf).alias("score"))
 
 
-def _with_text(docs: DataFrame) -> DataFrame:
-    """Keys of the records, without moving their texts."""
-    return current_rows(docs.withColumn("text", F.col("text").isNotNull()), "text").where("text").select("doc_id")
-
-
 def distinctive_found(docs: DataFrame, min_tf: int = 3, min_length: int = 5, min_df: int = 2, max_df: int = 4) -> DataFrame:
     """(doc_id, term): terms of letters only that a record uses repeatedly and few records share."""
     return (
