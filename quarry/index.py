@@ -1,9 +1,15 @@
-"""A persistent index: versioned Parquet tables and a pointer to the current version.
-
-A version is a folder with ``docs``, ``chunks``, ``vectors`` and ``postings``.
-Every change writes a new version and then moves the pointer, so readers see
-one whole version and a failed job leaves the old one. Unchanged documents are
-taken over by anti-join; only new texts are cut, encoded and counted.
+"""A persistent index: Parquet parts and a manifest of the current ones.
+
+Every change writes one part with just what is new: ``docs``, ``chunks``,
+``vectors`` and ``postings`` of added documents, ``docs`` alone where only
+metadata change, and in ``gone`` the ids whose rows in earlier parts no longer
+count. Rows carry the number of their part, so a row is live if no later part
+lists its document as gone. The manifest is replaced last, so readers see
+whole changes and a failed job leaves the index as it was; of two writers at a
+time the later one wins. ``compact`` merges all parts into one.
+
+The manifest holds the options that chunks and vectors depend on; an index is
+opened with these, and other ones raise an error.
 """
 
 from __future__ import annotations
@@ -28,46 +34,64 @@ _TABLES = {
     "vectors": "slot bigint, doc_id string, v array<double>",
     "postings": "term string, slot bigint, doc_id string, tf bigint, dl bigint",
 }
+_GONE = "doc_id string, part bigint"
+#: Bytes of a file that compact writes.
+FILE_BYTES = 128 << 20
+
+
+def _name_of(make: Callable[..., Any]) -> str:
+    return getattr(make, "__qualname__", type(make).__qualname__)
 
 
 class Index:
-    """Documents, their chunks, vectors and postings under ``path``."""
+    """Documents, their chunks, vectors and postings under ``path``. Options
+    that are not given are those that the index was made with, or ``structure``,
+    2500 and 100 for a new one."""
 
     def __init__(
         self,
         spark: SparkSession,
         path: str,
-        mode: str = "structure",
-        max_chars: int = 2500,
-        min_chars: int = 100,
+        mode: str | None = None,
+        max_chars: int | None = None,
+        min_chars: int | None = None,
         encoder: Callable[[], dense.Encoder] = dense.HashingEncoder,
         bm25: BM25 = BM25(),
         reranker: search.Reranker | None = None,
     ) -> None:
-        if mode not in chunking.SPLITTERS:
+        if mode is not None and mode not in chunking.SPLITTERS:
             raise ValueError(f"unknown chunk mode: {mode!r}")
         ship_package(spark)
         self.spark, self.path = spark, path.rstrip("/")
-        self.mode, self.max_chars, self.min_chars = mode, max_chars, min_chars
         self.encoder, self.bm25, self.reranker = encoder, bm25, reranker
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        asked = {"mode": mode, "max_chars": max_chars, "min_chars": min_chars, "encoder": _name_of(encoder)}
+        held = self._manifest().get("options", {})
+        for name, value in asked.items():
+            if held and value is not None and value != held[name]:
+                raise ValueError(f"the index was made with {name}={held[name]!r}, not {value!r}")
+        defaults = {"mode": "structure", "max_chars": 2500, "min_chars": 100}
+        self.options = held or {k: defaults[k] if v is None else v for k, v in asked.items()}
+        self.mode, self.max_chars, self.min_chars = (self.options[k] for k in defaults)
 
     # files
 
     def _at(self, *parts: str) -> Any:
         return self._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
 
-    def _read_pointer(self) -> str | None:
+    def _manifest(self) -> dict:
+        """options, parts (number, folder, tables, gone: tables in which it has
+        ids gone) and the next number and doc_ord; empty for a new index."""
         if not self._fs.exists(self._at("CURRENT")):
-            return None
-        return self.spark.read.text(self._at("CURRENT").toString(), wholetext=True).first()[0].strip()
+            return {}
+        return json.loads(self.spark.read.text(self._at("CURRENT").toString(), wholetext=True).first()[0])
 
-    def _point(self, version: str) -> None:
-        """Put the pointer in place by a rename: there is always a whole one."""
+    def _put(self, manifest: dict) -> None:
+        """Put the manifest in place by a rename: there is always a whole one."""
         draft = self._at(f"CURRENT.{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
         options = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if self._fs.getScheme() != "file" else self._jvm.java.net.URI("file:///"))
@@ -75,18 +99,36 @@ class Index:
         array[0] = options
         context.rename(context.makeQualified(draft), context.makeQualified(self._at("CURRENT")), array)
 
+    def _parts(self, manifest: dict, name: str, kind: str = "tables") -> list[str]:
+        return [self._at(p["folder"], name if kind == "tables" else "gone").toString() for p in manifest.get("parts", ()) if name in p[kind]]
+
     def table(self, name: str) -> DataFrame:
-        version = self._read_pointer()
-        if version is None:
+        """The live rows of docs, chunks, vectors or postings."""
+        manifest = self._manifest()
+        paths = self._parts(manifest, name)
+        if not paths:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(self._at(version, name).toString())
-
-    def _write(self, tables: Mapping[str, DataFrame]) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+        rows = self.spark.read.schema(_TABLES[name] + ", part bigint").parquet(*paths)
+        gone = self._parts(manifest, name, "gone")
+        if gone:
+            last = self.spark.read.schema(_GONE).parquet(*gone).groupBy("doc_id").agg(F.max("part").alias("_gone"))
+            rows = rows.join(last.withColumnRenamed("doc_id", "_id"), (F.col("doc_id") == F.col("_id")) & (F.col("part") < F.col("_gone")), "left_anti")
+        return rows.drop("part")
+
+    def _write(self, tables: Mapping[str, DataFrame], gone: DataFrame | None = None, gone_from: Iterable[str] = (), instead: bool = False) -> None:
+        """One more part, or with ``instead`` one for all. gone: (doc_id) whose
+        rows in earlier parts of the tables gone_from no longer count."""
+        manifest = self._manifest() or {"options": self.options, "next": 0, "doc_ord": 0, "parts": []}
+        number, folder = manifest["next"], f"p-{uuid.uuid4().hex}"
         for name, df in tables.items():
             out = df.sort("term") if name == "postings" else df  # equal terms together: row groups of other terms are skipped
-            out.write.option("compression", "zstd").parquet(self._at(version, name).toString())
-        self._point(version)
+            out.withColumn("part", F.lit(number).cast("bigint")).write.option("compression", "zstd").parquet(self._at(folder, name).toString())
+        if gone is not None:
+            gone.select("doc_id", F.lit(number).cast("bigint").alias("part")).write.parquet(self._at(folder, "gone").toString())
+        part = {"number": number, "folder": folder, "tables": sorted(tables), "gone": sorted(gone_from) if gone is not None else []}
+        top = tables["docs"].agg(F.max("doc_ord")).first()[0] if "docs" in tables else None
+        following = manifest["doc_ord"] if top is None else max(manifest["doc_ord"], top + 1)
+        self._put(manifest | {"next": number + 1, "doc_ord": following, "parts": [part] if instead else [*manifest["parts"], part]})
 
     # changes
 
@@ -99,6 +141,11 @@ class Index:
             "postings": lexical.postings(chunks),
         }
 
+    def _known(self, ids: DataFrame) -> DataFrame | None:
+        """Those of ids(doc_id) that the index has, None where it has none."""
+        known = self.table("docs").select("doc_id").join(ids.select("doc_id"), "doc_id", "left_semi")
+        return None if known.isEmpty() else known
+
     def add_documents(self, docs: DataFrame | Mapping[object, str | None] | Iterable, metadata: Mapping[str, Any] | DataFrame | None = None) -> int:
         """Put documents in, over those of the same id, and return the number
         of their chunks. docs: (doc_id, text, doc_ord?, meta?) or what
@@ -116,63 +163,82 @@ class Index:
             new = new.withColumn("meta", F.lit("{}"))
         # the last of equal ids by doc_ord, then as the rows come
         new = crud.latest(new.withColumn("_come", F.struct("doc_ord", F.monotonically_increasing_id())), "doc_id", "_come")
-        base = self.table("docs")
-        version = f"{self.path}/in-{uuid.uuid4().hex}"
+        draft = self._at(f"in-{uuid.uuid4().hex}")
         rows = new.select("doc_id", "doc_ord", canonicalize("text").alias("text"), F.coalesce("meta", F.lit("{}")).alias("meta"), F.current_timestamp().alias("updated"))
         order = rows.sort("doc_ord", "doc_id").withColumn("_row", F.monotonically_increasing_id())
-        order.drop("doc_ord").write.parquet(version)
-        written = self.spark.read.parquet(version)
-        # positions follow those in the index without gaps: rows of each written part are numbered, parts are few
-        part, inside = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
-        start = base.agg(F.max("doc_ord")).first()[0]
-        at, offsets = 0 if start is None else start + 1, []
-        for r in written.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
-            offsets.append((r.p, at))
-            at += r.n
-        if not offsets:
-            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(version), True)
-            return 0
-        first = self.spark.createDataFrame(offsets, "_p bigint, _first bigint")
         try:
+            order.drop("doc_ord").write.parquet(draft.toString())
+            written = self.spark.read.parquet(draft.toString())
+            # positions follow those in the index without gaps: rows of each written part are numbered, parts are few
+            part, inside = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
+            at, offsets = self._manifest().get("doc_ord", 0), []
+            for r in written.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+                offsets.append((r.p, at))
+                at += r.n
+            if not offsets:
+                return 0
+            first = self.spark.createDataFrame(offsets, "_p bigint, _first bigint")
             rows = written.withColumn("_p", part).join(F.broadcast(first), "_p").select("doc_id", (F.col("_first") + inside).alias("doc_ord"), "text", "meta", "updated")
-            keys = rows.select("doc_id")
-            made = self._analysed(rows)
-            kept = {name: self.table(name).join(keys, "doc_id", "left_anti").select(made[name].columns) for name in made}
-            self._write({"docs": base.join(keys, "doc_id", "left_anti").select(rows.columns).unionByName(rows), **{name: kept[name].unionByName(made[name]) for name in made}})
-            return self.table("chunks").join(keys, "doc_id", "left_semi").count()
+            self._write({"docs": rows, **self._analysed(rows)}, self._known(rows), _TABLES)
+            newest = self._manifest()["parts"][-1]["folder"]
+            return self.spark.read.schema(_TABLES["chunks"]).parquet(self._at(newest, "chunks").toString()).count()
         finally:
-            self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(version), True)
+            self._fs.delete(draft, True)
 
     def delete_documents(self, ids: DataFrame | Iterable[str]) -> int:
         """Take documents out; returns how many were there."""
-        gone = (ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "doc_id string")).select("doc_id")
-        found = self.table("docs").join(gone, "doc_id", "left_semi").count()
-        if found:
-            self._write({name: crud.delete(self.table(name), gone) for name in _TABLES})
-        return found
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "doc_id string")
+        known = self._known(gone)
+        if known is None:
+            return 0
+        self._write({}, known, _TABLES)
+        newest = self._manifest()["parts"][-1]["folder"]
+        return self.spark.read.schema(_GONE).parquet(self._at(newest, "gone").toString()).count()
 
     def update_metadata(self, changes: Mapping[str, Mapping[str, Any]] | DataFrame, merge: bool = True) -> int:
-        """Merge or replace metadata; texts are not cut or encoded again. Returns how many documents were there."""
+        """Merge or replace metadata; texts are not cut or encoded again, only
+        rows of ``docs`` are written. Returns how many documents were there."""
         told = changes if isinstance(changes, DataFrame) else self.spark.createDataFrame([(str(k), json.dumps(dict(v), ensure_ascii=False)) for k, v in changes.items()], "doc_id string, meta string")
-        found = self.table("docs").join(told, "doc_id", "left_semi").count()
+        old = self.table("docs").join(told.select("doc_id"), "doc_id", "left_semi")
+        found = old.count()
         if found:
-            self._write({"docs": crud.update_metadata(self.table("docs"), told, merge), **{n: self.table(n) for n in ("chunks", "vectors", "postings")}})
+            self._write({"docs": crud.update_metadata(old, told, merge)}, old, ("docs",))
         return found
 
+    def finalize(self) -> int:
+        """Count the postings of all live chunks anew, as one table sorted by
+        term; returns the number of chunks. Searches need no such step: adding
+        documents counts theirs. It saves them the reading of many parts."""
+        if not self._manifest():
+            return 0
+        everything = self.table("docs").select("doc_id")
+        self._write({"postings": lexical.postings(self.table("chunks"))}, everything, ("postings",))
+        return self.n_chunks
+
     def compact(self) -> int:
-        """Write the current version anew in few files and remove the versions
-        before it; returns the number of chunks. Readers of an older version
+        """Merge all parts into one, in files of about FILE_BYTES, and remove
+        the old ones; returns the number of chunks. Readers of older parts
         must have ended."""
-        old = self._read_pointer()
-        if old is None:
+        manifest = self._manifest()
+        if not manifest:
             return 0
-        self._write({name: self.table(name).coalesce(max(1, self.spark.sparkContext.defaultParallelism)) for name in _TABLES})
-        current = self._read_pointer()
+        whole = {}
+        for name in _TABLES:
+            size = sum(self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(p)).getLength() for p in self._parts(manifest, name))
+            whole[name] = self.table(name).coalesce(max(1, -(-size // FILE_BYTES)))
+        self._write(whole, instead=True)
+        current = self._manifest()["parts"][0]["folder"]
         for status in self._fs.listStatus(self._at()):
             name = status.getPath().getName()
-            if status.isDirectory() and name.startswith("v-") and name != current:
+            if status.isDirectory() and name.startswith("p-") and name != current:
                 self._fs.delete(status.getPath(), True)
-        return self.table("chunks").count()
+        return self.n_chunks
+
+    def flush(self) -> None:
+        """Nothing waits: every change is written before its call returns."""
+
+    def close(self) -> None:
+        """An index holds no open file; it can be used or opened again."""
 
     # reading
 
@@ -183,6 +249,26 @@ class Index:
     def has_document(self, doc_id: str) -> bool:
         return not self.table("docs").where(F.col("doc_id") == doc_id).isEmpty()
 
+    def text_of(self, doc_id: str) -> str:
+        """The canonical text that offsets count in. KeyError where there is no such document."""
+        found = self.get_document(doc_id)
+        if found is None:
+            raise KeyError(doc_id)
+        return found[0]
+
+    def document_ids(self) -> DataFrame:
+        """(doc_ord, doc_id) in the order of arrival, sorted over all partitions."""
+        return self.table("docs").select("doc_ord", "doc_id").orderBy("doc_ord")
+
+    def scan_chunks(self) -> DataFrame:
+        """All chunks in the order of their slots, without their texts."""
+        return self.table("chunks").select("slot", "chunk_id", "doc_id", "doc_ord", "start", "end").orderBy("slot")
+
+    def max_ordinal(self) -> int:
+        """The greatest doc_ord of a live document, -1 where there is none."""
+        top = self.table("docs").agg(F.max("doc_ord")).first()[0]
+        return -1 if top is None else top
+
     def chunks_of(self, doc_id: str) -> DataFrame:
         return self.table("chunks").where(F.col("doc_id") == doc_id).orderBy("chunk_ord")
 
@@ -206,8 +292,7 @@ class Index:
 
     def stats(self) -> DataFrame:
         """One row: documents, chunks, terms, postings, dim, bytes, mode."""
-        version = self._read_pointer()
-        size = self._fs.getContentSummary(self._at(version)).getLength() if version else 0
+        size = sum(self._fs.getContentSummary(self._at(p["folder"])).getLength() for p in self._manifest().get("parts", ()))
         counts = self.table("docs").agg(F.count("*").alias("documents")).join(self.table("chunks").agg(F.count("*").alias("chunks")))
         terms = self.table("postings").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("postings"))
         dim = self.table("vectors").agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"))
@@ -216,8 +301,12 @@ class Index:
     def __len__(self) -> int:
         return self.table("docs").count()
 
+    @property
+    def n_chunks(self) -> int:
+        return self.table("chunks").count()
+
     def __enter__(self) -> Index:
         return self
 
     def __exit__(self, *_: object) -> None:
-        return None
+        self.close()

@@ -44,7 +44,7 @@ class _Field:
 
     def __init__(self, meta: Column, name: str) -> None:
         if not _FIELD.fullmatch(name):
-            raise FilterError(f"invalid metadata field: {name!r}")
+            raise FilterError(f"{name!r} cannot name a field: letters, digits and _ only, parts joined by dots")
         self.path = "$." + name
         self.json = F.try_parse_json(meta)
         self.value = F.try_variant_get(self.json, self.path, "variant")
@@ -72,7 +72,7 @@ class _Field:
             return self.number(), F.lit(float(value))
         if isinstance(value, str):
             return self.text(), F.lit(value)
-        raise FilterError(f"unsupported value: {value!r}")
+        raise FilterError(f"a field cannot be compared with {value!r}")
 
 
 def _sure(c: Column) -> Column:
@@ -111,7 +111,7 @@ def _condition(field: _Field, op: str, value: Any) -> Column:
         return ~field.missing() if value else field.missing()
     if op in _TEXT:
         return _sure(_TEXT[op](field.text(), F.lit(str(value))))
-    raise FilterError(f"unsupported operator: {op!r}")
+    raise FilterError(f"{op!r} is none of the operators on a field")
 
 
 def compile_filter(where: Mapping[str, Any] | None, meta: Column | str = "meta") -> Column:
@@ -123,7 +123,7 @@ def compile_filter(where: Mapping[str, Any] | None, meta: Column | str = "meta")
             each = [compile_filter(v, column) for v in value]
             parts.append(_all(each) if key == "$and" else _any(each))
         elif key.startswith("$"):
-            raise FilterError(f"unsupported top-level operator: {key!r}")
+            raise FilterError(f"{key!r} does not join filters; $and and $or do")
         else:
             field = _Field(column, key)
             operators = value.items() if isinstance(value, Mapping) else [("$eq", value)]

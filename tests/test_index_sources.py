@@ -45,7 +45,7 @@ def test_index_lifecycle(spark, tmp_path):
         assert sorted(map(tuple, again.search("imposto").collect())) == before
         s = again.stats().first()
         assert (s.documents, s.chunks, s.dim) == (2, 1, 64)
-        assert len(list((tmp_path / "ix").glob("v-*"))) == 1 and not list((tmp_path / "ix").glob("in-*"))
+        assert len(list((tmp_path / "ix").glob("p-*"))) == 1 and not list((tmp_path / "ix").glob("in-*"))
     with pytest.raises(ValueError):
         Index(spark, str(tmp_path / "x"), "other")
 
