@@ -1,7 +1,9 @@
+import math
 import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -117,6 +119,15 @@ def test_distinctive_terms(make_docs, collection, rows):
     assert rows(ridf.distinctive_found(docs.where("false"))) == []
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 50, 10**9])
+def test_least_residual_idf(spark, n):
+    """No term that the records' counts allow lies below the bound by which candidates are taken."""
+    bound = spark.range(1).select(ridf.least_ridf(F.lit(float(n)), 3, 4).alias("x")).first().x
+    for df in range(2, min(n, 4) + 1):
+        for cf in range(df + 2, df + 40):
+            assert -math.log2(df / n) + math.log2(-math.expm1(-cf / n)) >= bound
+
+
 def test_census(make_docs, collection, rows, monkeypatch):
     docs = make_docs(collection)
     counts = {d: Counter(terms(t)) for d, t in current(collection).items()}
