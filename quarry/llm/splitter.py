@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from quarry.llm.forms import current_rows
 
@@ -91,6 +92,11 @@ def _last_space(text: str, low: int, high: int) -> int | None:
     return None
 
 
+def _natural_end(text: str, cohesion: _Cohesion, low: int, high: int) -> int | None:
+    """The end in [low, high] at the deepest valley, without one before the last space, without that none."""
+    return cohesion.deepest(low, high) or _last_space(text, low, high)
+
+
 def _hard_end(text: str, low: int, high: int) -> int:
     """high, or a little before where a mark, joiner or line end would be torn off."""
     e = high
@@ -109,7 +115,7 @@ def split_text(text: str | None, limits: Limits = Limits()) -> list[tuple[int, i
     pieces, start = [], 0
     while n - start > limits.limit:
         low, high = start + (limits.limit + 1) // 2, start + limits.limit
-        end = cohesion.deepest(low, high) or _last_space(text, low, high) or _hard_end(text, low, high)
+        end = _natural_end(text, cohesion, low, high) or _hard_end(text, low, high)
         pieces.append((start, end))
         start = _next_start(text, end, limits)
     return [*pieces, (start, n)]
@@ -142,6 +148,21 @@ def split_records(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return current_rows(docs, "text").where("text is not null").mapInArrow(run, "doc_id string, ordinal int, start int, end int")
 
 
+def coverage(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(doc_id, n_chars, first, last, longest_kept, overlaps_kept, pieces_needed):
+    the pieces of every record with a text that is not empty. first and last:
+    where the first piece starts and the last ends. pieces_needed: whether there
+    are at least as many as the limit and the least overlap take."""
+    pieces = split_records(docs, limits)
+    order = Window.partitionBy("doc_id").orderBy("ordinal")
+    overlap = F.lag("end").over(order) - F.col("start")
+    rows = pieces.withColumn("_kept", F.coalesce(overlap.between(limits.overlap_min, limits.overlap_max), F.col("ordinal") == 0))
+    of = rows.groupBy("doc_id").agg(F.min("start").alias("first"), F.max("end").alias("last"), (F.max(F.col("end") - F.col("start")) <= limits.limit).alias("longest_kept"), F.min("_kept").alias("overlaps_kept"), F.count("*").alias("_n"))
+    step = limits.limit - limits.overlap_min
+    needed = F.greatest(F.lit(1), F.ceil((F.col("last") - limits.overlap_min) / step))
+    return of.select("doc_id", F.col("last").alias("n_chars"), "first", "last", "longest_kept", "overlaps_kept", (F.col("_n") >= needed).alias("pieces_needed"))
+
+
 def as_chunks(pieces: DataFrame) -> DataFrame:
     """split_records as rows that the audit takes."""
     return pieces.select(F.concat_ws("#", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "start", "end")
@@ -160,9 +181,22 @@ def audit_pieces(docs: DataFrame, chunks: DataFrame, limits: Limits = Limits())
     n, and only the rules that need none apply. The ordinal is what follows
     the last '#'; without a number it sorts first. Repeated rows count once.
 
-    Boundaries are checked on the shuffled row of the text, so no more than
-    the piece's numbers and flags leave the join.
+    Whether a cut could have stood elsewhere is asked of the splitter: within
+    the piece's second half it looks for a natural end of its own, the deepest
+    valley of cohesion or else the last space. Where it has one, the kinds of
+    space that count are checked. Only pieces cut between letters or digits
+    are sent to it, not whole texts.
     """
+
+    @arrow_udf("int")
+    def better_end(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends = []
+            for piece in texts.to_pylist():  # with one character more than the piece
+                size = len(piece or "") - 1
+                ends.append(None if size < 1 else _natural_end(piece, _Cohesion(piece, limits.block), (size + 1) // 2, size - 1))
+            yield pa.array(ends, pa.int32())
+
     pieces = chunks.select("chunk_id", "doc_id", "start", "end").distinct()
     ordinal = F.expr("try_cast(substring_index(chunk_id, '#', -1) as bigint)")
     order = Window.partitionBy("doc_id").orderBy(F.col("ordinal").asc_nulls_first(), "start", "end", "chunk_id")
@@ -172,14 +206,16 @@ def audit_pieces(docs: DataFrame, chunks: DataFrame, limits: Limits = Limits())
     size = F.col("end") - F.col("start")
     half = F.col("start") + F.floor((size + 1) / 2).cast("int")
     cut = F.substring("text", F.col("end"), F.lit(2))
-    torn = cut.rlike(r"^[\p{L}\p{N}]{2}$") & F.substring("text", half + 1, F.col("end") - half).rlike(r"[ \t\r\n]")
+    inside = (F.col("start") >= 0) & (size > 0) & (F.col("end") > 0) & (F.col("end") < F.col("n")) & cut.rlike(r"^[\p{L}\p{N}]{2}$")
+    joined = joined.withColumn("better", better_end(F.when(inside, F.substring("text", F.col("start") + 1, size + 1))))
+    torn = inside & F.col("better").isNotNull() & F.substring("text", half + 1, F.col("end") - half).rlike(r"[ \t\r\n]")
     no = F.lit(False)
     return joined.select(
         "chunk_id", "doc_id", "start", "end",
         (F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < 0) | (size <= 0) | F.coalesce(F.col("end") > F.col("n"), no)).alias("bad_range"),
         F.coalesce(size > limits.limit, no).alias("too_long"),
         (~F.col("first") & ~F.coalesce((F.col("before") - F.col("start")).between(limits.overlap_min, limits.overlap_max), no)).alias("bad_overlap"),
-        F.coalesce((F.col("start") >= 0) & (size > 0) & (F.col("end") > 0) & (F.col("end") < F.col("n")) & torn, no).alias("torn_word"),
+        F.coalesce(torn, no).alias("torn_word"),
     )
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -39,6 +41,44 @@ def test_cuts_where_the_topic_changes():
     assert abs(end - len(a)) < 80
 
 
+def _cosine(a, b):
+    words = set(a) | set(b)
+    top = sum(a.count(w) * b.count(w) for w in words)
+    return top / math.sqrt(sum(a.count(w) ** 2 for w in words) * sum(b.count(w) ** 2 for w in words)) if a and b else 0.0
+
+
+def test_the_deepest_valley_of_each_window_is_taken():
+    """Against the definition: similarity of the blocks at every natural boundary, depth to the peaks on both sides."""
+    rng, limits = random.Random(3), sp.Limits(400, 20, 50, 12)
+    words = ["imposto", "renda", "licença", "floresta", "contrato", "multa", "prazo", "edital", "norma", "juízo"]
+    seen = 0
+    for _ in range(12):
+        text = " ".join(" ".join(rng.choice(words[k % 7 : k % 7 + 4]) for _ in range(rng.randrange(3, 9))) + rng.choice([".", ";", "!", ":\n"]) for k in range(60))
+        found = [(m.start(), m.group().lower()) for m in re.finditer(r"[^\W_]{4,}", text)]
+        ends = [i for i in range(1, len(text)) if (text[i - 1] in ".;!:" and text[i].isspace()) or text[i] == "\n"]
+        similar = []
+        for e in ends:
+            before, after = [w for s, w in found if s < e], [w for s, w in found if s >= e]
+            similar.append(_cosine(before[-12:], after[:12]))
+        depth = {}
+        for k, e in enumerate(ends):
+            total = 0.0
+            for side in (similar[max(0, k - 8) : k][::-1], similar[k + 1 : k + 9]):
+                peak = similar[k]
+                for x in side:
+                    if x < peak:
+                        break
+                    peak = x
+                total += peak - similar[k]
+            depth[e] = total
+        for a, b in sp.split_text(text, limits)[:-1]:
+            window = [e for e in ends if a + 200 <= e <= a + 400]
+            if window:
+                seen += 1
+                assert depth[b] == pytest.approx(max(depth[e] for e in window)), (a, b)
+    assert seen > 30
+
+
 def test_records_and_audit(spark, make_docs, rows):
     long = "Primeira frase do texto. " * 120
     docs = make_docs([("a", long), ("b", "curto"), ("c", ""), ("d", None), ("a", "velho", None)])
