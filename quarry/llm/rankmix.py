@@ -68,16 +68,21 @@ def list_scores(hits: DataFrame) -> DataFrame:
     return pieces.where("last.s is not null").groupBy("qid", "source", "doc_id").agg(F.max("last.s").alias("score"))
 
 
-def ranked_lists(lists: DataFrame) -> DataFrame:
-    """list_scores with, within (qid, source): ``n`` documents, ``place`` (1 is
-    best, equal scores by doc_id), ``below`` and ``equal`` (documents with a
-    lower score, with this score).
+#: Rows of a list from which it is ranged over several tasks.
+LONG_LIST = 1_000_000
 
-    A list may hold any share of all rows, so it is not sorted in one task:
-    rows are ranged over tasks by (qid, source, score, doc_id), places are
-    found within each range and moved by the sizes of the ranges before.
-    """
-    ranges = max(lists.sparkSession.sparkContext.defaultParallelism, 2) * 2
+
+def _placed(lists: DataFrame) -> DataFrame:
+    """Lists of which each is sorted in one task."""
+    key = Window.partitionBy("qid", "source")
+    best, score = key.orderBy(F.col("score").desc(), "doc_id"), key.orderBy(F.col("score").desc())
+    equal = F.count("*").over(score.rangeBetween(Window.currentRow, Window.currentRow))
+    return lists.withColumn("place", F.row_number().over(best)).withColumn("first", F.rank().over(score)).withColumn("equal", equal).withColumn("n", F.count("*").over(key))
+
+
+def _placed_in_ranges(lists: DataFrame, ranges: int) -> DataFrame:
+    """Lists ranged over tasks by (qid, source, score, doc_id): places are found
+    within each range and moved by the sizes of the ranges before."""
     ranged = lists.repartitionByRange(ranges, "qid", "source", F.col("score").desc(), "doc_id").withColumn("part", F.spark_partition_id())
     ranged = staged(ranged, "ranged")  # the number of a part must not change when it is read again
     key = ["qid", "source"]
@@ -87,39 +92,68 @@ def ranked_lists(lists: DataFrame) -> DataFrame:
     placed = local.join(before.select(*key, "part", "ahead", "n"), [*key, "part"]).withColumn("place", F.col("ahead") + F.col("at"))
     # a score's documents have consecutive places, so its group follows from the first and their number
     ties = placed.groupBy(*key, "score").agg(F.min("place").alias("first"), F.count("*").alias("equal"))
-    return placed.join(ties, [*key, "score"]).select(*key, "doc_id", "score", "n", "place", "equal", (F.col("n") - F.col("first") - F.col("equal") + 1).alias("below"))
+    return placed.join(ties, [*key, "score"])
 
 
-def fused_ranking(hits: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """(qid, doc_id, fused, rank, lists, of_lists, worst_place): one order of
-    doc_id for each qid, best first, equal values by doc_id.
+def ranked_lists(lists: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
+    """list_scores with, within (qid, source): ``n`` documents, ``place`` (1 is
+    best, equal scores by doc_id), ``below`` and ``equal`` (documents with a
+    lower score, with this score).
+
+    A list may hold any share of all rows. Lists of more than ``long_list``
+    rows are ranged over tasks, so many that a range has about that many rows;
+    all others are sorted whole, with one shuffle.
+    """
+    lists = staged(lists, "lists")
+    columns = ("qid", "source", "doc_id", "score", F.col("n").cast("bigint").alias("n"), F.col("place").cast("bigint").alias("place"), F.col("equal").cast("bigint").alias("equal"), (F.col("n") - F.col("first") - F.col("equal") + 1).cast("bigint").alias("below"))
+    long = staged(lists.groupBy("qid", "source").agg(F.count("*").alias("rows")).where(F.col("rows") > long_list), "long")
+    rows = long.agg(F.sum("rows")).first()[0]
+    if not rows:
+        return _placed(lists).select(*columns)
+    told = long.select("qid", "source")
+    apart = _placed_in_ranges(lists.join(told, ["qid", "source"], "left_semi"), max(2, -(-rows // long_list)))
+    return _placed(lists.join(told, ["qid", "source"], "left_anti")).select(*columns).unionAll(apart.select(*columns))
+
+
+def fused_ranking(hits: DataFrame, weights: Mapping[str, float] | None = None, head: int = 10, long_list: int = LONG_LIST) -> DataFrame:
+    """(qid, doc_id, fused, lists, of_lists, worst_place, head): one value for
+    each document of a query, from which its place follows.
 
     lists: lists of the query that hold the document; of_lists: lists of the
-    query; worst_place: its lowest place in any of them. weights: by source,
-    1 where not given. A source without counting rows is no list.
+    query; worst_place: its lowest place in any of them; head: the value of a
+    document that stood at place ``head`` in each list (at the last one of
+    shorter lists). weights: by source, 1 where not given. A source without
+    counting rows is no list.
     """
-    placed = ranked_lists(list_scores(hits))
+    placed = ranked_lists(list_scores(hits), long_list)
     w = F.lit(1.0)
     for source, value in (weights or {}).items():
         w = F.when(F.col("source") == source, F.lit(float(value))).otherwise(w)
     z = normal_quantile((F.col("below") + (F.col("equal") + 1) / 2) / (F.col("n") + 1))
     floor = normal_quantile(0.5 / (F.col("n") + 1))
     # what a document gains over being absent, so that absences need no rows
-    gains = placed.select("qid", "source", "doc_id", "place", (w * (z - floor)).alias("gain"))
+    gains = placed.select("qid", "source", "doc_id", "place", "n", (w * (z - floor)).alias("gain"))
     documents = gains.groupBy("qid", "doc_id").agg(F.sum("gain").alias("gain"), F.count("*").alias("lists"), F.max("place").alias("worst_place"))
-    queries = placed.select("qid", "source", "n").groupBy("qid", "source").agg(F.max("n").alias("n")).groupBy("qid").agg(F.count("*").alias("of_lists"), F.sum(w).alias("weight"), F.sum(w * floor).alias("base"))
-    return documents.join(queries, "qid").select("qid", "doc_id", ((F.col("gain") + F.col("base")) / F.col("weight")).alias("fused"), "lists", "of_lists", "worst_place")
-
-
-def fused_order(hits: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """fused_ranking with ``rank``, 1 for the best document of the query.
-    Places are found over ranges, as in ranked_lists."""
-    fused = fused_ranking(hits, weights)
-    placed = ranked_lists(fused.select("qid", F.lit("fused").alias("source"), "doc_id", F.round("fused", 9).alias("score")))
+    each = gains.where((F.col("place") == head) | ((F.col("place") == F.col("n")) & (F.col("n") < head))).select("qid", "source", "n", "gain")
+    queries = each.groupBy("qid").agg(F.count("*").alias("of_lists"), F.sum(w).alias("weight"), F.sum(w * floor).alias("base"), F.sum("gain").alias("head"))
+    value = lambda gain: (F.col(gain) + F.col("base")) / F.col("weight")
+    return documents.join(queries, "qid").select("qid", "doc_id", value("gain").alias("fused"), "lists", "of_lists", "worst_place", value("head").alias("head"))
+
+
+def fused_order(hits: DataFrame, weights: Mapping[str, float] | None = None, long_list: int = LONG_LIST) -> DataFrame:
+    """(qid, doc_id, fused, rank): fused_ranking with ``rank``, 1 for the best
+    document of the query, equal values by doc_id. Places are found as in
+    ranked_lists."""
+    fused = fused_ranking(hits, weights, long_list=long_list)
+    placed = ranked_lists(fused.select("qid", F.lit("fused").alias("source"), "doc_id", F.round("fused", 9).alias("score")), long_list)
     return placed.select("qid", "doc_id", F.col("score").alias("fused"), F.col("place").alias("rank"))
 
 
 def head_of_all_lists(hits: DataFrame, best: int = 10) -> DataFrame:
     """(qid, doc_id): documents among the ``best`` of every list of the query.
-    They stand at the head of the one order whatever the lists' scales."""
-    return fused_ranking(hits).where((F.col("lists") == F.col("of_lists")) & (F.col("worst_place") <= best)).select("qid", "doc_id")
+
+    They are taken from the head of the one order: whatever the lists' scales,
+    such a document's fused value reaches that of one at place ``best`` in
+    each. Those taken are then checked exactly in the single lists."""
+    taken = fused_ranking(hits, head=best).where(F.col("fused") >= F.col("head") - 1e-9)
+    return taken.where((F.col("lists") == F.col("of_lists")) & (F.col("worst_place") <= best)).select("qid", "doc_id")

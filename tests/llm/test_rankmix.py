@@ -61,9 +61,11 @@ def test_order(spark, weights):
     assert sorted(got, key=lambda d: got[d]["rank"]) == sorted(want, key=lambda d: (-round(want[d], 9), d))
 
 
-def test_places_over_many_ranges(spark):
+@pytest.mark.parametrize("long_list", [100, 10**6])
+def test_places_over_many_ranges(spark, long_list):
     items = [("q", "s", f"c{i}", f"d{i:04}", float(i % 40), 1) for i in range(900)] + [("p", "s", "c", "d", 1.0, 1)]
-    got = rm.ranked_lists(rm.list_scores(hits(spark, items)).repartition(6)).collect()
+    got = rm.ranked_lists(rm.list_scores(hits(spark, items)).repartition(6), long_list).collect()
+    assert len(got) == 901
     order = sorted(range(900), key=lambda i: (-(i % 40), f"d{i:04}"))
     place = {f"d{i:04}": k for k, i in enumerate(order, 1)}
     for r in got:
@@ -80,6 +82,22 @@ def test_head(spark, rows):
     assert rows(rm.head_of_all_lists(df.where("false"))) == []
 
 
+def test_head_with_ties_and_short_lists(spark, rows):
+    """The candidates of the one order hold every document that is at the head of all lists."""
+    import random
+
+    rng = random.Random(1)
+    items = [(f"q{q}", s, f"c{d}", f"d{d:02}", float(rng.randrange(4)), 1) for q in range(6) for s in ("a", "b") for d in rng.sample(range(30), 3 + 4 * q)]
+    want = []
+    for q in {i[0] for i in items}:
+        heads = []
+        for s in ("a", "b"):
+            own = sorted((-i[4], i[3]) for i in items if i[:2] == (q, s))
+            heads.append({d for _, d in own[:5]})
+        want += [(q, d) for d in heads[0] & heads[1]]
+    assert rows(rm.head_of_all_lists(hits(spark, items), best=5)) == sorted(want)
+
+
 def test_scale_does_not_prevail(spark):
     items = [("q", "a", f"c{i}", f"d{i}", float(i), 1) for i in range(9)] + [("q", "b", f"c{i}", f"d{i}", -1e9 * i, 1) for i in range(9)]
     assert all(math.isclose(r.fused, 0, abs_tol=1e-9) for r in rm.fused_ranking(hits(spark, items)).collect())
