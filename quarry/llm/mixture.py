@@ -11,11 +11,16 @@ those of the others, and orders its records at random by itself.
 
 Only sizes of blocks come to the driver: BLOCKS for each source of the target
 table, and as many again for the one block that is cut.
+
+Shares are relative to a stated total. With the total of all documents a source
+that cannot reach its target leaves the others with more than their weight of
+what is really drawn. The balanced total is the greatest at which every source
+that has documents reaches its target, so all of them hold their weights.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +42,7 @@ class Goal:
     weight: float
     max_repeats: int
     own: int
-    want: float
+    want: float  # weight times the stated total
 
     @property
     def most(self) -> int:
@@ -49,12 +54,13 @@ class Goal:
 
     @property
     def planned(self) -> int:
-        return int(min(self.want, self.most))
+        return int(min(round(self.want, 6), self.most))
 
 
 @dataclass
 class Plan:
     sized: DataFrame
+    total: float
     goals: list[Goal]
     draws: list[tuple[str, int, int, int, bool]]  # source, block, copy, shard, cut
     cuts: list[tuple[str, int, int]]  # source, sub-block, last hash taken in it
@@ -64,8 +70,10 @@ def _hash(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def _sized(documents: DataFrame, seed: int, tokenizer: str, folder: str) -> DataFrame:
-    counted = token_counts(documents, ("doc_id", "source"), name=tokenizer, folder=folder)
+def sized_documents(documents: DataFrame, seed: int = 7, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, size: Column | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, h, block, sub), written once. size: another
+    measure of a record than its tokens, a bigint that is never null."""
+    counted = token_counts(documents, ("doc_id", "source"), name=tokenizer, folder=folder) if size is None else documents.select("doc_id", "source", size.alias("n_tokens"))
     h = _hash(seed)
     bits = BLOCKS.bit_length() - 1
     return staged(
@@ -76,27 +84,37 @@ def _sized(documents: DataFrame, seed: int, tokenizer: str, folder: str) -> Data
     )
 
 
-def plan(documents: DataFrame, targets: DataFrame, shards: int = 64, seed: int = 7, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> Plan:
+def balanced_total(goals: list[Goal]) -> float:
+    """The greatest total of which each source that has documents can give its weight; 0 without such a source."""
+    return min((g.most / g.weight for g in goals if g.own and g.weight > 0), default=0.0)
+
+
+def plan(documents: DataFrame, targets: DataFrame, shards: int = 64, seed: int = 7, total: str | float = "all", sized: DataFrame | None = None, **how) -> Plan:
     """Sizes all records once and lays down every draw.
 
     targets: a null weight counts as 0, null max_repeats as 1; repeated rows
     count once, rows of one source that differ add up their weights and the
-    greatest max_repeats holds. A null source is no source. The total is the
-    size of all documents, those of no target source included.
+    greatest max_repeats holds. A null source is no source. total: 'all' is the
+    size of all documents, those of no target source included; 'balanced' that
+    of ``balanced_total``; or a number. sized: what ``sized_documents`` gave.
     """
-    sized = _sized(documents, seed, tokenizer, folder)
+    sized = sized_documents(documents, seed, **how) if sized is None else sized
     wanted = (
         targets.where("source is not null")
         .select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
         .distinct().groupBy("source").agg(F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).orderBy("source").collect()
     )
     blocks = sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
+    everything = sized.agg(F.sum("n_tokens")).first()[0] or 0
     names = [r.source for r in wanted]
     size = {s: np.zeros(BLOCKS, np.int64) for s in names}
     for r in blocks.where(F.col("source").isin(names)).collect() if names else []:
         size[r.source][r.block] = r.n
-    goals = [Goal(r.source, r.weight, r.max_repeats, int(size[r.source].sum()), r.weight * total) for r in wanted]
+    goals = [Goal(r.source, r.weight, r.max_repeats, int(size[r.source].sum()), r.weight * everything) for r in wanted]
+    stated = everything
+    if total != "all":
+        stated = balanced_total(goals) if total == "balanced" else float(total)
+        goals = [replace(g, want=g.weight * stated) for g in goals]
 
     rng = np.random.default_rng(seed)
     lists: list[list[tuple[int, int, bool]]] = []
@@ -118,7 +136,7 @@ def plan(documents: DataFrame, targets: DataFrame, shards: int = 64, seed: int =
                 rest -= n
         lists.append(units)
     draws = _split(goals, lists, shards, rng)
-    return Plan(sized, goals, draws, _cuts(sized, rests))
+    return Plan(sized, float(stated), goals, draws, _cuts(sized, rests))
 
 
 def _split(goals: list[Goal], lists: list[list[tuple[int, int, bool]]], shards: int, rng: np.random.Generator) -> list[tuple[str, int, int, int, bool]]:
@@ -193,22 +211,48 @@ def mixed(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "mix_key")
 
 
-_GOALS = "source string, weight double, max_repeats int, own_tokens bigint, target_tokens double, capped boolean"
+_GOALS = "source string, weight double, max_repeats int, own_tokens bigint, target_tokens double, planned_tokens bigint, capped boolean, total_tokens double"
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
-    """(source, weight, max_repeats, own_tokens, target_tokens, capped,
-    drawn_tokens, drawn_records, most_used, share): what each source was to
-    give and really gave. share is null where nothing at all was drawn."""
+    """(source, weight, max_repeats, own_tokens, target_tokens, planned_tokens,
+    capped, total_tokens, drawn_tokens, drawn_records, most_used, share,
+    of_total): what each source was to give and really gave, from the rows
+    drawn. share is relative to all that was drawn, of_total to the stated
+    total; both are null where that is 0."""
     p = plan(documents, targets, **how)
-    goals = documents.sparkSession.createDataFrame([(g.source, g.weight, g.max_repeats, g.own, g.want, g.capped) for g in p.goals], _GOALS)
+    goals = documents.sparkSession.createDataFrame([(g.source, g.weight, g.max_repeats, g.own, g.want, g.planned, g.capped, p.total) for g in p.goals], _GOALS)
     rows = drawn(p, how.get("seed", 7))
     got = rows.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.count("*").alias("drawn_records"), (F.max("copy") + 1).alias("most_used"))
     report = goals.join(F.broadcast(got), "source", "left").fillna(0, ["drawn_tokens", "drawn_records", "most_used"])
     whole = report.agg(F.sum("drawn_tokens").alias("_whole"))
-    return report.join(F.broadcast(whole)).withColumn("share", F.col("drawn_tokens") / F.nullif(F.col("_whole"), F.lit(0))).drop("_whole")
+    shares = {"share": F.col("drawn_tokens") / F.nullif(F.col("_whole"), F.lit(0)), "of_total": F.col("drawn_tokens") / F.nullif("total_tokens", F.lit(0.0))}
+    return report.join(F.broadcast(whole)).withColumns(shares).drop("_whole")
+
+
+def both_reports(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
+    """The report with ``basis`` 'all' and 'balanced', the total it is drawn for; texts are encoded once."""
+    sized = sized_documents(documents, **how)
+    parts = [mixture_report(documents, targets, total=t, sized=sized).withColumn("basis", F.lit(t)) for t in ("all", "balanced")]
+    return parts[0].unionByName(parts[1])
+
+
+def quotas(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(basis, source, own, planned, capped, exact, repeats_kept): the two
+    mixtures with records measured in characters, so that SQL can tell what
+    each source is to give. exact: what was drawn falls short of it by less
+    than the source's largest record; repeats_kept: none is used more often
+    than allowed."""
+    length = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")
+    largest = documents.groupBy("source").agg(F.max(length).alias("_largest"))
+    report = both_reports(documents, targets, size=length).join(largest, "source", "left")
+    short = F.col("planned_tokens") - F.col("drawn_tokens")
+    exact = (short == 0) | ((short > 0) & (short < F.col("_largest")))
+    return report.select("basis", "source", F.col("own_tokens").alias("own"), F.col("planned_tokens").alias("planned"), "capped", exact.alias("exact"), (F.col("most_used") <= F.col("max_repeats")).alias("repeats_kept"))
 
 
 def unreachable(documents: DataFrame, targets: DataFrame, **how) -> DataFrame:
-    """(source): sources whose target is more than all their allowed repeats give."""
-    return mixture_report(documents, targets, **how).where("capped").select("source")
+    """(source): sources whose target is more than all their allowed repeats
+    give. They are taken from the mixture that was drawn, where such a source
+    falls short, and checked by its sizes."""
+    return mixture_report(documents, targets, total="all", **how).where("drawn_tokens < target_tokens and capped").select("source")

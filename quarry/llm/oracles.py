@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from quarry.llm.forms import LOOK_ALIKES, _changing_points, _invisible_points, _ranges
+from quarry.llm.rankmix import _CENTRE, _MIDDLE, _TAIL
 
 P5_FOUND = """
 WITH ranked AS (
@@ -108,6 +109,56 @@ spans AS (
 """
 
 
+def _quantile(p: str) -> str:
+    """The normal quantile of a column expression in SQL, by its public rational approximation."""
+
+    def ratio(parts: tuple, x: str) -> str:
+        up, down = (" + ".join(f"{c!r}::DOUBLE * pow({x}, {k})" for k, c in enumerate(side)) for side in parts)
+        return f"(({up}) / ({down}))"
+
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(_MIDDLE, f'({r} - 1.6)')} ELSE {ratio(_TAIL, f'({r} - 5)')} END"
+    return f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio(_CENTRE, f'(0.180625 - {q} * {q})')} ELSE sign({q}) * ({tail}) END"
+
+
+def _order() -> str:
+    best = P5_FOUND.split("placed AS")[0].rstrip().rstrip(",")
+    return f"""{best},
+pct AS (
+  SELECT qid, doc_id, source, count(*) OVER l AS n, (rank() OVER (l ORDER BY score) - 1 + (count(*) OVER (PARTITION BY qid, source, score) + 1) / 2.0) AS pos
+  FROM best WINDOW l AS (PARTITION BY qid, source)),
+z AS (SELECT qid, doc_id, source, n, {_quantile("(pos::DOUBLE / (n + 1))")} AS z, {_quantile("(0.5::DOUBLE / (n + 1))")} AS low FROM pct),
+base AS (SELECT qid, sum(low) AS base, count(*) AS k FROM (SELECT DISTINCT qid, source, low FROM z) GROUP BY qid),
+fused AS (SELECT z.qid, doc_id, round((sum(z - low) + max(base)) / max(k), 9) AS fused FROM z JOIN base ON base.qid = z.qid GROUP BY z.qid, doc_id)
+SELECT qid, doc_id, fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, doc_id) AS rank FROM fused"""
+
+
+_GROUPS = """
+five AS (SELECT doc_id, hash(term, lead(term) OVER w, lead(term, 2) OVER w, lead(term, 3) OVER w, lead(term, 4) OVER w) AS h, lead(term, 4) OVER w AS last FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+sets AS (SELECT DISTINCT doc_id, h FROM five WHERE last IS NOT NULL),
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+edge AS (SELECT x, y, c = p.n AND c = q.n AS same FROM met JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE c * 5 >= 4 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT x, y FROM edge UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+label AS (SELECT x, least(x, min(y)) AS group_id FROM reach GROUP BY x),
+rep AS (SELECT d.doc_id, least(d.doc_id, min(e.y)) AS rep FROM cur d LEFT JOIN edge e ON e.x = d.doc_id AND e.same GROUP BY d.doc_id),
+link AS (SELECT e.x, count(DISTINCT rep) AS links FROM edge e JOIN rep ON rep.doc_id = e.y WHERE NOT e.same GROUP BY e.x)
+SELECT cur.doc_id, coalesce(group_id, cur.doc_id) AS group_id, coalesce(links, 0) AS links FROM cur LEFT JOIN label ON label.x = cur.doc_id LEFT JOIN link ON link.x = cur.doc_id"""
+
+P8_QUOTAS = """
+WITH goals AS (
+  SELECT source, sum(weight) AS weight, max(max_repeats) AS most
+  FROM (SELECT DISTINCT source, coalesce(weight, 0) AS weight, coalesce(max_repeats, 1) AS max_repeats FROM mix_targets WHERE source IS NOT NULL) GROUP BY source),
+own AS (SELECT g.source, weight, most, coalesce(sum(length(text)), 0)::BIGINT AS own FROM goals g LEFT JOIN documents d ON d.source = g.source GROUP BY ALL),
+totals AS (
+  SELECT 'all' AS basis, (SELECT sum(length(text)) FROM documents)::DOUBLE AS total
+  UNION ALL SELECT 'balanced', coalesce(min(most * own / weight) FILTER (own > 0 AND weight > 0), 0) FROM own)
+SELECT basis, source, own, floor(least(round(weight * total, 6), most * own))::BIGINT AS planned, weight * total > most * own AS capped, true AS exact, true AS repeats_kept FROM own CROSS JOIN totals"""
+
+P3_COVER = """
+SELECT doc_id, length(text) AS n_chars, 0 AS first, length(text) AS last, true AS longest_kept, true AS overlaps_kept, true AS pieces_needed FROM cur WHERE length(text) > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     terms = _terms()
     return {
@@ -120,6 +171,10 @@ SELECT term, 'rare' AS mark FROM df WHERE df < 3 UNION ALL SELECT term, 'common'
 SELECT term, cf::BIGINT AS occurrences, df AS records, unnest(CASE WHEN df < 3 AND df * 3 > n THEN ['rare', 'common'] WHEN df < 3 THEN ['rare'] WHEN df * 3 > n THEN ['common'] ELSE [NULL] END) AS mark FROM df CROSS JOIN n""",
         "p3_audit": "SELECT NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS doc_id, 0 AS start, 0 AS \"end\", false AS bad_range, false AS too_long, false AS bad_overlap, false AS torn_word WHERE false",
         "p3_found": P3_FOUND,
+        "p3_cover": f"WITH {CURRENT} {P3_COVER}",
+        "p4_groups": f"WITH RECURSIVE {terms}, {_GROUPS}",
+        "p5_order": _order(),
+        "p8_quotas": P8_QUOTAS,
         "p4_found": f"""WITH {terms},
 tri AS (SELECT DISTINCT doc_id, hash(term, lead(term) OVER w, lead(term, 2) OVER w) AS h, lead(term, 2) OVER w AS last FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 sets AS (SELECT DISTINCT doc_id, h FROM tri WHERE last IS NOT NULL),

@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "p2_census": lambda s, d: census.marked_terms(table(s, d, "docs")),
         "p3_found": lambda s, d: splitter.faulty_pieces(table(s, d, "docs"), table(s, d, "chunks")),
         "p3_pieces": lambda s, d: splitter.split_records(table(s, d, "docs")),
+        "p3_cover": lambda s, d: splitter.coverage(table(s, d, "docs")),
         "p3_audit": lambda s, d: splitter.audit_pieces(table(s, d, "docs"), splitter.as_chunks(splitter.split_records(table(s, d, "docs")))).where("bad_range or too_long or bad_overlap or torn_word"),
         "p4_found": lambda s, d: pathjoin.near_duplicate_pairs(table(s, d, "docs")),
         "p4_groups": lambda s, d: pathjoin.record_groups(table(s, d, "docs")),
@@ -30,8 +31,9 @@ def queries() -> dict[str, Query]:
         "p7_ids": lambda s, d: bpe.token_ids(table(s, d, "documents")),
         "p7_round_trip": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "p8_found": lambda s, d: mixture.unreachable(table(s, d, "documents"), table(s, d, "mix_targets")),
-        "p8_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
-        "p8_report": lambda s, d: mixture.mixture_report(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets"), total="balanced"),
+        "p8_report": lambda s, d: mixture.both_reports(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_quotas": lambda s, d: mixture.quotas(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: spans.shared_pairs(table(s, d, "documents")),
         "p9_spans": lambda s, d: spans.shared_spans(table(s, d, "documents")),
         "p9_report": lambda s, d: spans.shared_report(table(s, d, "documents")),

@@ -95,6 +95,29 @@ def test_mixture(spark, sources):
     assert {r.source for r in mixture.unreachable(documents, targets).collect()} == {s for s, r in report.items() if r.capped} >= {"tiny", "none"}
 
 
+def test_balanced_total(sources):
+    """Every source that has documents holds its weight, to a record; a number may be stated as well."""
+    documents, targets = sources
+    e = bpe.encoder()
+    largest = max(e.count(r.text) for r in documents.collect())
+    report = {r.source: r for r in mixture.mixture_report(documents, targets, total="balanced").collect()}
+    total = report["big"].total_tokens
+    assert total == pytest.approx(min(r.max_repeats * r.own_tokens / r.weight for r in report.values() if r.own_tokens and r.weight))
+    whole = sum(r.drawn_tokens for r in report.values())
+    for name, weight in (("big", 0.3), ("mid", 0.4), ("tiny", 0.2)):
+        assert abs(report[name].drawn_tokens - weight * total) <= largest and not report[name].capped
+        assert abs(report[name].share - weight / 0.9) * whole <= 2 * largest and abs(report[name].of_total - weight) * total <= largest
+    assert report["none"].drawn_tokens == 0
+    stated = {r.source: r for r in mixture.mixture_report(documents, targets, total=5000).collect()}
+    assert abs(stated["mid"].drawn_tokens - 2000) <= largest
+    assert {(r.basis, r.source) for r in mixture.both_reports(documents, targets).collect()} == {(b, s) for b in ("all", "balanced") for s in report}
+
+
+def test_quotas(sources):
+    documents, targets = sources
+    assert all(r.exact and r.repeats_kept for r in mixture.quotas(documents, targets).collect())
+
+
 def test_shards_get_their_share(sources):
     documents, targets = sources
     p = mixture.plan(documents, targets, shards=7)
