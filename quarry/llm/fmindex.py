@@ -1,12 +1,14 @@
-"""A compressed full-text index over a set of texts, and matching statistics by
-backward search, for many patterns at a time with numpy.
+"""A full-text index over a set of texts, and matching statistics by backward
+search, for many patterns at a time with numpy.
 
 The index holds the Burrows-Wheeler transform of the joined texts in a wavelet
 matrix (one packed bit vector with rank counts for each bit of a symbol), the
 suffix array sorted by the first ``2 * limit`` characters or more, and longest
 common prefixes capped there, with their nearest smaller values, from which
 the parent of an interval follows. Matches are followed to ``limit``
-characters: for windows of that length the result is exact.
+characters: for windows of that length the result is exact. The transform is
+compressed; suffix array, prefixes and intervals are kept whole beside it, 28
+bytes a character, which is why an index has a bounded number of characters.
 """
 
 from __future__ import annotations
@@ -98,10 +100,10 @@ class FMIndex:
             order, rank = _ranks(keys)
             h *= 2
             steps.append((h, rank))
-        self.sa = order
+        self.sa = order.astype(np.int32)
         self.n = n
         self.lcp = self._lcp(codes, steps, per)
-        self.smaller_left, self.smaller_right = _nearest_smaller(self.lcp)
+        self.smaller_left, self.smaller_right = (x.astype(np.int32) for x in _nearest_smaller(self.lcp))
         bwt = codes[order - 1]
         self.wavelet = WaveletMatrix(bwt, bits)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.alphabet)))])
@@ -109,11 +111,11 @@ class FMIndex:
         cut = np.flatnonzero(self.lcp[:-1] < limit)
         ends = np.append(cut[1:], n)
         run = np.repeat(np.arange(len(cut)), ends - cut)
-        self.run_start, self.run_end = cut[run], ends[run]
+        self.run_start, self.run_end = cut[run].astype(np.int32), ends[run].astype(np.int32)
 
     def _lcp(self, codes: np.ndarray, steps: list[tuple[int, np.ndarray]], per: int) -> np.ndarray:
         """lcp[i]: characters that suffixes i - 1 and i have in common (capped); -1 at both ends."""
-        a, b = self.sa[:-1].copy(), self.sa[1:].copy()
+        a, b = self.sa[:-1].astype(np.int64), self.sa[1:].astype(np.int64)
         out = np.zeros(self.n - 1, np.int32)
         for h, rank in reversed(steps):
             inside = np.flatnonzero((a + h <= self.n) & (b + h <= self.n))

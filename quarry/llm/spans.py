@@ -12,12 +12,18 @@ start and ``span`` after it. So only these regions are indexed, and only of
 anchors that two texts have; all regions of one anchor meet in one shard. An
 anchor that in every text follows the same anchor with the same text between
 adds no meeting: its region is joined to that of the one before.
+
+No task holds an unbounded group. The statistics of anchors that a sample shows
+in very many texts are aggregated, not gathered. A task that meets more than
+GROUP regions of one key only tells the key; these regions then meet for pairs
+as a grid of blocks, each cell an index of its own, and for spans, which need
+one other document and not all, by counting the documents of every window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.fmindex import FMIndex
-from quarry.session import staged
+from quarry.session import BROADCAST_ROWS, staged
 
 #: Characters of an anchor. More make chance meetings rarer and anchors denser.
 GRAM = 96
@@ -34,6 +40,12 @@ GRAM = 96
 INDEX_CHARS = 1_000_000
 #: Regions of an anchor from which they are split by the text beside the anchor.
 HOT_REGIONS = 1000
+#: Regions of a key that meet in one task.
+GROUP = 2000
+#: Of so many texts one is looked at to find anchors of very many, and how many of these make one.
+LOOK, MANY = 64, 2000
+#: Pairs that are held before they are passed on.
+PAIRS = 1_000_000
 #: Characters hashed at a time; below 2 ** 16, so that a place fits the low bits.
 _SEGMENT = 48_000
 
@@ -232,25 +244,29 @@ class _Shard:
         self.groups, self.chars = [], 0
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[tuple[int, int]]]]:
-    """Regions by key, equal texts once with their owners (doc_id, start)."""
-    key, group = None, {}
+def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[int, dict[str, list[tuple[int, int]]] | None, int]]:
+    """(key, group, size): regions by key, equal texts once with their owners
+    (doc_id, start). Of a key with more than ``most`` regions only the size."""
+    key, group, size = None, {}, 0
     for batch in batches:
         for k, doc_id, start, region in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if k != key:
-                if group:
-                    yield group
-                key, group = k, {}
-            group.setdefault(region, []).append((doc_id, start))
-    if group:
-        yield group
-
-
-def _pairs_of(runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
+                if size:
+                    yield key, group if most is None or size <= most else None, size
+                key, group, size = k, {}, 0
+            size += 1
+            if most is None or size <= most:
+                group.setdefault(region, []).append((doc_id, start))
+            else:
+                group.clear()
+    if size:
+        yield key, group if most is None or size <= most else None, size
+
+
+def _pairs_of(runs: np.ndarray, index: FMIndex) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of texts that have a window in common. Neighbouring windows mostly
     have the same texts, so equal runs are dropped by a hash first; then all
     runs of a size are one step."""
-    found: set[tuple[int, int]] = set()
     runs = np.unique(runs)
     sizes = index.run_end[runs] - runs
     for size in np.unique(sizes[sizes > 1]).tolist():
@@ -261,18 +277,16 @@ def _pairs_of(runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
         if size <= 64:
             for i in range(size - 1):
                 for j in range(i + 1, size):
-                    found.update(_distinct(own[:, i], own[:, j]))
+                    yield own[:, i], own[:, j]
         else:
             for row in own:
                 texts = np.unique(row)
                 for i in range(len(texts) - 1):
-                    found.update(_distinct(np.full(len(texts) - 1 - i, texts[i]), texts[i + 1 :]))
-    return found
+                    yield np.full(len(texts) - 1 - i, texts[i]), texts[i + 1 :]
 
 
-def _outside_pairs(pattern: np.ndarray, runs: np.ndarray, index: FMIndex) -> set[tuple[int, int]]:
+def _outside_pairs(pattern: np.ndarray, runs: np.ndarray, index: FMIndex) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a text outside the index with all texts inside that have one of its windows."""
-    found: set[tuple[int, int]] = set()
     outside = ~np.isin(pattern, index.text_of)
     code = np.unique(pattern[outside] << 32 | runs[outside])
     pattern, runs = code >> 32, code & 0xFFFFFFFF
@@ -280,33 +294,86 @@ def _outside_pairs(pattern: np.ndarray, runs: np.ndarray, index: FMIndex) -> set
     for size in np.unique(sizes).tolist():
         at = sizes == size
         for k in range(size):
-            found.update(_distinct(pattern[at], index.text_of[index.sa[runs[at] + k]].astype(np.int64)))
-    return found
+            yield pattern[at], index.text_of[index.sa[runs[at] + k]].astype(np.int64)
+
+
+def _within(docs: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different documents."""
+    own = np.unique(np.array(docs, np.int64))
+    for i in range(len(own) - 1):
+        yield np.full(len(own) - 1 - i, own[i]), own[i + 1 :]
+
+
+class _Owners:
+    """The documents of texts, for pairs of texts to become pairs of documents."""
+
+    def __init__(self, owners: list[list[tuple[int, int]]]) -> None:
+        own = [sorted({x for x, _ in o}) for o in owners]
+        self.count = np.array([len(o) for o in own], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.docs = np.array([x for o in own for x in o], np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.count[a] * self.count[b]
+        which = np.repeat(np.arange(len(a)), n)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        width = self.count[b][which]
+        return self.docs[self.start[a][which] + inside // np.maximum(width, 1)], self.docs[self.start[b][which] + inside % np.maximum(width, 1)]
+
 
+def _batches(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs in pieces of about PAIRS, each once in its piece, the lesser first."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-    code = np.unique((a << 32 | b)[a != b])
-    return zip((code >> 32).tolist(), (code & 0xFFFFFFFF).tolist())
+    def piece() -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        both = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y]
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        both = both[order]
+        new = np.append(True, (both[1:] != both[:-1]).any(axis=1)) if len(both) else np.zeros(0, bool)
+        return both[new, 0], both[new, 1]
 
+    for x, y in pairs:
+        for k in range(0, len(x), PAIRS):
+            held.append((x[k : k + PAIRS], y[k : k + PAIRS]))
+            size += len(held[-1][0])
+            if size >= PAIRS:
+                yield piece()
+                held, size = [], 0
+    if held:
+        yield piece()
 
-def _pair_rows(span: int, index_chars: int):
+
+_PAIRS = ("a", "b", "key", "n")
+_SPANS = ("doc_id", "start", "end", "key", "n")
+
+
+def _told(names: tuple[str, ...], key: int, size: int) -> pa.RecordBatch:
+    """A row of nulls but for the key and the size of its group."""
+    return pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (len(names) - 2), pa.array([key], pa.int64()), pa.array([size], pa.int64())], list(names))
+
+
+def _pair_rows(span: int, index_chars: int, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(span, index_chars)
 
+        def rows(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for x, y in _batches(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.nulls(len(x), pa.int64())] * 2], list(_PAIRS))
+
         def emit() -> Iterator[pa.RecordBatch]:
-            pairs: set[tuple[int, int]] = set()
             for owners, pattern, _, runs, index in shard.matched():
-                texts = _pairs_of(runs, index)
-                texts.update(_outside_pairs(pattern, runs, index))
-                for a, b in texts:
-                    pairs.update((min(x, y), max(x, y)) for x, _ in owners[a] for y, _ in owners[b] if x != y)
-            rows = sorted(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
-
-        for group in _groups(batches):
-            same = sorted({(min(x, y), max(x, y)) for text, o in group.items() if len(o) > 1 and len(text) >= span for x, _ in o for y, _ in o if x != y})
-            if same:  # equal regions need no search
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in same], pa.int64()), pa.array([b for _, b in same], pa.int64())], ["a", "b"])
+                own = _Owners(owners)
+                texts = (part for source in (_pairs_of(runs, index), _outside_pairs(pattern, runs, index)) for part in _batches(source))
+                yield from rows(own.pairs(a, b) for a, b in texts)
+
+        for key, group, size in _groups(batches, most):
+            if group is None:
+                yield _told(_PAIRS, key, size)
+                continue
+            # equal regions need no search
+            yield from rows(pair for text, o in group.items() if len(o) > 1 and len(text) >= span for pair in _within([x for x, _ in o]))
             if len(group) > 1:
                 shard.groups.append(group)
                 shard.chars += sum(map(len, group))
@@ -318,14 +385,16 @@ def _pair_rows(span: int, index_chars: int):
     return run
 
 
-def _span_rows(span: int, index_chars: int):
+def _span_rows(span: int, index_chars: int, most: int | None):
     """(doc_id, start, end) of windows that another text has, neighbours joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(span, index_chars)
 
+        def rows(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in found], pa.int64()) for i in range(3)), *[pa.nulls(len(found), pa.int64())] * 2], list(_SPANS))
+
         def emit() -> Iterator[pa.RecordBatch]:
-            rows: set[tuple[int, int, int]] = set()
             for owners, pattern, start, runs, index in shard.matched():
                 # the one document of each text, -1 for texts of several
                 docs = [{x for x, _ in o} for o in owners]
@@ -342,18 +411,21 @@ def _span_rows(span: int, index_chars: int):
                 other = (low != high) | (low < 0)
                 shared = other[which] | (one[pattern] != low[which])
                 p, at = pattern[shared], start[shared]
+                if not len(p):
+                    continue
                 order = np.lexsort((at, p))
                 p, at = p[order], at[order]
                 new = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (at[1:] > at[:-1] + span)))
-                for k, first, last in zip(p[new].tolist(), at[new].tolist(), at[np.append(new[1:], len(p)) - 1].tolist()) if len(p) else ():
-                    rows.update((doc, own + first, own + last + span) for doc, own in owners[k])
-            done = sorted(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int64()), pa.array([r[1] for r in done], pa.int32()), pa.array([r[2] for r in done], pa.int32())], ["doc_id", "start", "end"])
+                found = {(doc, own + first, own + last + span) for k, first, last in zip(p[new].tolist(), at[new].tolist(), at[np.append(new[1:], len(p)) - 1].tolist()) for doc, own in owners[k]}
+                yield rows(sorted(found))
 
-        for group in _groups(batches):
+        for key, group, size in _groups(batches, most):
+            if group is None:
+                yield _told(_SPANS, key, size)
+                continue
             whole = [(doc, own, own + len(t)) for t, o in group.items() if len(t) >= span and len({x for x, _ in o}) > 1 for doc, own in o]
             if whole:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in whole], pa.int64()), pa.array([r[1] for r in whole], pa.int32()), pa.array([r[2] for r in whole], pa.int32())], ["doc_id", "start", "end"])
+                yield rows(whole)
             if len(group) > 1:
                 shard.groups.append(group)
                 shard.chars += sum(map(len, group))
@@ -365,6 +437,28 @@ def _span_rows(span: int, index_chars: int):
     return run
 
 
+def _window_rows(span: int):
+    """(h, doc_id, at): every window of the regions, by a hash of its characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for doc_id, start, region in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
+                text = _points(region)
+                n = len(text) - span + 1
+                if n < 1:
+                    continue
+                up, down = _powers(len(text) + 1)
+                sums = np.zeros(len(text) + 1, np.uint64)
+                np.cumsum(_values(text) * up[: len(text)], out=sums[1:], dtype=np.uint64)
+                h = _scatter((sums[span:] - sums[:-span]) * down[:n])
+                out.append((h.view(np.int64), np.full(n, doc_id, np.int64), np.arange(start, start + n, dtype=np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["h", "doc_id", "at"])
+
+    return run
+
+
 def text_classes(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """Exact copies are one: (texts, members). texts: doc_id (the least of the
     copies), text; members: (rep, doc_id), one row for each document of a text
@@ -378,14 +472,36 @@ def text_classes(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]
     return long.join(others, "doc_id", "left_anti"), members
 
 
-def _regions(texts: DataFrame, span: int) -> DataFrame:
-    """(key, doc_id, start, region): rows of one key are to meet."""
-    rows = texts.mapInArrow(_anchor_rows(span), "anchor bigint, doc_id bigint, first int, last int, link bigint")
-    # one shuffle: an anchor's statistics return to its rows in place
+def _marked(rows: DataFrame) -> DataFrame:
+    """Rows of anchors with what all rows of the anchor tell: whether it is
+    linked, hot, and its least and greatest document."""
     group = Window.partitionBy("anchor")
     same = (F.min("link").over(group) == F.max("link").over(group)) & (F.min("link").over(group) >= 0)
-    shared = rows.withColumn("linked", same).withColumn("hot", F.count("*").over(group) > HOT_REGIONS).withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
-    marks = shared.where("least <> most").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "linked", "hot")).alias("marks"))
+    # one shuffle: an anchor's statistics return to its rows in place
+    return rows.withColumn("linked", same).withColumn("hot", F.count("*").over(group) > HOT_REGIONS).withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
+
+
+def _regions(texts: DataFrame, span: int) -> DataFrame:
+    """(key, doc_id, start, region): rows of one key are to meet."""
+    anchor_schema = "anchor bigint, doc_id bigint, first int, last int, link bigint"
+    rows = texts.mapInArrow(_anchor_rows(span), anchor_schema)
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0)
+    marked = None
+    if some.count() > MANY:
+        # anchors of very many texts: aggregated map-side and told to their rows; there are no more than texts' anchors / (LOOK * MANY)
+        often = some.mapInArrow(_anchor_rows(span), anchor_schema).groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > MANY)
+        often = staged(often.select("anchor"), "often")
+        if not often.isEmpty():
+            few = often.count() <= BROADCAST_ROWS
+            told = F.broadcast(often) if few else often
+            own = rows.join(told, "anchor", "left_semi")
+            stats = own.groupBy("anchor").agg(F.min("link").alias("_l"), F.max("link").alias("_h"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+            stats = staged(stats, "oftenstats")
+            joined = own.join(F.broadcast(stats) if few else stats, "anchor").withColumn("linked", (F.col("_l") == F.col("_h")) & (F.col("_l") >= 0)).withColumn("hot", F.lit(True))
+            columns = ("anchor", "doc_id", "first", "last", "linked", "hot", "least", "most")
+            marked = joined.select(*columns).unionAll(_marked(rows.join(told, "anchor", "left_anti")).select(*columns))
+    marked = _marked(rows) if marked is None else marked
+    marks = marked.where("least <> most").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last", "linked", "hot")).alias("marks"))
     return texts.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_region_rows(span), "key bigint, doc_id bigint, start int, region string")
 
 
@@ -393,12 +509,30 @@ def _met(regions: DataFrame) -> DataFrame:
     return regions.repartition("key").sortWithinPartitions("key")
 
 
-def shared_pairs(documents: DataFrame, span: int = 240, index_chars: int = INDEX_CHARS) -> DataFrame:
+def _of_keys(regions: DataFrame, told: DataFrame) -> DataFrame:
+    """Regions of the keys told(key, n), with n."""
+    few = told.count() <= BROADCAST_ROWS
+    return regions.join(F.broadcast(told) if few else told, "key")
+
+
+def _cells(regions: DataFrame, told: DataFrame, block: int) -> DataFrame:
+    """Regions of large groups as a grid: every two of a group meet in a cell of two blocks."""
+    rows = _of_keys(regions, told).withColumn("_g", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("doc_id", "start"), F.col("_g")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return rows.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "doc_id", "start", "region")
+
+
+def shared_pairs(documents: DataFrame, span: int = 240, index_chars: int = INDEX_CHARS, group: int = GROUP) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose texts have ``span``
     consecutive characters in common, as stored. Null and shorter texts share
     nothing. doc_id is unique; other columns are not read."""
     texts, members = text_classes(documents, span)
-    met = _met(_regions(texts, span)).mapInArrow(_pair_rows(span, index_chars), "a bigint, b bigint").distinct()
+    regions, schema = _regions(texts, span), "a bigint, b bigint, key bigint, n bigint"
+    found = staged(_met(regions).mapInArrow(_pair_rows(span, index_chars, group), schema), "found")
+    met, told = found.where("key is null"), found.where("key is not null").select("key", "n")
+    if not told.isEmpty():
+        met = met.unionAll(_met(_cells(regions, told, group)).mapInArrow(_pair_rows(span, index_chars, None), schema))
+    met = met.select("a", "b").distinct()
     # copies back in: each text of a pair stands for all its documents
     copies = staged(members, "copies")
     left = met.join(copies.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("doc_id", "a").alias("x"), "b")
@@ -407,12 +541,25 @@ def shared_pairs(documents: DataFrame, span: int = 240, index_chars: int = INDEX
     return both.unionAll(inside).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def shared_spans(documents: DataFrame, span: int = 240, index_chars: int = INDEX_CHARS) -> DataFrame:
+def _often_spans(regions: DataFrame, told: DataFrame, span: int) -> DataFrame:
+    """(doc_id, start, end): the shared windows of large groups, found by counting the documents of each."""
+    windows = staged(_of_keys(regions, told).select("key", "doc_id", "start", "region").mapInArrow(_window_rows(span), "h bigint, doc_id bigint, at bigint"), "windows")
+    shared = windows.groupBy("h").agg(F.min("doc_id").alias("_l"), F.max("doc_id").alias("_m")).where("_l < _m").select("h")
+    return windows.join(shared, "h", "left_semi").select("doc_id", F.col("at").alias("start"), (F.col("at") + span).alias("end"))
+
+
+def shared_spans(documents: DataFrame, span: int = 240, index_chars: int = INDEX_CHARS, group: int = GROUP) -> DataFrame:
     """(doc_id, start, end): the stretches of each document, as long as they
     go, that consist of windows of ``span`` characters which another document
     has too. Copies are covered as a whole."""
     texts, members = text_classes(documents, span)
-    found = _met(_regions(texts, span)).mapInArrow(_span_rows(span, index_chars), "doc_id bigint, start int, end int")
+    regions = _regions(texts, span)
+    found = staged(_met(regions).mapInArrow(_span_rows(span, index_chars, group), "doc_id bigint, start bigint, end bigint, key bigint, n bigint"), "found")
+    told = found.where("key is not null").select("key", "n")
+    found = found.where("key is null").select("doc_id", "start", "end")
+    if not told.isEmpty():
+        found = found.unionAll(_often_spans(regions, told, span))
+    found = found.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     copies = staged(members, "copies")
     spread = found.join(copies.withColumnRenamed("doc_id", "member"), found.doc_id == F.col("rep"), "left").select(F.coalesce("member", "doc_id").alias("doc_id"), "start", "end")
     whole = documents.select("doc_id", F.char_length("text").alias("end")).join(copies.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), "end")

@@ -90,6 +90,7 @@ def test_pairs(documents, texts, rows):
     got = rows(spans.shared_pairs(documents))
     assert got == sorted(want, key=repr)
     assert rows(spans.shared_pairs(documents, index_chars=300)) == got
+    assert rows(spans.shared_pairs(documents, group=2)) == got
     assert rows(spans.shared_pairs(documents.where("false"))) == []
 
 
@@ -107,11 +108,24 @@ def test_pairs_of_a_group_over_several_blocks(spark, rows):
 
 def test_pairs_with_hot_anchors(documents, rows, monkeypatch):
     want = rows(spans.shared_pairs(documents))
+    found = rows(spans.shared_spans(documents))
     monkeypatch.setattr(spans, "HOT_REGIONS", 1)
     assert rows(spans.shared_pairs(documents.repartition(3))) == want
+    # anchors that a sample, here of all texts, shows to be in many
+    monkeypatch.setattr(spans, "LOOK", 1)
+    monkeypatch.setattr(spans, "MANY", 2)
+    assert rows(spans.shared_pairs(documents)) == want and rows(spans.shared_spans(documents)) == found
 
 
-def test_spans_and_report(documents, texts):
+def test_pairs_in_pieces(monkeypatch):
+    monkeypatch.setattr(spans, "PAIRS", 7)
+    some = [(np.array([3, 1, 2]), np.array([1, 3, 2])), (np.arange(20), np.arange(20)[::-1])]
+    got = {p for x, y in spans._batches(some) for p in zip(x.tolist(), y.tolist())}
+    assert got == {(1, 3)} | {(i, 19 - i) for i in range(10)}
+
+
+@pytest.mark.parametrize("group", [spans.GROUP, 2])
+def test_spans_and_report(documents, texts, group):
     held = windows(texts, SPAN)
     cover = {}
     for d, t in texts.items():
@@ -121,7 +135,7 @@ def test_spans_and_report(documents, texts):
                 mark[i : i + SPAN] = [True] * SPAN
         cover[d] = mark
     got = {d: [False] * len(t or "") for d, t in texts.items()}
-    for r in spans.shared_spans(documents).collect():
+    for r in spans.shared_spans(documents, group=group).collect():
         got[r.doc_id][r.start : r.end] = [True] * (r.end - r.start)
     assert got == cover
     report = {r.doc_id: r for r in spans.shared_report(documents).collect()}
