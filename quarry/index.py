@@ -34,6 +34,7 @@ _TABLES = {
     "vectors": "slot bigint, doc_id string, v array<double>",
     "postings": "term string, slot bigint, doc_id string, tf bigint, dl bigint",
 }
+_TERMS = "term string, df bigint, cf bigint"
 _GONE = "doc_id string, part bigint"
 #: Bytes of a file that compact writes.
 FILE_BYTES = 128 << 20
@@ -99,37 +100,62 @@ class Index:
         array[0] = options
         context.rename(context.makeQualified(draft), context.makeQualified(self._at("CURRENT")), array)
 
-    def _parts(self, manifest: dict, name: str, kind: str = "tables") -> list[str]:
-        return [self._at(p["folder"], name if kind == "tables" else "gone").toString() for p in manifest.get("parts", ()) if name in p[kind]]
+    def _parts(self, manifest: dict, name: str) -> list[dict]:
+        """The parts that count for a table: from the last on that holds it whole."""
+        parts = manifest.get("parts", [])
+        whole = [i for i, p in enumerate(parts) if name in p["whole"]]
+        return parts[whole[-1] :] if whole else parts
+
+    def _paths(self, parts: Iterable[dict], name: str) -> list[str]:
+        return [self._at(p["folder"], name).toString() for p in parts]
 
     def table(self, name: str) -> DataFrame:
         """The live rows of docs, chunks, vectors or postings."""
-        manifest = self._manifest()
-        paths = self._parts(manifest, name)
-        if not paths:
+        parts = self._parts(self._manifest(), name)
+        own = [p for p in parts if name in p["tables"]]
+        if not own:
             return self.spark.createDataFrame([], _TABLES[name])
-        rows = self.spark.read.schema(_TABLES[name] + ", part bigint").parquet(*paths)
-        gone = self._parts(manifest, name, "gone")
+        rows = self.spark.read.schema(_TABLES[name] + ", part bigint").parquet(*self._paths(own, name))
+        gone = [p for p in parts if name in p["gone"]]
         if gone:
-            last = self.spark.read.schema(_GONE).parquet(*gone).groupBy("doc_id").agg(F.max("part").alias("_gone"))
+            last = self.spark.read.schema(_GONE).parquet(*self._paths(gone, "gone")).groupBy("doc_id").agg(F.max("part").alias("_gone"))
             rows = rows.join(last.withColumnRenamed("doc_id", "_id"), (F.col("doc_id") == F.col("_id")) & (F.col("part") < F.col("_gone")), "left_anti")
         return rows.drop("part")
 
-    def _write(self, tables: Mapping[str, DataFrame], gone: DataFrame | None = None, gone_from: Iterable[str] = (), instead: bool = False) -> None:
+    def _write(self, tables: Mapping[str, DataFrame], gone: DataFrame | None = None, gone_from: Iterable[str] = (), whole: Iterable[str] = (), instead: bool = False) -> None:
         """One more part, or with ``instead`` one for all. gone: (doc_id) whose
-        rows in earlier parts of the tables gone_from no longer count."""
+        rows in earlier parts of the tables gone_from no longer count. whole:
+        tables of which no earlier part counts any more."""
         manifest = self._manifest() or {"options": self.options, "next": 0, "doc_ord": 0, "parts": []}
         number, folder = manifest["next"], f"p-{uuid.uuid4().hex}"
+        part: dict[str, Any] = {"number": number, "folder": folder, "tables": sorted(tables), "gone": sorted(gone_from) if gone is not None else [], "whole": sorted(whole)}
         for name, df in tables.items():
             out = df.sort("term") if name == "postings" else df  # equal terms together: row groups of other terms are skipped
             out.withColumn("part", F.lit(number).cast("bigint")).write.option("compression", "zstd").parquet(self._at(folder, name).toString())
+        if "postings" in tables:
+            written = self.spark.read.schema(_TABLES["postings"]).parquet(self._at(folder, "postings").toString())
+            written.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(self._at(folder, "terms").toString())
+            part["tokens"] = self.spark.read.schema(_TERMS).parquet(self._at(folder, "terms").toString()).agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
+        if "chunks" in tables:
+            part["chunks"] = self.spark.read.schema(_TABLES["chunks"]).parquet(self._at(folder, "chunks").toString()).count()
         if gone is not None:
             gone.select("doc_id", F.lit(number).cast("bigint").alias("part")).write.parquet(self._at(folder, "gone").toString())
-        part = {"number": number, "folder": folder, "tables": sorted(tables), "gone": sorted(gone_from) if gone is not None else []}
-        top = tables["docs"].agg(F.max("doc_ord")).first()[0] if "docs" in tables else None
+        top = self.spark.read.schema(_TABLES["docs"]).parquet(self._at(folder, "docs").toString()).agg(F.max("doc_ord")).first()[0] if "docs" in tables else None
         following = manifest["doc_ord"] if top is None else max(manifest["doc_ord"], top + 1)
         self._put(manifest | {"next": number + 1, "doc_ord": following, "parts": [part] if instead else [*manifest["parts"], part]})
 
+    def _known(self) -> lexical.Known | None:
+        """Counts of terms and lengths as stored, while no row of theirs is gone."""
+        manifest = self._manifest()
+        parts, chunks = self._parts(manifest, "postings"), self._parts(manifest, "chunks")
+        own = [p for p in parts if "postings" in p["tables"]]
+        if not own or any("postings" in p["gone"] for p in parts[1:]) or any("chunks" in p["gone"] for p in chunks[1:]):
+            return None
+        n, tokens = sum(p.get("chunks", 0) for p in chunks), sum(p["tokens"] for p in own)
+        terms = self.spark.read.schema(_TERMS).parquet(*self._paths(own, "terms"))
+        terms = terms.select("term", "df") if len(own) == 1 else terms.groupBy("term").agg(F.sum("df").alias("df"))
+        return lexical.Known(n, tokens / n if n else 0.0, terms)
+
     # changes
 
     def _analysed(self, docs: DataFrame) -> dict[str, DataFrame]:
@@ -141,7 +167,7 @@ class Index:
             "postings": lexical.postings(chunks),
         }
 
-    def _known(self, ids: DataFrame) -> DataFrame | None:
+    def _present(self, ids: DataFrame) -> DataFrame | None:
         """Those of ids(doc_id) that the index has, None where it has none."""
         known = self.table("docs").select("doc_id").join(ids.select("doc_id"), "doc_id", "left_semi")
         return None if known.isEmpty() else known
@@ -179,16 +205,15 @@ class Index:
                 return 0
             first = self.spark.createDataFrame(offsets, "_p bigint, _first bigint")
             rows = written.withColumn("_p", part).join(F.broadcast(first), "_p").select("doc_id", (F.col("_first") + inside).alias("doc_ord"), "text", "meta", "updated")
-            self._write({"docs": rows, **self._analysed(rows)}, self._known(rows), _TABLES)
-            newest = self._manifest()["parts"][-1]["folder"]
-            return self.spark.read.schema(_TABLES["chunks"]).parquet(self._at(newest, "chunks").toString()).count()
+            self._write({"docs": rows, **self._analysed(rows)}, self._present(rows), _TABLES)
+            return self._manifest()["parts"][-1]["chunks"]
         finally:
             self._fs.delete(draft, True)
 
     def delete_documents(self, ids: DataFrame | Iterable[str]) -> int:
         """Take documents out; returns how many were there."""
         gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], "doc_id string")
-        known = self._known(gone)
+        known = self._present(gone)
         if known is None:
             return 0
         self._write({}, known, _TABLES)
@@ -211,8 +236,7 @@ class Index:
         documents counts theirs. It saves them the reading of many parts."""
         if not self._manifest():
             return 0
-        everything = self.table("docs").select("doc_id")
-        self._write({"postings": lexical.postings(self.table("chunks"))}, everything, ("postings",))
+        self._write({"postings": lexical.postings(self.table("chunks"))}, whole=("postings",))
         return self.n_chunks
 
     def compact(self) -> int:
@@ -224,7 +248,8 @@ class Index:
             return 0
         whole = {}
         for name in _TABLES:
-            size = sum(self._fs.getContentSummary(self._jvm.org.apache.hadoop.fs.Path(p)).getLength() for p in self._parts(manifest, name))
+            paths = [self._at(p["folder"], name) for p in self._parts(manifest, name) if name in p["tables"]]
+            size = sum(self._fs.getContentSummary(p).getLength() for p in paths)
             whole[name] = self.table(name).coalesce(max(1, -(-size // FILE_BYTES)))
         self._write(whole, instead=True)
         current = self._manifest()["parts"][0]["folder"]
@@ -273,7 +298,7 @@ class Index:
         return self.table("chunks").where(F.col("doc_id") == doc_id).orderBy("chunk_ord")
 
     def collection(self) -> search.Collection:
-        return search.Collection(self.table("chunks"), self.table("docs"), self.table("vectors"), self.encoder, bm25=self.bm25, reranker=self.reranker, stored_postings=self.table("postings"))
+        return search.Collection(self.table("chunks"), self.table("docs"), self.table("vectors"), self.encoder, bm25=self.bm25, reranker=self.reranker, stored_postings=self.table("postings"), known=self._known())
 
     def _queries(self, queries: DataFrame | str) -> DataFrame:
         return self.spark.createDataFrame([("q", queries)], "qid string, text string") if isinstance(queries, str) else queries

@@ -137,7 +137,7 @@ def chunk(docs: DataFrame, mode: str | Splitter = "structure", max_chars: int =
         "doc_ord",
         "chunk_ord",
         F.concat_ws("#", F.col("doc_id").cast("string"), "chunk_ord").alias("chunk_id"),
-        (F.col("doc_ord") * SLOTS + F.col("chunk_ord")).alias("slot"),
+        F.when(F.col("chunk_ord") < SLOTS, F.col("doc_ord") * SLOTS + F.col("chunk_ord")).otherwise(F.raise_error(F.lit(f"a document has more than {SLOTS} chunks"))).alias("slot"),
         F.col("_s.start").alias("start"),
         F.col("_s.end").alias("end"),
         F.substring("_t", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("text"),

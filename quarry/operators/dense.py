@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import TOKEN, _folds
 from quarry.operators.lexical import DIGITS
+from quarry.session import staged
 
 #: Numbers in the block of query vectors that a pass over the vectors takes along (8 bytes each).
 QUERY_NUMBERS = 4_000_000
@@ -110,67 +111,106 @@ def scores(vectors: DataFrame, queries: DataFrame, key: str = "slot") -> DataFra
     return vectors.select(key, "v").crossJoin(q).select("qid", key, dot(F.col("v"), F.col("_q")).alias("score"))
 
 
+class _Best:
+    """The best k of each query among the rows seen so far, with all that tie with the last."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.floor = np.full(queries, -np.inf)
+        self.query, self.score, self.row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.rows: pa.Table | None = None
+
+    def add(self, batch: pa.RecordBatch, scores: np.ndarray) -> None:
+        """scores: a row for each row of batch, a column for each query."""
+        if len(scores) > self.k:
+            self.floor = np.maximum(self.floor, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+        row, query = np.nonzero(scores >= self.floor)
+        if not len(row):
+            return
+        taken, at = np.unique(row, return_inverse=True)
+        base = 0 if self.rows is None else self.rows.num_rows
+        own = pa.Table.from_batches([batch.take(pa.array(taken))])
+        self.rows = own if self.rows is None else pa.concat_tables([self.rows, own])
+        self.query, self.score, self.row = np.append(self.query, query), np.append(self.score, scores[row, query]), np.append(self.row, at + base)
+        if len(self.query) > 4 * self.k * len(self.floor) + 10_000:
+            self.settle()
+
+    def settle(self) -> None:
+        """Drop what is below the k-th of its query, and rows that no query keeps."""
+        if self.rows is None:
+            return
+        order = np.lexsort((-self.score, self.query))
+        q, s = self.query[order], self.score[order]
+        first = np.searchsorted(q, np.arange(len(self.floor)))
+        last = first + self.k - 1
+        full = (last < len(q)) & (q[np.minimum(last, len(q) - 1)] == np.arange(len(self.floor)))
+        self.floor[full] = s[last[full]]
+        keep = order[s >= self.floor[q]]
+        taken, self.row = np.unique(self.row[keep], return_inverse=True)
+        self.query, self.score = self.query[keep], self.score[keep]
+        self.rows = self.rows.take(pa.array(taken)).combine_chunks()
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "slot", keep: tuple[str, ...] = ()) -> DataFrame:
     """(qid, key, keep..., score, rank): the best k of each query, exactly.
 
-    queries(qid, v) go along with the scan in blocks of QUERY_NUMBERS numbers.
-    A task multiplies its batches with a block and keeps k rows for each query
+    queries(qid, v) go along with the scan in blocks of QUERY_NUMBERS numbers;
+    of several blocks, each one's result is written before the next is read. A
+    task multiplies its batches with a block and keeps k rows for each query
     (with all that tie with the last), so k rows for each query and task are
     shuffled, not all products. Vectors of another length than the queries
     raise an error; null vectors are left out.
     """
     spark = vectors.sparkSession
-    rows = queries.where("v is not null").select("qid", "v").collect()
     fields = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in (key, *keep))
     qtype = queries.schema["qid"].dataType
-    qid_type = to_arrow_type(qtype)
     schema = f"qid {qtype.simpleString()}, {fields}, score double"
-    if not rows:
-        return spark.createDataFrame([], schema + ", rank int")
-    dim = len(rows[0].v)
-    step = max(1, QUERY_NUMBERS // max(1, dim))
     found = None
-    for begin in range(0, len(rows), step):
-        block = rows[begin : begin + step]
-        told = spark.sparkContext.broadcast((np.array([r.v for r in block], np.float64), [r.qid for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matrix, qids = told.value
-            best: list[list[tuple[float, int, int]]] = [[] for _ in qids]
-            held: list[pa.RecordBatch] = []
-            floor = np.full(len(qids), -np.inf)
-            for number, batch in enumerate(batches):
-                if not batch.num_rows:
-                    held.append(batch.select([c for c in batch.schema.names if c != "v"]))
-                    continue
-                v = batch.column(batch.schema.get_field_index("v"))
-                flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(flat) != batch.num_rows * matrix.shape[1]:
-                    raise ValueError("vectors and queries differ in length")
-                s = np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, DIGITS)
-                held.append(batch.select([c for c in batch.schema.names if c != "v"]))
-                if len(s) > k:
-                    floor = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
-                row, query = np.nonzero(s >= floor)
-                for r, q in zip(row.tolist(), query.tolist()):
-                    best[q].append((s[r, q], number, r))
-                for q in np.unique(query).tolist():
-                    if len(best[q]) > k:
-                        values = np.array([x[0] for x in best[q]])
-                        floor[q] = np.partition(values, len(values) - k)[len(values) - k]
-                        best[q] = [x for x in best[q] if x[0] >= floor[q]]
-            if not held:
-                return
-            start = np.cumsum([0] + [b.num_rows for b in held])
-            table = pa.Table.from_batches(held)
-            at = np.array([start[n] + r for x in best for _, n, r in x], np.int64)
-            taken = table.take(pa.array(at)).combine_chunks()
-            names = [qids[q] for q, x in enumerate(best) for _ in x]
-            value = np.array([s_ for x in best for s_, _, _ in x], np.float64)
-            columns = [pa.array(names, qid_type), *[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in taken.columns], pa.array(value)]
-            yield pa.RecordBatch.from_arrays(columns, ["qid", *taken.column_names, "score"])
-
-        part = vectors.where("v is not null").select(key, *keep, "v").mapInArrow(run, schema)
+    blocks = _vector_blocks(queries)
+    block = next(blocks, None)
+    while block is not None:
+        part = _best_of_block(vectors.where("v is not null").select(key, *keep, "v"), block, k, schema, to_arrow_type(qtype))
+        block = next(blocks, None)
+        if block is not None or found is not None:
+            part = staged(part, "best")
         found = part if found is None else found.unionAll(part)
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    qids: list = []
+    rows: list = []
+    for r in queries.where("v is not null").select("qid", "v").toLocalIterator(prefetchPartitions=True):
+        qids.append(r.qid), rows.append(r.v)
+        if len(rows) * len(r.v) >= QUERY_NUMBERS:
+            yield qids, np.array(rows, np.float64)
+            qids, rows = [], []
+    if qids:
+        yield qids, np.array(rows, np.float64)
+
+
+def _best_of_block(vectors: DataFrame, block: tuple[list, np.ndarray], k: int, schema: str, qid_type: pa.DataType) -> DataFrame:
+    told = vectors.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, matrix = told.value
+        best = _Best(len(qids), k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(flat) != batch.num_rows * matrix.shape[1]:
+                raise ValueError("vectors and queries differ in length")
+            best.add(batch.select(batch.schema.names[:-1]), np.round(flat.reshape(batch.num_rows, -1) @ matrix.T, DIGITS))
+        best.settle()
+        if best.rows is None:
+            return
+        names = pa.array([qids[q] for q in best.query.tolist()], qid_type)
+        kept = best.rows.take(pa.array(best.row)).combine_chunks()
+        for part in pa.table({"qid": names, **{c: kept.column(c) for c in kept.column_names}, "score": pa.array(best.score)}).to_batches():
+            yield part
+
+    return vectors.mapInArrow(run, schema)

@@ -110,13 +110,30 @@ def postings_stats(stored: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("slot").alias("n")).join(total).select("n", F.coalesce(F.col("t") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"))
 
 
-def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Known:
+    """What a collection knows of itself: the number of chunks, their mean
+    length, and terms(term, df) where these are stored; what is not known is
+    counted from the postings."""
+
+    n: int
+    avgdl: float
+    terms: DataFrame | None = None
+
+
+def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame, known: Known | None = None) -> DataFrame:
     """(qid, term, idf, avgdl): the terms of the queries that the collection
     has. A table of the size of the query set."""
     wanted = query_terms(queries)
-    df = stored.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    stats = postings_stats(stored, chunks)
-    return wanted.join(df, "term").join(F.broadcast(stats)).select("qid", "term", idf_of(F.col("df"), F.col("n")).alias("idf"), "avgdl")
+    df = known.terms if known is not None else None
+    if df is None:
+        df = stored.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rows = wanted.join(df, "term")
+    if known is not None:
+        rows = rows.withColumn("n", F.lit(known.n)).withColumn("avgdl", F.lit(known.avgdl))
+    else:
+        rows = rows.join(F.broadcast(postings_stats(stored, chunks)))
+    return rows.select("qid", "term", idf_of(F.col("df"), F.col("n")).alias("idf"), "avgdl")
 
 
 def _allowed_only(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
@@ -149,51 +166,69 @@ def pair_scores(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, p: BM25
     return rows.groupBy("qid", "slot").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
 
 
-#: Rows (query, term) that go along with one pass over the postings.
-TERM_ROWS = 2_000_000
+#: Rows (query, term), and rows that are kept of a task, for which queries go along with one pass over the postings.
+TERM_ROWS, KEPT_ROWS = 500_000, 2_000_000
+#: Chunks whose postings of the queries' terms a task holds.
+TASK_CHUNKS = 50_000
 
 
-def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), allowed: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+def _query_blocks(told: DataFrame, k: int) -> Iterator[dict]:
+    """{qid: [(term, idf)]} of so many queries as go along at a time; no more are on the driver."""
+    block: dict = {}
+    size = 0
+    for r in told.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("own")).toLocalIterator(prefetchPartitions=True):
+        if block and (size + len(r.own) > TERM_ROWS or len(block) * k >= KEPT_ROWS):
+            yield block
+            block, size = {}, 0
+        block[r.qid] = [(x.term, x.idf) for x in r.own]
+        size += len(r.own)
+    if block:
+        yield block
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), allowed: DataFrame | None = None, stored: DataFrame | None = None, known: Known | None = None) -> DataFrame:
     """(qid, slot, doc_id, score, rank): the best k chunks of each query, as
     ``top`` of ``bm25_scores``, without a row for every (query, chunk).
 
-    The queries' terms go along in blocks of TERM_ROWS. Postings of these terms
-    are dealt by chunk; a task adds up all queries over its chunks as arrays
-    and keeps k rows for each, so k rows for each query and task are shuffled.
+    The queries' terms go along in blocks; of several blocks, each one's result
+    is written before the next is read. Postings of these terms are dealt by
+    chunk, TASK_CHUNKS to a task. For a query, a task adds up the postings of
+    its terms at the chunks that they touch, and keeps k rows, so k rows for
+    each query and task are shuffled.
     """
     spark = chunks.sparkSession
     stored = staged(postings(chunks), "postings") if stored is None else stored
-    told = weighed_terms(stored, chunks, queries).collect()
+    if known is None:
+        one = postings_stats(stored, chunks).first()
+        known = Known(one.n, one.avgdl)
+    told = weighed_terms(stored, chunks, queries, known)
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
-    by_query: dict = {}
-    for r in told:
-        by_query.setdefault(r.qid, []).append((r.term, r.idf))
-    blocks: list[dict] = [{}]
-    size = 0
-    for qid, own in by_query.items():
-        if size + len(own) > TERM_ROWS and blocks[-1]:
-            blocks.append({})
-            size = 0
-        blocks[-1][qid] = own
-        size += len(own)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-known.n // TASK_CHUNKS))
     found = None
-    for block in blocks:
-        part = _scored_block(spark, _allowed_only(stored, allowed), block, told[0].avgdl if told else 1.0, k, p, schema, qid_type)
+    blocks = _query_blocks(told, k)
+    block = next(blocks, None)
+    while block is not None:
+        part = _scored_block(spark, _allowed_only(stored, allowed), block, known.avgdl or 1.0, k, p, schema, qid_type, tasks)
+        block = next(blocks, None)
+        if block is not None or found is not None:
+            part = staged(part, "best")
         found = part if found is None else found.unionAll(part)
+    if found is None:
+        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), "slot")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p: BM25, schema: str, qid_type: pa.DataType) -> DataFrame:
+def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p: BM25, schema: str, qid_type: pa.DataType, tasks: int) -> DataFrame:
     terms = sorted({t for own in block.values() for t, _ in own})
     number = {t: i for i, t in enumerate(terms)}
     asked = [(qid, np.array([number[t] for t, _ in own], np.int64), np.array([x for _, x in own])) for qid, own in block.items()]
     told = spark.sparkContext.broadcast((asked, len(terms)))
-    ids = spark.createDataFrame(list(number.items()) or [("", -1)], "term string, _term bigint")
-    # dealt by chunk; the numbers of the terms replace their texts before the shuffle
+    ids = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "_term": pa.array(range(len(terms)), pa.int32())}))
+    # dealt by chunk; the numbers of the terms, no more than TERM_ROWS, replace their texts before the shuffle
     weight = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / avgdl))
-    rows = stored.join(ids, "term").select("slot", "doc_id", F.col("_term").cast("int").alias("t"), weight.alias("w")).repartition("slot")
+    rows = stored.join(F.broadcast(ids), "term").select("slot", "doc_id", F.col("_term").alias("t"), weight.alias("w")).repartition(tasks, "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -207,19 +242,25 @@ def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int, p
         order = np.argsort(t, kind="stable")
         at, w = at[order], w[order]
         begin = np.searchsorted(t[order], np.arange(n_terms + 1))
+        score = np.zeros(len(slots))  # of one query at a time; only what it touched is read and cleared
         out: list[tuple] = []
         for qid, own, idf in asked:
-            score = np.zeros(len(slots))
-            for term, x in zip(own.tolist(), idf.tolist()):
-                part = slice(begin[term], begin[term + 1])
-                score[at[part]] += x * w[part]
-            hit = np.flatnonzero(score > 0)
+            parts = [(at[begin[i] : begin[i + 1]], x * w[begin[i] : begin[i + 1]]) for i, x in zip(own.tolist(), idf.tolist()) if begin[i] < begin[i + 1]]
+            if not parts:
+                continue
+            for where, value in parts:  # a term is at a chunk once
+                score[where] += value
+            hit = np.concatenate([where for where, _ in parts])
+            value = np.round(score[hit], DIGITS)
+            if len(hit) > k * len(parts):  # a chunk stands in hit as often as it has terms of the query
+                keep = value >= np.partition(value, len(value) - k * len(parts))[len(value) - k * len(parts)]
+                hit = hit[keep]
+            hit = np.unique(hit)
             value = np.round(score[hit], DIGITS)
-            if len(hit) > k:
-                keep = value >= np.partition(value, len(value) - k)[len(value) - k]
-                hit, value = hit[keep], value[keep]
-            best = np.lexsort((slots[hit], -value))[:k]
-            out.append((qid, hit[best], score[hit[best]]))
+            hit = hit[np.lexsort((slots[hit], -value))[:k]]
+            out.append((qid, hit, score[hit]))
+            for where, _ in parts:
+                score[where] = 0.0
         chosen = np.concatenate([h for _, h, _ in out]) if out else np.zeros(0, np.int64)
         if len(chosen):
             qids = pa.array([q for q, h, _ in out for _ in range(len(h))], qid_type)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import _folds
 from quarry.operators import dense, fusion, lexical
+from quarry.operators.chunking import SLOTS
 from quarry.operators.filters import compile_filter
 from quarry.operators.lexical import BM25, DIGITS
 
@@ -28,7 +29,7 @@ Reranker = Callable[[DataFrame, DataFrame, "Collection"], DataFrame]
 class Collection:
     """chunks: slot, doc_id, doc_ord, chunk_id, start, end, text. docs: doc_id,
     doc_ord, meta. vectors (slot, v) and stored_postings (term, slot, doc_id,
-    tf, dl) are made from the chunks where not given."""
+    tf, dl) are made from the chunks where not given, known is counted."""
 
     chunks: DataFrame
     docs: DataFrame
@@ -40,6 +41,7 @@ class Collection:
     bm25: BM25 = BM25()
     reranker: Reranker | None = None
     stored_postings: DataFrame | None = None
+    known: lexical.Known | None = None
 
     def chunk_vectors(self) -> DataFrame:
         if self.vectors is not None:
@@ -73,7 +75,7 @@ def candidates(c: Collection, queries: DataFrame, mode: str, k: int, where: Mapp
         q = dense.encode(queries, c.encoder, query=True).select("qid", "v")
         lists.append(dense.topk(vectors, q, k, keep=("doc_id",)).withColumn("source", F.lit("dense")).select(columns))
     if mode != "dense":
-        found = lexical.bm25_topk(c.chunks, queries, k, c.bm25, allowed, c.stored_postings)
+        found = lexical.bm25_topk(c.chunks, queries, k, c.bm25, allowed, c.stored_postings, c.known)
         lists.append(found.withColumn("source", F.lit("lexical")).select(columns))
     return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
 
@@ -96,11 +98,11 @@ def chunk_scores(c: Collection, queries: DataFrame, mode: str, where: Mapping[st
     return best.join(scored.select("qid", "slot", "score"), ["qid", "slot"])
 
 
-def _documents(c: Collection, scores: DataFrame, k: int) -> DataFrame:
-    pooled = fusion.pool_documents(scores)
-    order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), "doc_ord")
-    with_order = pooled.join(c.docs.select("doc_id", "doc_ord"), "doc_id")
-    return with_order.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _documents(scores: DataFrame, k: int) -> DataFrame:
+    # a slot begins with the document's place in the order of arrival
+    arrival = F.floor(F.col("slot") / SLOTS)
+    order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), arrival)
+    return fusion.pool_documents(scores).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _payload(c: Collection, hits: DataFrame) -> DataFrame:
@@ -112,12 +114,12 @@ def _payload(c: Collection, hits: DataFrame) -> DataFrame:
 def search(c: Collection, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", where: Mapping[str, Any] | None = None) -> DataFrame:
     """(qid, rank, doc_id, score, chunk_id, start, end, text): the best
     documents, each by its best chunk, equal scores in the order of arrival."""
-    return _payload(c, _documents(c, chunk_scores(c, queries, mode, where), top_k))
+    return _payload(c, _documents(chunk_scores(c, queries, mode, where), top_k))
 
 
 def retrieve_ranking(c: Collection, queries: DataFrame, depth: int = 100, mode: str = "hybrid", where: Mapping[str, Any] | None = None) -> DataFrame:
     """(qid, doc_id, rank): search without what is shown."""
-    return _documents(c, chunk_scores(c, queries, mode, where), depth).select("qid", "doc_id", "rank")
+    return _documents(chunk_scores(c, queries, mode, where), depth).select("qid", "doc_id", "rank")
 
 
 def search_chunks(c: Collection, queries: DataFrame, top_k: int = 10, mode: str = "hybrid", where: Mapping[str, Any] | None = None, weights: Mapping[str, float] | None = None, candidate_k: int | None = None) -> DataFrame:
