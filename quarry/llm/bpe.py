@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quarry.session import spread
+
 #: Where the files of public tokenizers are; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 #: Split pattern that belongs to the byte-level vocabularies (published with them).
@@ -236,7 +238,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", name: str
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -249,7 +251,7 @@ def token_counts(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], [*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, text).mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return spread(df.select(*keep, text)).mapInArrow(run, f"{kinds}, n_tokens bigint")
 
 
 def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -174,6 +174,7 @@ SELECT term, cf::BIGINT AS occurrences, df AS records, unnest(CASE WHEN df < 3 A
         "p3_cover": f"WITH {CURRENT} {P3_COVER}",
         "p4_groups": f"WITH RECURSIVE {terms}, {_GROUPS}",
         "p5_order": _order(),
+        "p7_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
         "p8_quotas": P8_QUOTAS,
         "p4_found": f"""WITH {terms},
 tri AS (SELECT DISTINCT doc_id, hash(term, lead(term) OVER w, lead(term, 2) OVER w) AS h, lead(term, 2) OVER w AS last FROM occ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),

@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "p5_order": lambda s, d: rankmix.fused_order(table(s, d, "hits")),
         "p6_found": lambda s, d: forms.same_looking_pairs(table(s, d, "docs")),
         "p7_ids": lambda s, d: bpe.token_ids(table(s, d, "documents")),
+        "p7_decoded": lambda s, d: bpe.decoded(bpe.token_ids(table(s, d, "documents"))).select("doc_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5")),
         "p7_round_trip": lambda s, d: bpe.round_trip(table(s, d, "documents")),
         "p8_found": lambda s, d: mixture.unreachable(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_mix": lambda s, d: mixture.mixed(table(s, d, "documents"), table(s, d, "mix_targets"), total="balanced"),

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.fmindex import FMIndex
-from quarry.session import BROADCAST_ROWS, staged
+from quarry.session import BROADCAST_ROWS, spread, staged
 
 #: Characters of an anchor. More make chance meetings rarer and anchors denser.
 GRAM = 96
@@ -463,13 +463,13 @@ def text_classes(documents: DataFrame, span: int) -> tuple[DataFrame, DataFrame]
     """Exact copies are one: (texts, members). texts: doc_id (the least of the
     copies), text; members: (rep, doc_id), one row for each document of a text
     that has copies. Only texts of ``span`` characters or more count."""
-    long = documents.where(F.char_length("text") >= span).select("doc_id", "text")
+    long = spread(documents.where(F.char_length("text") >= span).select("doc_id", "text"))
     digests = long.select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     reps = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     copied = reps.where("n > 1")
-    members = digests.join(copied, "digest").select("rep", "doc_id")
+    members = staged(digests.join(copied, "digest").select("rep", "doc_id"), "copies")
     others = members.where("rep <> doc_id").select("doc_id")
-    return long.join(others, "doc_id", "left_anti"), members
+    return long.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "doc_id", "left_anti"), members
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -481,13 +481,13 @@ def _marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("linked", same).withColumn("hot", F.count("*").over(group) > HOT_REGIONS).withColumn("least", F.min("doc_id").over(group)).withColumn("most", F.max("doc_id").over(group))
 
 
-def _regions(texts: DataFrame, span: int) -> DataFrame:
-    """(key, doc_id, start, region): rows of one key are to meet."""
+def _regions(texts: DataFrame, span: int, count: int) -> DataFrame:
+    """(key, doc_id, start, region): rows of one key are to meet. count: texts, at most."""
     anchor_schema = "anchor bigint, doc_id bigint, first int, last int, link bigint"
     rows = texts.mapInArrow(_anchor_rows(span), anchor_schema)
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(LOOK)) == 0)
     marked = None
-    if some.count() > MANY:
+    if count > LOOK * MANY:
         # anchors of very many texts: aggregated map-side and told to their rows; there are no more than texts' anchors / (LOOK * MANY)
         often = some.mapInArrow(_anchor_rows(span), anchor_schema).groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > MANY)
         often = staged(often.select("anchor"), "often")
@@ -526,15 +526,14 @@ def shared_pairs(documents: DataFrame, span: int = 240, index_chars: int = INDEX
     """(doc_id_a, doc_id_b), a < b: documents whose texts have ``span``
     consecutive characters in common, as stored. Null and shorter texts share
     nothing. doc_id is unique; other columns are not read."""
-    texts, members = text_classes(documents, span)
-    regions, schema = _regions(texts, span), "a bigint, b bigint, key bigint, n bigint"
+    texts, copies = text_classes(documents, span)
+    regions, schema = _regions(texts, span, documents.count()), "a bigint, b bigint, key bigint, n bigint"
     found = staged(_met(regions).mapInArrow(_pair_rows(span, index_chars, group), schema), "found")
     met, told = found.where("key is null"), found.where("key is not null").select("key", "n")
     if not told.isEmpty():
         met = met.unionAll(_met(_cells(regions, told, group)).mapInArrow(_pair_rows(span, index_chars, None), schema))
     met = met.select("a", "b").distinct()
     # copies back in: each text of a pair stands for all its documents
-    copies = staged(members, "copies")
     left = met.join(copies.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("doc_id", "a").alias("x"), "b")
     both = left.join(copies.withColumnRenamed("rep", "b"), "b", "left").select("x", F.coalesce("doc_id", "b").alias("y"))
     inside = copies.alias("p").join(copies.alias("q"), "rep").where("p.doc_id < q.doc_id").select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y"))
@@ -552,15 +551,14 @@ def shared_spans(documents: DataFrame, span: int = 240, index_chars: int = INDEX
     """(doc_id, start, end): the stretches of each document, as long as they
     go, that consist of windows of ``span`` characters which another document
     has too. Copies are covered as a whole."""
-    texts, members = text_classes(documents, span)
-    regions = _regions(texts, span)
+    texts, copies = text_classes(documents, span)
+    regions = _regions(texts, span, documents.count())
     found = staged(_met(regions).mapInArrow(_span_rows(span, index_chars, group), "doc_id bigint, start bigint, end bigint, key bigint, n bigint"), "found")
     told = found.where("key is not null").select("key", "n")
     found = found.where("key is null").select("doc_id", "start", "end")
     if not told.isEmpty():
         found = found.unionAll(_often_spans(regions, told, span))
     found = found.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    copies = staged(members, "copies")
     spread = found.join(copies.withColumnRenamed("doc_id", "member"), found.doc_id == F.col("rep"), "left").select(F.coalesce("member", "doc_id").alias("doc_id"), "start", "end")
     whole = documents.select("doc_id", F.char_length("text").alias("end")).join(copies.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(0).alias("start"), "end")
     pieces = spread.unionByName(whole)
