@@ -6,6 +6,7 @@ from quarry.functions.text import WHITE_SPACE
 from quarry.operators.chunking import SLOTS
 
 MAX_CHARS = 2500
+OWN_LISTS = ("dense", "lexical")
 SOURCE_WEIGHTS = {"dense": 1.0, "lexical": 3.0, "rerank": 0.5}
 WHERE = {"ano": {"$gte": 2005}, "tipo": {"$in": ["lei", "acordao", "parecer"]}}
 
@@ -23,7 +24,7 @@ FILTERS: dict[str, dict] = {
     "filter_multi": {"tipo": {"$ne": "lei"}, "ano": {"$gte": 2010, "$lt": 2020}},
     "filter_and": {"$and": [{"tipo": {"$in": ["lei", "sumula"]}}, {"uf": "SP"}]},
     "filter_or": {"$or": [{"tipo": "faq"}, {"ano": {"$lt": 2000}}]},
-    "filter_mixed_kinds": {"ano": "2014"},
+    "filter_mixed_kinds": {"ano": {"$gte": "2000"}},
 }
 
 _WS = "||".join(f"chr({ord(ch)})" for ch in WHITE_SPACE)
@@ -128,8 +129,7 @@ LISTS = """counting AS (
     SELECT *, row_number() OVER (PARTITION BY qid, source, doc_id, chunk_id ORDER BY run_ts DESC NULLS LAST, CASE WHEN isnan(score) THEN NULL ELSE score END DESC NULLS LAST) AS r
     FROM hits WHERE qid IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL AND chunk_id IS NOT NULL)
   WHERE r = 1 AND score IS NOT NULL AND NOT isnan(score)),
-lists AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM counting) WHERE rank <= 100)"""
+lists AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM counting)"""
 RANKING = LISTS.split(",\nlists AS")[0] + """,
 pooled AS (SELECT qid, doc_id, max(round(score, 6)) AS score FROM counting WHERE source = 'lexical' GROUP BY ALL),
 ranking AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM pooled),
@@ -151,6 +151,24 @@ LEFT JOIN (SELECT qid, sum(rel / log2(rank + 1.0)) AS dcg FROM judged WHERE rank
   SELECT qid, sum(hits::DOUBLE / rank) AS p FROM (SELECT *, count(*) FILTER (rel > 0) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM judged WHERE rank <= {k}) WHERE rel > 0 GROUP BY qid) j ON j.qid = a.qid"""
 
 
+# (task, model, score): measures of every stored list
+LISTS_MEASURED = f"""WITH {QRELS},
+{LISTS.split(",{chr(10)}lists AS")[0]},
+pooled AS (SELECT source, qid, doc_id, max(round(score, 6)) AS score FROM counting GROUP BY ALL),
+ranking AS (SELECT source, qid, doc_id, row_number() OVER (PARTITION BY source, qid ORDER BY score DESC, doc_id) AS rank FROM pooled),
+names AS (SELECT DISTINCT source FROM counting),
+asked AS (SELECT source, qid, sum(CASE WHEN r <= 10 THEN rel / log2(r + 1.0) ELSE 0 END) AS idcg, count(*) FILTER (rel > 0) AS relevant
+  FROM names CROSS JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS r FROM qr) GROUP BY ALL),
+got AS (SELECT source, qid, sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1.0) ELSE 0 END) AS dcg, count(*) FILTER (rank <= 100 AND rel > 0) AS found, min(rank) FILTER (rank <= 10 AND rel > 0) AS first
+  FROM ranking JOIN qr USING (qid, doc_id) GROUP BY ALL),
+each AS (SELECT a.source AS model, CASE WHEN idcg > 0 THEN coalesce(dcg, 0) / idcg ELSE 0 END AS ndcg, CASE WHEN relevant > 0 THEN coalesce(found, 0)::DOUBLE / relevant ELSE 0 END AS recall, coalesce(1.0::DOUBLE / first, 0) AS mrr
+  FROM asked a LEFT JOIN got g ON g.source = a.source AND g.qid = a.qid),
+measured AS (
+  SELECT 'ndcg_at_10' AS task, model, round(avg(ndcg), 6) AS score FROM each GROUP BY model UNION ALL
+  SELECT 'recall_at_100', model, round(avg(recall), 6) FROM each GROUP BY model UNION ALL
+  SELECT 'mrr_at_10', model, round(avg(mrr), 6) FROM each GROUP BY model)"""
+
+
 def _rounded(sql: str) -> str:
     return f"{EVAL} SELECT qid, round(value, 6) AS value FROM ({sql})"
 
@@ -194,7 +212,7 @@ _WHERE_SQL = {
     "filter_multi": _no(f"{_text('tipo')} = 'lei'") + f" AND {_number('ano')} >= 2010 AND {_number('ano')} < 2020",
     "filter_and": f"{_text('tipo')} IN ('lei', 'sumula') AND {_text('uf')} = 'SP'",
     "filter_or": f"{_text('tipo')} = 'faq' OR {_number('ano')} < 2000",
-    "filter_mixed_kinds": f"{_text('ano')} = '2014'",
+    "filter_mixed_kinds": f"{_text('ano')} >= '2000'",
 }
 _ALLOWED = f"SELECT doc_id FROM cur WHERE {_number('ano')} >= 2005 AND {_text('tipo')} IN ('lei', 'acordao', 'parecer')"
 
@@ -220,6 +238,21 @@ def _weights() -> str:
 _HYBRID = BM + ",\n" + VECTORS
 
 
+# ng(qid, slot, doc_id, score): the n-gram reranker's scores of pairs(qid, slot, doc_id)
+def _grams(text: str) -> str:
+    line = f"array_to_string(list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'), lambda x: strip_accents(lower(x))), ' ')"
+    return f"(SELECT list_distinct(list_transform(range(greatest(1, length(l) - 2)), lambda i: substr(l, i + 1, 3))) FROM (SELECT {line} AS l))"
+
+
+_NGRAM = f"""qi AS (SELECT qid, qt.term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM qt JOIN df ON df.term = qt.term CROSS JOIN stats),
+qg AS (SELECT qid, g, len(g) AS many FROM (SELECT qid, {_grams('text')} AS g FROM qs)),
+cg AS (SELECT slot, {_grams('text')} AS g FROM ch WHERE slot IN (SELECT slot FROM pairs)),
+word AS (SELECT p.qid, p.slot, sum(CASE WHEN tf.slot IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS share FROM pairs p JOIN qi ON qi.qid = p.qid LEFT JOIN tf ON tf.slot = p.slot AND tf.term = qi.term GROUP BY ALL),
+ng AS (
+  SELECT p.qid, p.slot, p.doc_id, (coalesce(share, 0) + len(list_intersect(qg.g, cg.g))::DOUBLE / greatest(1, many)) / 2 AS score
+  FROM pairs p JOIN qg ON qg.qid = p.qid JOIN cg ON cg.slot = p.slot LEFT JOIN word w ON w.qid = p.qid AND w.slot = p.slot)"""
+
+
 def _first(order: str) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS r FROM docs WHERE doc_id IS NOT NULL) WHERE r = 1)"
 
@@ -230,6 +263,21 @@ def _merged(field: str) -> str:
        ELSE json_extract_string({old}, '$.{field}') END AS {field}"""
 
 
+DELIMITED = f"""
+WITH blobs AS (
+  SELECT doc_id AS k, 'lost' || chr(10) || '=== texto ===' || chr(10) || text || chr(10) || '=== ===' || chr(10) || coalesce(title, '') || chr(10) || '=== texto ===' || chr(10) || coalesce(norma, '') || chr(10) || '==== fim====' || chr(10) || coalesce(lang, '') AS blob
+  FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT k, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT k, string_split(replace(replace(blob, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM blobs)),
+heads AS (SELECT *, starts_with(trim(line, {_WS}), '===') AND ends_with(trim(line, {_WS}), '===') AS head, trim(trim(trim(line, {_WS}), '= '), {_WS}) AS name FROM lines),
+seen AS (SELECT *, sum(head::INT) OVER w AS section, count(*) FILTER (head AND name = '') OVER w AS bare FROM heads WINDOW w AS (PARTITION BY k ORDER BY i)),
+-- the names before a header without one are as many as different named headers and headers without a name
+named AS (SELECT s.*, CASE WHEN name <> '' THEN name ELSE 'doc' || ((SELECT count(DISTINCT name) FROM seen o WHERE o.k = s.k AND o.head AND o.name <> '' AND o.i < s.i) + bare - 1) END AS doc_id FROM seen s WHERE head),
+body AS (SELECT k, section, string_agg(line, chr(10) ORDER BY i) AS text FROM seen WHERE NOT head GROUP BY k, section),
+docs_ AS (SELECT n.k, n.doc_id, n.section, trim(coalesce(text, ''), {_WS}) AS text, min(n.section) OVER (PARTITION BY n.k, n.doc_id) AS first, row_number() OVER (PARTITION BY n.k, n.doc_id ORDER BY n.section DESC) AS last FROM named n LEFT JOIN body b ON b.k = n.k AND b.section = n.section),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY first) - 1 AS doc_ord FROM docs_ WHERE last = 1)
+SELECT k, doc_id, doc_ord, length(text) AS n, md5(text) AS text_md5 FROM placed WHERE text <> ''"""
+
+
 def oracle_sql() -> dict[str, str]:
     ws_class = "[" + WHITE_SPACE.replace("\\", "\\\\") + "]+"
     html = f"trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '{ws_class}', ' ', 'g'), ' ')"
@@ -285,6 +333,14 @@ SELECT qid, rank, doc_id || '#' || chunk_ord AS chunk_id, round(score, 6) AS sco
         "rerank_lexical": _rerank("lex"),
         "rerank_dense": _rerank("den"),
         "rerank_hybrid": _rerank("hyb"),
+        "rerank_ngram": f"""{_RERANK}, pairs AS (SELECT qid, slot, doc_id FROM present), {_NGRAM},
+best AS (SELECT qid, doc_id, max(score) AS score FROM ng GROUP BY ALL)
+SELECT want.qid, want.doc_id, round(x.score, 6) AS score, row_number() OVER (PARTITION BY want.qid ORDER BY round(x.score, 6) DESC NULLS LAST, want.doc_id) AS rank
+FROM want LEFT JOIN best x ON x.qid = want.qid AND x.doc_id = want.doc_id""",
+        "search_hybrid_rerank": f"""{_HYBRID}, {_top('bm', 100, 'lt')}, {_top('ds', 100, 'dt')},
+fu AS (SELECT qid, slot, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT qid, slot, doc_id, rank FROM lt UNION ALL SELECT qid, slot, doc_id, rank FROM dt) GROUP BY ALL),
+{_top('fu', 100, 'pairs')}, {_NGRAM}, sc AS (SELECT * FROM ng), {POOL}
+SELECT d.qid, d.rank, d.doc_id, round(d.score, 6) AS score, d.doc_id || '#' || ch.chunk_ord AS chunk_id FROM docs_of d JOIN ch ON ch.slot = d.slot WHERE d.rank <= 10""",
         "rerank_unknown_last": f"SELECT qid, count(*) FILTER (score IS NULL) AS unknown, min(rank) FILTER (score IS NULL) AS first_unknown, max(rank) FILTER (score IS NOT NULL) AS last_known FROM ({_rerank('lex')}) GROUP BY qid",
         "filtered_search": WINDOW + ",\n" + QUERIES + ",\n" + TOKENS + ",\n" + QTERMS + ",\n" + _bm25(f"WHERE tf.doc_id IN ({_ALLOWED})") + f",\n{_top('bm', 100, 'sc')}, {POOL} {HITS}",
         "json_filter": "SELECT event_id FROM events WHERE json_type(json_extract(CASE WHEN json_valid(props) THEN props END, '$.k')) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract(CASE WHEN json_valid(props) THEN props END, '$.k') AS DOUBLE) >= 50",
@@ -305,14 +361,24 @@ j AS (SELECT qid, count(*) AS judged, count(*) FILTER (rel > 0) AS relevant FROM
 SELECT count(*) AS queries, round(avg(judged), 6) AS judged, round(avg(relevant), 6) AS relevant, round(avg(coalesce(len(list_filter(ids, lambda x: x IS NOT NULL)), 0)), 6) AS candidates
 FROM qs JOIN j ON j.qid = qs.qid LEFT JOIN one ON one.qid = qs.qid""",
         "latency_percentiles": "SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-        "leaderboard_pct": "WITH " + LISTS.split(",\nlists AS")[0] + """,
-best AS (SELECT source AS task, qid, max(score) AS score FROM counting GROUP BY ALL),
-ours AS (SELECT task, max(score) AS best, arg_min(qid, (-score, qid)) AS mode FROM best WHERE qid <= 'q00000004' GROUP BY task)
-SELECT b.task, round(best, 6) AS best, mode, round(max(score), 6) AS best_other, round(list_sort(list(score))[count(*) // 2 + 1], 6) AS median, count(*) AS models, round(100.0::DOUBLE * count(*) FILTER (score < best) / count(*), 6) AS below
-FROM best b JOIN ours o ON o.task = b.task GROUP BY b.task, best, mode""",
+        "leaderboard_pct": f"""{LISTS_MEASURED},
+ours AS (SELECT task, max(score) AS best, arg_min(model, (-score, model)) AS mode FROM measured WHERE model IN {OWN_LISTS} GROUP BY task)
+SELECT m.task, best, mode, max(score) AS best_other, list_sort(list(score))[count(*) // 2 + 1] AS median, count(*) AS models, round(100.0::DOUBLE * count(*) FILTER (score < best) / count(*), 6) AS below
+FROM measured m JOIN ours o ON o.task = m.task WHERE model NOT IN {OWN_LISTS} GROUP BY m.task, best, mode""",
+        "best_experiments": f"{LISTS_MEASURED} SELECT task, arg_min(model, (-score, model)) AS experiment, max(score) AS score FROM measured GROUP BY task",
+        "source_delimited": DELIMITED,
+        "source_files": "SELECT uf, sum(length(t) + 1)::BIGINT AS chars, count(*) AS lines FROM (SELECT coalesce(uf, 'none') AS uf, regexp_replace(title, '[\\r\\n]', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL AND title IS NOT NULL) GROUP BY uf",
+        "task_judged": f"""WITH {QUERIES}, {QRELS} SELECT qid, md5(text) AS text_md5 FROM qs WHERE qid IN (SELECT qid FROM qr)
+AND qid IN (SELECT "query-id" FROM (SELECT "query-id", unnest("corpus-ids") AS doc_id FROM top_ranked) WHERE doc_id IS NOT NULL)""",
+        "task_csv_docs": f"WITH {CURRENT}, x AS (SELECT doc_id, {html.replace('text', 'raw')} AS t FROM cur) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM x WHERE t <> ''",
+        "task_csv_qrels": f"WITH {QUERIES}, {QRELS} SELECT qid, doc_id, rel FROM qr WHERE qid IN (SELECT qid FROM qs WHERE trim(text, {_WS}) <> '')",
+        "task_json_docs": f"WITH {CURRENT} SELECT doc_id, doc_id AS title, md5(substr(trim(raw, {_WS}), 1, 500)) AS text_md5 FROM cur WHERE trim(raw, {_WS}) <> ''",
+        "task_json_qrels": f"WITH {QUERIES}, {QRELS}, {CURRENT} SELECT qid, doc_id, CASE WHEN rel > 1 THEN 2 ELSE 1 END AS rel FROM qr WHERE qid IN (SELECT qid FROM qs WHERE trim(text, {_WS}) <> '') AND doc_id IN (SELECT doc_id FROM cur WHERE trim(raw, {_WS}) <> '')",
+        "stream_ingest": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {canonical} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY doc_ord DESC) AS r FROM docs WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE r = 1",
+        "assign_metadata": f"WITH {CURRENT} SELECT doc_id, CASE WHEN {_text('tipo')} = 'lei' THEN '{{\"n\":' || length(raw) || '}}' ELSE '{{\"n\": 0}}' END AS meta FROM cur",
         "upsert_docs": "SELECT doc_id, doc_ord, length(text) AS n_chars, md5(text) AS text_md5 FROM " + _first("doc_ord DESC"),
         "delete_docs": f"WITH {CURRENT} SELECT doc_id, doc_ord FROM cur WHERE {_no(_number('ano') + ' < 2005')}",
         "update_metadata": f"SELECT o.doc_id, {', '.join(_merged(f) for f in ('ano', 'tipo', 'uf', 'tags'))} FROM {_first('doc_ord')} o JOIN {_first('doc_ord DESC')} n ON o.doc_id = n.doc_id",
     }
-    found["index_search"] = found["search_lexical"]
+    found["index_search"] = found["hits_json"] = found["search_lexical"]
     return found | {name: f"WITH {CURRENT} SELECT doc_id FROM cur WHERE {_WHERE_SQL[name]}" for name in FILTERS}

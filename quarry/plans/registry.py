@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,9 +12,11 @@ from quarry.functions import text as tx
 from quarry.index import Index
 from quarry.operators import chunking, crud, dense, evaluate, filters, fusion, lexical, search
 from quarry.plans import corpora as c
-from quarry.plans.oracles import FILTERS, SOURCE_WEIGHTS, WHERE, oracle_sql
-from quarry.session import staged, work_root
+from quarry.plans.oracles import FILTERS, OWN_LISTS, SOURCE_WEIGHTS, WHERE, oracle_sql
+from quarry.session import scratch, staged
+from quarry.sources import files, sinks, tasks
 from quarry.sources.tables import table
+from quarry.streaming.ingest import ingest
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -72,12 +73,104 @@ def _update(s: SparkSession, d: str) -> DataFrame:
     return merged.select("doc_id", *[F.get_json_object("meta", f"$.{f}").alias(f) for f in ("ano", "tipo", "uf", "tags")])
 
 
+def _measured_lists(s: SparkSession, d: str) -> DataFrame:
+    """(task, model, score): means over the judged queries of each stored list, a task being a measure."""
+    by_list = F.struct("source", "qid")
+    own = fusion.counting_hits(table(s, d, "hits")).select(by_list.alias("qid"), "doc_id", "chunk_id", "score")
+    ranking = fusion.ranked(fusion.pool_documents(own, "chunk_id"), "doc_id").select("qid", "doc_id", "rank")
+    names = own.agg(F.collect_set("qid.source").alias("_names"))
+    judged = c.qrels(s, d).join(F.broadcast(names)).select(F.explode("_names").alias("source"), "qid", "doc_id", "rel")
+    judged = judged.select(by_list.alias("qid"), "doc_id", "rel")
+    parts = None
+    for task, measure, k in (("ndcg_at_10", evaluate.ndcg, 10), ("recall_at_100", evaluate.recall, 100), ("mrr_at_10", evaluate.mrr, 10)):
+        rows = measure(ranking, judged, k).groupBy(F.col("qid.source").alias("model")).agg(F.avg("value").alias("score")).select(F.lit(task).alias("task"), "model", _r("score"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts
+
+
 def _leaderboard(s: SparkSession, d: str) -> DataFrame:
-    rows = fusion.counting_hits(table(s, d, "hits"))
-    best = rows.groupBy(F.col("source").alias("task"), "qid", "doc_id").agg(F.max("score").alias("score"))
-    ours = best.where("qid <= 'q00000004'").select("task", F.col("qid").alias("mode"), "score").groupBy("task", "mode").agg(F.max("score").alias("score"))
-    others = best.groupBy("task", F.col("qid").alias("model")).agg(F.max("score").alias("score"))
-    return evaluate.leaderboard(ours, others).select("task", _r("best"), "mode", _r("best_other"), _r("median"), "models", _r("below"))
+    """Our modes are the lists of the two retrievers, the other models all other lists."""
+    every = _measured_lists(s, d)
+    own = F.col("model").isin(*OWN_LISTS)
+    return evaluate.leaderboard(every.where(own).withColumnRenamed("model", "mode"), every.where(~own)).select("task", _r("best"), "mode", _r("best_other"), _r("median"), "models", _r("below"))
+
+
+def _best_lists(s: SparkSession, d: str) -> DataFrame:
+    """Measures written as records and read again, then the best of each task."""
+    path = scratch(s, "results")
+    sinks.write_results(_measured_lists(s, d).withColumnRenamed("model", "experiment"), path)
+    return sinks.best_experiments(s.read.schema("task string, experiment string, score double").json(path)).select("task", "experiment", _r("score"))
+
+
+_HIT = "array<struct<doc_id: string, score: double, chunk_id: string, start: int, end: int, text: string>>"
+
+
+def _hits_as_json(s: SparkSession, d: str) -> DataFrame:
+    """Hits as one JSON array for each query, read back."""
+    found = search.search(c.collection(s, d), c.queries(s, d), 10, "lexical")
+    rows = sinks.hits_json(found).select("qid", F.posexplode(F.from_json("hits", _HIT)).alias("_at", "h"))
+    return rows.select("qid", (F.col("_at") + 1).alias("rank"), "h.doc_id", F.round("h.score", 6).alias("score"), "h.chunk_id", "h.start", "h.end")
+
+
+def _delimited(s: SparkSession, d: str) -> DataFrame:
+    """Each document as a delimited text: a repeated name, a header without a name, empty sections."""
+    parts = ("lost\n=== texto ===\n", F.col("text"), "\n=== ===\n", F.coalesce("title", F.lit("")), "\n=== texto ===\n", F.coalesce("norma", F.lit("")), "\n==== fim====\n", F.coalesce("lang", F.lit("")))
+    blobs = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("k"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("blob"))
+    return files.split_delimited(blobs, "blob", "k").select("k", "doc_id", "doc_ord", F.char_length("text").alias("n"), F.md5("text").alias("text_md5"))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as one text file for each language (with line ends as \\n) and read as whole files."""
+    path = scratch(s, "files")
+    lines = table(s, d, "documents").where("text is not null").select(F.coalesce("uf", F.lit("none")).alias("uf"), F.regexp_replace("title", r"[\r\n]", " ").alias("value"))
+    lines.where("value is not null").write.partitionBy("uf").option("compression", "none").text(path)
+    whole = files.read_files(s, [path.removeprefix("file://")])
+    return whole.groupBy(F.regexp_extract("doc_id", "uf=([^/]*)/", 1).alias("uf")).agg(F.sum(F.char_length("text")).alias("chars"), F.sum(F.size(F.split("text", "\n")) - 1).alias("lines"))
+
+
+def _task(s: SparkSession, d: str) -> tasks.Task:
+    corpus = c.docs(s, d).select(F.col("doc_id").alias("_id"), "text")
+    return tasks.from_tables("stored", corpus, table(s, d, "queries"), table(s, d, "qrels"), table(s, d, "top_ranked"))
+
+
+def _csv_task(s: SparkSession, d: str) -> tasks.Task:
+    """The collection written as CSV files and read as a task."""
+    path = scratch(s, "csv")
+    parts = {
+        "docs": c.docs(s, d).select(F.col("doc_id").alias("KEY"), F.col("text").alias("ENUNCIADO")),
+        "queries": table(s, d, "queries").select(F.col("_id").alias("ID"), F.col("text").alias("TEXT")),
+        "qrels": table(s, d, "qrels").select(F.col("query-id").alias("QUERY_ID"), F.col("corpus-id").alias("DOC_ID"), F.col("score").alias("SCORE")),
+    }
+    for name, rows in parts.items():
+        rows.write.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(f"{path}/{name}")
+    return tasks.from_csv(s, "csv", *(f"{path}/{name}" for name in parts))
+
+
+def _json_task(s: SparkSession, d: str) -> tasks.Task:
+    """The collection written as JSON files, each one array or object, and read as a task."""
+    path = scratch(s, "json")
+    c.docs(s, d).select(F.to_json(F.struct(F.concat("doc_id", F.lit(".txt")).alias("filename"), F.col("text").alias("filedata"))).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/docs")
+    refs = c.qrels(s, d).groupBy("qid").agg(*[F.collect_list(F.when(own, F.struct(F.concat("doc_id", F.lit(end)).alias("file")))).alias(name) for name, own, end in (("formatted_references", F.col("rel") > 1, ".txt"), ("formatted_embedded_references", F.col("rel") <= 1, ""))])
+    asked = c.queries(s, d).select(F.col("qid").alias("question_number"), F.col("text").alias("question_text"), "qid").join(refs, "qid").drop("qid")
+    asked.select(F.to_json(F.struct("*")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/questions")
+    return tasks.from_json(s, "json", f"{path}/docs", f"{path}/questions", 500)
+
+
+def _from_stream(s: SparkSession, d: str) -> DataFrame:
+    """Rows of docs as a stream into an index; of repeated ids the last that has a text counts."""
+    index = Index(s, scratch(s, "stream"), "window", c.MAX_CHARS)
+    rows = table(s, d, "docs").select("doc_id", "doc_ord", "text", "meta")
+    path = scratch(s, "arriving")
+    rows.write.parquet(path)
+    ingest(s.readStream.schema(rows.schema).parquet(path), index, scratch(s, "offsets")).awaitTermination()
+    return index.table("docs").select("doc_id", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    """Metadata for the documents of one kind from a table, a shared text for all others."""
+    rows = c.docs(s, d)
+    told = filters.matching(rows, {"tipo": "lei"}).select("doc_id", F.to_json(F.struct(F.char_length("text").alias("n"))).alias("meta"))
+    return crud.assign_metadata(rows, told, '{"n": 0}').select("doc_id", "meta")
 
 
 def _searched(mode: str, where: dict | None = None) -> Query:
@@ -131,7 +224,7 @@ def _task_stats(s: SparkSession, d: str) -> DataFrame:
 
 def _from_index(s: SparkSession, d: str) -> DataFrame:
     """The index end to end: add, delete, put back, compact, search."""
-    index = Index(s, f"{work_root(s)}/quarry/index-{uuid.uuid4().hex}", "window", c.MAX_CHARS)
+    index = Index(s, scratch(s, "index"), "window", c.MAX_CHARS)
     rows = c.docs(s, d)
     index.add_documents(rows)
     index.delete_documents(rows.where(filters.compile_filter(WHERE)).select("doc_id"))
@@ -211,6 +304,18 @@ def queries() -> dict[str, Query]:
         "eval_summary": lambda s, d: evaluate.evaluate(c.list_ranking(s, d, "lexical"), c.qrels(s, d)).select("metric", "queries", _r("value")),
         "latency_percentiles": lambda s, d: evaluate.latency_percentiles(table(s, d, "events"), "event_type", "value").select("event_type", "n", _r("p50"), _r("p95")),
         "leaderboard_pct": _leaderboard,
+        "best_experiments": _best_lists,
+        # sources and sinks
+        "source_delimited": _delimited,
+        "source_files": _files,
+        "task_judged": lambda s, d: _task(s, d).queries.select("qid", F.md5("text").alias("text_md5")),
+        "task_csv_docs": lambda s, d: _csv_task(s, d).docs.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("n")),
+        "task_csv_qrels": lambda s, d: _csv_task(s, d).qrels.select("qid", "doc_id", "rel"),
+        "task_json_docs": lambda s, d: _json_task(s, d).docs.select("doc_id", "title", F.md5("text").alias("text_md5")),
+        "task_json_qrels": lambda s, d: _json_task(s, d).qrels.select("qid", "doc_id", "rel"),
+        "hits_json": _hits_as_json,
+        "stream_ingest": _from_stream,
+        "assign_metadata": _metadata,
         # changes
         "upsert_docs": _upsert,
         "delete_docs": _delete,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from quarry.functions.text import strip
+from quarry.functions.text import WHITE_SPACE
 
 #: Endings of files that are taken from folders; files named themselves may have any.
 TEXT_SUFFIXES = (".txt", ".md", ".json", ".csv", ".html", ".xml", ".rst")
@@ -52,27 +54,36 @@ def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     return rows.join(order, "doc_id").select("doc_id", "doc_ord", "text")
 
 
+def _sections(text: str) -> list[dict]:
+    """The sections of one text, in the order in which their names first occur."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    found: dict[str, list[str]] = {}
+    own: list[str] | None = None
+    for line in lines:
+        bare = line.strip(WHITE_SPACE)
+        if bare.startswith("===") and bare.endswith("==="):
+            name = bare.strip("= ").strip(WHITE_SPACE) or f"doc{len(found)}"
+            own = []
+            found[name] = own  # a name keeps its first place, its last lines count
+        elif own is not None:
+            own.append(line)
+    bodies = {k: "\n".join(v).strip(WHITE_SPACE) for k, v in found.items()} if found else {"documento": "\n".join(lines).strip(WHITE_SPACE)}
+    return [{"doc_id": k, "doc_ord": i, "text": v} for i, (k, v) in enumerate(bodies.items()) if v]
+
+
 def split_delimited(blobs: DataFrame, blob: str = "text", key: str | None = None) -> DataFrame:
     """(key, doc_id, doc_ord, text): sections of texts that ``=== name ===``
-    lines part. Text before the first header is dropped; without any header
-    the whole text is one document, 'documento'. A header without a name is
-    'doc' and the number of different names before it; of repeated names the
-    last counts, at the place of the first. Empty sections are dropped."""
-    lines = blobs.select(*([key] if key else []), F.posexplode(F.split(F.regexp_replace(blob, "\r\n?", "\n"), "\n")).alias("_at", "_line"))
-    part = [key] if key else []
-    by = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    seen = by.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    bare = strip("_line")
-    header = bare.startswith("===") & bare.endswith("===")
-    name = strip(F.trim(bare, F.lit("= ")))
-    marked = lines.withColumn("_head", header).withColumn("_name", F.when(header, name))
-    named = marked.withColumn("_known", F.size(F.array_distinct(F.filter(F.collect_list("_name").over(by.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), lambda n: n != ""))))
-    named = named.withColumn("_name", F.when(F.col("_head") & (F.col("_name") == ""), F.concat(F.lit("doc"), "_known")).otherwise(F.col("_name")))
-    placed = named.withColumn("_doc", F.last("_name", ignorenulls=True).over(seen)).withColumn("_section", F.count_if("_head").over(seen)).withColumn("_headers", F.count_if("_head").over(by))
-    rows = placed.where(~F.col("_head") & ((F.col("_section") > 0) | (F.col("_headers") == 0)))
-    texts = rows.groupBy(*part, "_section", F.coalesce("_doc", F.lit("documento")).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("_at", "_line"))).alias("_lines"))
-    texts = texts.withColumn("text", strip(F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n")))
-    order = Window.partitionBy(*part, "doc_id").orderBy(F.col("_section").desc())
-    first = F.min("_section").over(Window.partitionBy(*part, "doc_id"))
-    last = texts.withColumn("doc_ord", first.cast("bigint")).withColumn("_n", F.row_number().over(order)).where("_n = 1 and text <> ''")
-    return last.select(*part, "doc_id", "doc_ord", "text")
+    lines part, each text by itself. Text before the first header is dropped;
+    without any header the whole text is one document, 'documento'. A header
+    without a name is 'doc' and the number of different names before it; of
+    repeated names the last counts, at the place of the first. Empty sections
+    are dropped. One narrow stage, one pass over each text."""
+
+    @arrow_udf("array<struct<doc_id: string, doc_ord: bigint, text: string>>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("doc_id", pa.string()), ("doc_ord", pa.int64()), ("text", pa.string())]))
+        for texts in batches:
+            yield pa.array([_sections(t) if t else [] for t in texts.to_pylist()], kind)
+
+    keep = [key] if key else []
+    return blobs.select(*keep, F.explode(split.asNondeterministic()(F.col(blob))).alias("_s")).select(*keep, "_s.doc_id", "_s.doc_ord", "_s.text")
