@@ -7,12 +7,19 @@ large. A task emits its containers as (path, suffixes, counters) rows. The
 sizes of these rows show which prefixes are hot; a term is routed by its
 shortest prefix that is not hot. Matching subtrees of all tasks meet in one
 place and are merged there, again in a burst trie.
+
+No route holds more than about HOT_ENTRIES entries, whatever the size of the
+collection: only prefixes above a share of all entries come to the driver, so
+routes are also parted by a hash of the whole term, into as many parts as a
+prefix just below that share needs, and prefixes that are hot at the greatest
+length (identifiers, addresses) into as many as they need themselves.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,24 +157,28 @@ def _flush(trie: BurstTrie, occurrences: Counter, records: Counter) -> Iterator[
         trie.__init__()
 
 
-def _hot_prefixes(parts: DataFrame) -> set[str]:
-    """Prefixes behind which too many entries stand for one route. At most
-    HOT_SHARE can be hot at each length, whatever the size of the collection."""
+def _hot_prefixes(parts: DataFrame) -> tuple[dict[str, int], int]:
+    """(hot, parts): prefixes behind which too many entries stand for one
+    route, with their entries, and into how many parts all other routes go. At
+    most HOT_SHARE prefixes can be hot at each length."""
     sized = parts.where("path is not null").select("path", F.size("suffixes").cast("bigint").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     least = max(HOT_ENTRIES, total // HOT_SHARE)
     if total <= least:
-        return set()
+        return {}, 1
     depths = sized.select(F.explode(F.sequence(F.lit(ROUTE_MIN), F.least(F.char_length("path"), F.lit(ROUTE_MAX)))).alias("d"), "path", "n").where("d <= char_length(path)")
     prefixes = depths.groupBy(F.expr("substring(path, 1, d)").alias("prefix")).agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    return {r.prefix for r in prefixes.select("prefix").collect()}
+    return {r.prefix: r.n for r in prefixes.collect()}, -(-least // HOT_ENTRIES)
 
 
-def route_of(term: str, hot: frozenset[str] | set[str]) -> str:
+def route_of(term: str, hot: Mapping[str, int], parts: int = 1) -> str:
     at = ROUTE_MIN
     while at < len(term) and at < ROUTE_MAX and term[:at] in hot:
         at += 1
-    return term[:at]
+    route = term[:at]
+    if at == ROUTE_MAX and route in hot:
+        parts = max(parts, -(-hot[route] // HOT_ENTRIES))
+    return route if parts == 1 else f"{route} {zlib.crc32(term.encode('utf-8', 'surrogatepass')) % parts}"
 
 
 def term_census(docs: DataFrame) -> DataFrame:
@@ -180,7 +191,7 @@ def term_census(docs: DataFrame) -> DataFrame:
     texts = current_rows(docs, "text").where("text is not null").select("text")
     parts = staged(texts.mapInArrow(_count, PARTS), "tries")
     total = parts.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("total"))
-    hot = frozenset(_hot_prefixes(parts))
+    hot, apart = _hot_prefixes(parts)
 
     def reroute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +199,7 @@ def term_census(docs: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 by: dict[str, tuple[list, list, list]] = {}
                 for s, o, r in zip(row["suffixes"], row["occurrences"], row["records"]):
-                    own = by.setdefault(route_of(row["path"] + s, hot), ([], [], []))
+                    own = by.setdefault(route_of(row["path"] + s, hot, apart), ([], [], []))
                     own[0].append(row["path"] + s), own[1].append(o), own[2].append(r)
                 out += [(k, *v) for k, v in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string())), *(pa.array([x[i] for x in out], pa.list_(pa.int64())) for i in (2, 3))], ["route", "terms", "occurrences", "records"])

@@ -142,6 +142,18 @@ def test_census(make_docs, collection, rows, monkeypatch):
     monkeypatch.setattr(census, "HOT_ENTRIES", 3)
     monkeypatch.setattr(census, "HOT_SHARE", 10**6)
     assert rows(census.term_census(docs.repartition(3))) == want
+    # many parts of each route, and prefixes that are hot at the greatest length
+    monkeypatch.setattr(census, "ROUTE_MAX", 3)
+    assert rows(census.term_census(docs.repartition(3))) == want
+    monkeypatch.setattr(census, "HOT_SHARE", 2)
+    assert rows(census.term_census(docs)) == want
+
+
+def test_routes_are_bounded(monkeypatch):
+    monkeypatch.setattr(census, "HOT_ENTRIES", 10)
+    terms_ = [f"identificador{i}" for i in range(500)]
+    routes = Counter(census.route_of(t, {t[:k]: 500 for t in terms_ for k in range(2, 13)}) for t in terms_)
+    assert len(routes) == 50 and max(routes.values()) < 30
 
 
 def test_few_records_are_rare_and_common(make_docs, rows):
