@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import canonicalize
 from quarry.operators import chunking, crud, dense, lexical, search
 from quarry.operators.lexical import BM25
-from quarry.session import ship_package
+from quarry.session import numbered, ship_package
 from quarry.sources.files import from_memory
 
 _TABLES = {
@@ -67,7 +67,7 @@ class Index:
         self.encoder, self.bm25, self.reranker = encoder, bm25, reranker
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        asked = {"mode": mode, "max_chars": max_chars, "min_chars": min_chars, "encoder": _name_of(encoder)}
+        asked = {"mode": mode, "max_chars": max_chars, "min_chars": min_chars, "encoder": _name_of(encoder), "tokenizer": bm25.tokenizer}
         held = self._manifest().get("options", {})
         for name, value in asked.items():
             if held and value is not None and value != held[name]:
@@ -164,7 +164,7 @@ class Index:
         return {
             "chunks": chunks,
             "vectors": dense.encode(chunks.select("slot", "doc_id", "text"), self.encoder).select("slot", "doc_id", "v"),
-            "postings": lexical.postings(chunks),
+            "postings": lexical.postings(chunks, tokenizer=self.bm25.tokenizer),
         }
 
     def _present(self, ids: DataFrame) -> DataFrame | None:
@@ -189,22 +189,14 @@ class Index:
             new = new.withColumn("meta", F.lit("{}"))
         # the last of equal ids by doc_ord, then as the rows come
         new = crud.latest(new.withColumn("_come", F.struct("doc_ord", F.monotonically_increasing_id())), "doc_id", "_come")
-        draft = self._at(f"in-{uuid.uuid4().hex}")
         rows = new.select("doc_id", "doc_ord", canonicalize("text").alias("text"), F.coalesce("meta", F.lit("{}")).alias("meta"), F.current_timestamp().alias("updated"))
-        order = rows.sort("doc_ord", "doc_id").withColumn("_row", F.monotonically_increasing_id())
+        # positions follow those in the index without gaps
+        draft = self._at(f"in-{uuid.uuid4().hex}")
         try:
-            order.drop("doc_ord").write.parquet(draft.toString())
-            written = self.spark.read.parquet(draft.toString())
-            # positions follow those in the index without gaps: rows of each written part are numbered, parts are few
-            part, inside = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND((1 << 33) - 1)
-            at, offsets = self._manifest().get("doc_ord", 0), []
-            for r in written.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
-                offsets.append((r.p, at))
-                at += r.n
-            if not offsets:
+            held = rows.withColumnRenamed("doc_ord", "_came")
+            rows = numbered(held, ["_came", "doc_id"], "doc_ord", self._manifest().get("doc_ord", 0), draft.toString()).select("doc_id", "doc_ord", "text", "meta", "updated")
+            if rows.isEmpty():
                 return 0
-            first = self.spark.createDataFrame(offsets, "_p bigint, _first bigint")
-            rows = written.withColumn("_p", part).join(F.broadcast(first), "_p").select("doc_id", (F.col("_first") + inside).alias("doc_ord"), "text", "meta", "updated")
             self._write({"docs": rows, **self._analysed(rows)}, self._present(rows), _TABLES)
             return self._manifest()["parts"][-1]["chunks"]
         finally:
@@ -236,7 +228,7 @@ class Index:
         documents counts theirs. It saves them the reading of many parts."""
         if not self._manifest():
             return 0
-        self._write({"postings": lexical.postings(self.table("chunks"))}, whole=("postings",))
+        self._write({"postings": lexical.postings(self.table("chunks"), tokenizer=self.bm25.tokenizer)}, whole=("postings",))
         return self.n_chunks
 
     def compact(self) -> int:

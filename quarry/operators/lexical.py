@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.functions.text import _folds, tokens
+from quarry.functions.text import _fold_table, build_tokenizer, tokenized, tokens
 from quarry.session import staged
 
 #: Decimals at which scores are ranked, so that the order does not hang on the order of additions.
@@ -22,36 +22,51 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class BM25:
+    """tokenizer: name of one of ``text.TOKENIZERS``, for chunks and queries alike."""
+
     k1: float = 0.8
     b: float = 0.8
+    tokenizer: str = "plain"
 
 
-def term_rows(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+def term_rows(df: DataFrame, keep: tuple[str, ...], text: str = "text", tokenizer: str = "plain") -> DataFrame:
     """(keep..., term, tf, dl): one row for each distinct term of each text; dl
     is the number of all its tokens. All tokens of a text stand in its row, so
     they are counted there and nothing is shuffled; null and empty texts have
     no row."""
+    split = build_tokenizer(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))
+        fold = _fold_table()
         find = re.compile(r"[^\W_]+").findall
         memo: dict[str, str] = {}
+
+        def plain(text: str) -> tuple[dict[str, int], int]:
+            """As split does, but each distinct run is folded once."""
+            counts: dict[str, int] = {}
+            runs = find(text)
+            for run, n in Counter(runs).items():
+                term = memo.get(run)
+                if term is None:
+                    if len(memo) > 1_000_000:
+                        memo.clear()
+                    term = memo[run] = run.lower().translate(fold)
+                counts[term] = counts.get(term, 0) + n
+            return counts, len(runs)
+
+        def other(text: str) -> tuple[dict[str, int], int]:
+            found = split(text)
+            return Counter(found), len(found)
+
+        counted = plain if tokenizer == "plain" else other
         for batch in batches:
             sizes, terms, tfs, dls = [], [], [], []
             for t in batch.column(len(keep)).to_pylist():
-                counts: dict[str, int] = {}
-                runs = find(t or "")
-                for run, n in Counter(runs).items():
-                    term = memo.get(run)
-                    if term is None:
-                        if len(memo) > 1_000_000:
-                            memo.clear()
-                        term = memo[run] = run.lower().translate(fold)
-                    counts[term] = counts.get(term, 0) + n
+                counts, dl = counted(t or "")
                 terms += counts
                 tfs += counts.values()
                 sizes.append(len(counts))
-                dls.append(len(runs))
+                dls.append(dl)
             row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             columns = [batch.column(i).take(row) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(np.repeat(np.array(dls, np.int64), sizes))], [*keep, "term", "tf", "dl"])
@@ -93,14 +108,14 @@ def weight_of(tf: Column, dl: Column, avgdl: Column, idf: Column, p: BM25) -> Co
     return idf * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * dl / avgdl))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, tokenizer: str = "plain") -> DataFrame:
     """(qid, term): the distinct terms of each query. Null texts have none."""
-    return queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+    return queries.select("qid", F.explode(F.array_distinct(tokenized("text", tokenizer))).alias("term")).distinct()
 
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def postings(chunks: DataFrame, wanted: DataFrame | None = None, tokenizer: str = "plain") -> DataFrame:
     """(term, slot, doc_id, tf, dl). wanted(term) restricts to these terms. Narrow but for that join."""
-    rows = term_rows(chunks, ("slot", "doc_id")).select("term", "slot", "doc_id", "tf", "dl")
+    rows = term_rows(chunks, ("slot", "doc_id"), tokenizer=tokenizer).select("term", "slot", "doc_id", "tf", "dl")
     return rows if wanted is None else rows.join(wanted.select("term").distinct(), "term", "left_semi")
 
 
@@ -121,10 +136,10 @@ class Known:
     terms: DataFrame | None = None
 
 
-def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame, known: Known | None = None) -> DataFrame:
+def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame, known: Known | None = None, tokenizer: str = "plain") -> DataFrame:
     """(qid, term, idf, avgdl): the terms of the queries that the collection
     has. A table of the size of the query set."""
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, tokenizer)
     df = known.terms if known is not None else None
     if df is None:
         df = stored.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -151,16 +166,16 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, p: BM25 = BM25(), allowed
     those of the whole collection. Terms outside the collection add nothing; a
     repeated term of a query counts once.
     """
-    stored = staged(postings(chunks), "postings") if stored is None else stored
-    rows = _allowed_only(stored, allowed).join(weighed_terms(stored, chunks, queries), "term")
+    stored = staged(postings(chunks, tokenizer=p.tokenizer), "postings") if stored is None else stored
+    rows = _allowed_only(stored, allowed).join(weighed_terms(stored, chunks, queries, tokenizer=p.tokenizer), "term")
     return rows.groupBy("qid", "slot", "doc_id").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
 
 
 def pair_scores(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, p: BM25 = BM25(), stored: DataFrame | None = None) -> DataFrame:
     """(qid, slot, score) of given pairs(qid, slot) with a score above 0: the
     postings of other chunks are not weighed."""
-    stored = staged(postings(chunks), "postings") if stored is None else stored
-    told = weighed_terms(stored, chunks, queries)
+    stored = staged(postings(chunks, tokenizer=p.tokenizer), "postings") if stored is None else stored
+    told = weighed_terms(stored, chunks, queries, tokenizer=p.tokenizer)
     found = stored.join(told.select("term").distinct(), "term", "left_semi").join(pairs.select("qid", "slot").distinct(), "slot")
     rows = found.join(told, ["qid", "term"])
     return rows.groupBy("qid", "slot").agg(F.sum(weight_of(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), p)).alias("score"))
@@ -197,11 +212,11 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), a
     each query and task are shuffled.
     """
     spark = chunks.sparkSession
-    stored = staged(postings(chunks), "postings") if stored is None else stored
+    stored = staged(postings(chunks, tokenizer=p.tokenizer), "postings") if stored is None else stored
     if known is None:
         one = postings_stats(stored, chunks).first()
         known = Known(one.n, one.avgdl)
-    told = weighed_terms(stored, chunks, queries, known)
+    told = weighed_terms(stored, chunks, queries, known, p.tokenizer)
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
     tasks = max(spark.sparkContext.defaultParallelism, -(-known.n // TASK_CHUNKS))

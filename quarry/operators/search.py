@@ -181,7 +181,8 @@ def ngram_reranker(n: int = 3) -> Reranker:
     query's terms that a chunk holds and of the share of its character n-grams."""
 
     def run(pairs: DataFrame, queries: DataFrame, c: Collection) -> DataFrame:
-        told = lexical.weighed_terms(c.stored_postings if c.stored_postings is not None else lexical.postings(c.chunks), c.chunks, queries)
+        stored = c.stored_postings if c.stored_postings is not None else lexical.postings(c.chunks, tokenizer=c.bm25.tokenizer)
+        told = lexical.weighed_terms(stored, c.chunks, queries, tokenizer=c.bm25.tokenizer)
         terms = told.groupBy("qid").agg(F.collect_list("term").alias("_terms"), F.collect_list("idf").alias("_idf"))
         asked = queries.select("qid", F.col("text").alias("_query")).join(terms, "qid", "left")
         rows = pairs.select("qid", "slot", "text").join(asked, "qid")

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _written: list[tuple[SparkSession, str]] = []
@@ -102,6 +103,27 @@ def staged(df: DataFrame, label: str = "part", partition_by: tuple[str, ...] = (
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[str], into: str, first: int = 0, path: str | None = None) -> DataFrame:
+    """df with consecutive numbers from ``first`` in the given order. Rows are
+    sorted over all partitions and written, to ``path`` (which the caller
+    removes) or as ``staged`` does; the sizes of these parts, one number each,
+    tell where each begins."""
+    row = "_row"
+    ordered = df.sort(*order).withColumn(row, F.monotonically_increasing_id())
+    if path is None:
+        written = staged(ordered, "numbered")
+    else:
+        ordered.write.parquet(path)
+        written = df.sparkSession.read.schema(ordered.schema).parquet(path)
+    part, inside = F.shiftrightunsigned(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
+    at, offsets = first, []
+    for r in written.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        offsets.append((r.p, at))
+        at += r.n
+    starts = df.sparkSession.createDataFrame(offsets, "_p bigint, _first bigint")
+    return written.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(into, F.col("_first") + inside).drop("_p", "_first", row)
+
+
 def release(spark: SparkSession) -> None:
     """Remove everything that ``staged`` has written for this session."""
     keep = []

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quarry.functions.text import WHITE_SPACE
+from quarry.session import numbered
 
 #: Endings of files that are taken from folders; files named themselves may have any.
 TEXT_SUFFIXES = (".txt", ".md", ".json", ".csv", ".html", ".xml", ".rst")
@@ -49,9 +50,7 @@ def read_files(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     path = F.regexp_replace(F.try_url_decode("path"), "^file:/+", "/")
     rows = files.select(path.alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).dropDuplicates(["doc_id"])
-    # few rows of ids, numbered in one place; texts do not take part
-    order = rows.select("doc_id").withColumn("doc_ord", F.row_number().over(Window.orderBy("doc_id")).cast("bigint") - 1)
-    return rows.join(order, "doc_id").select("doc_id", "doc_ord", "text")
+    return numbered(rows, ["doc_id"], "doc_ord").select("doc_id", "doc_ord", "text")
 
 
 def _sections(text: str) -> list[dict]:

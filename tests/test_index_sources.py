@@ -3,8 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import demo
+from quarry.functions import text
 from quarry.index import Index
 from quarry.operators import crud
+from quarry.operators.lexical import BM25
 from quarry.sources import files, sinks, tasks
 from quarry.streaming.ingest import ingest
 
@@ -43,11 +46,58 @@ def test_index_lifecycle(spark, tmp_path):
         assert [r[2] for r in before] == ["b"]
         assert again.compact() == 1
         assert sorted(map(tuple, again.search("imposto").collect())) == before
+        assert again._known() is not None and again.text_of("b") == "novo texto do imposto municipal"
+        assert again.n_chunks == 1 and again.max_ordinal() == 3
+        assert [r.doc_id for r in again.document_ids().collect()] == ["c", "b"] and [r.chunk_id for r in again.scan_chunks().collect()] == ["b#0"]
+        again.flush(), again.close()
+        with pytest.raises(KeyError):
+            again.text_of("a")
         s = again.stats().first()
         assert (s.documents, s.chunks, s.dim) == (2, 1, 64)
         assert len(list((tmp_path / "ix").glob("p-*"))) == 1 and not list((tmp_path / "ix").glob("in-*"))
+        assert again.finalize() == 1 and again._known() is not None and sorted(map(tuple, again.search("imposto").collect())) == before
     with pytest.raises(ValueError):
         Index(spark, str(tmp_path / "x"), "other")
+    for other in ({"mode": "paragraph"}, {"max_chars": 99}, {"bm25": BM25(tokenizer="singular")}):
+        with pytest.raises(ValueError):
+            Index(spark, str(tmp_path / "ix"), **other)
+
+
+def test_changes_write_parts_only(spark, tmp_path):
+    ix = Index(spark, str(tmp_path / "ix"), "window")
+    ix.add_documents({f"d{i}": f"texto número {i}" for i in range(20)})
+    first = next((tmp_path / "ix").glob("p-*"))
+    size = sum(f.stat().st_size for f in first.rglob("*.parquet"))
+    ix.add_documents({"d3": "outro texto", "novo": "mais um"})
+    ix.delete_documents(["d5", "d6"])
+    ix.update_metadata({"d7": {"uf": "SP"}})
+    assert sum(f.stat().st_size for f in first.rglob("*.parquet")) == size
+    tables = {p["number"]: (p["tables"], p["gone"]) for p in ix._manifest()["parts"]}
+    assert tables[1] == (["chunks", "docs", "postings", "vectors"],) * 2 and tables[2] == ([], tables[1][1]) and tables[3] == (["docs"], ["docs"])
+    for _ in range(2):
+        assert len(ix) == 19 and ix.n_chunks == 19 and ix.text_of("d3") == "outro texto" and ix.get_document("d7")[1] == {"uf": "SP"}
+        assert {h.doc_id for h in ix.search("texto", 50, "lexical").collect()} == {*(f"d{i}" for i in range(20))} - {"d5", "d6"}
+        assert [h.doc_id for h in ix.search("outro", 50, "lexical").collect()] == ["d3"] and ix.search("texto", 50, "dense").count() == 19
+        ix.compact()
+    assert len(ix._manifest()["parts"]) == 1 and ix.add_documents({"z": "fim"}) == 1 and ix.max_ordinal() == 22
+
+
+def test_other_tokenizer(spark, tmp_path):
+    with pytest.raises(ValueError):
+        text.build_tokenizer("none")
+    ix = Index(spark, str(tmp_path / "ix"), "window", bm25=BM25(tokenizer="singular"))
+    ix.add_documents({"a": "As leis federais", "b": "um contrato"})
+    assert [h.doc_id for h in ix.search("lei", mode="lexical").collect()] == ["a"]
+    plain = Index(spark, str(tmp_path / "plain"), "window")
+    plain.add_documents({"a": "As leis federais"})
+    assert plain.search("lei", mode="lexical").count() == 0 and plain.search("LEIS", mode="lexical").count() == 1
+
+
+def test_question_over_a_delimited_text(spark):
+    blob = "=== tributos ===\nA alíquota máxima do imposto é de 27,5%.\n\n=== ambiente ===\nO licenciamento ambiental é preventivo.\n"
+    rows, note = demo.ask(spark, "qual a alíquota máxima?", blob, "lexical", 2)
+    assert rows[0][0] == 1 and rows[0][2] == "tributos" and rows[0][3] == "0-40" and "27,5%" in rows[0][4] and "2 documents in 2 chunks" in note
+    assert demo.ask(spark, "pergunta", "") == ([], "No document given.") and demo.ask(spark, "  ", blob)[0] == []
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -104,11 +154,17 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown_table(sinks.best_experiments(records)) == "| task | experiment | score |\n|---|---|---|\n| t | e0 | 0.5000 |"
 
 
-def test_cli_parser():
-    from quarry.cli import parser
+def test_command_line(spark, tmp_path, capsys):
+    from quarry import cli
 
-    args = parser().parse_args(["search", "q", "p", "-k", "3", "--json"])
+    args = cli.parser().parse_args(["search", "q", "p", "-k", "3", "--json"])
     assert (args.k, args.mode, args.json) == (3, "hybrid", True)
+    (tmp_path / "a.txt").write_text("A alíquota do imposto", encoding="utf-8")
+    hits = Index(spark, str(tmp_path / "ix"), "window")
+    hits.add_documents(files.read_files(spark, [str(tmp_path / "a.txt")]))
+    found = hits.search("imposto", mode="lexical")
+    assert json.loads(cli.as_json(found))[0]["text"] == "A alíquota do imposto" and cli.as_json(found.where("false")) == "[]"
+    assert "0-21" in cli.as_table(found) and cli.as_table(found.where("false")) == ""
 
 
 def test_metadata(spark, rows):
