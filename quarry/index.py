@@ -86,7 +86,11 @@ class Index:
         ids gone) and the next number and doc_ord; empty for a new index."""
         if not self._fs.exists(self._at("CURRENT")):
             return {}
-        return json.loads(self.spark.read.text(self._at("CURRENT").toString(), wholetext=True).first()[0])
+        stream = self._fs.open(self._at("CURRENT"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _put(self, manifest: dict) -> None:
         """Put the manifest in place by a rename: there is always a whole one."""

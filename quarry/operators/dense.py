@@ -183,7 +183,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "slot", keep
 def _vector_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     qids: list = []
     rows: list = []
-    for r in queries.where("v is not null").select("qid", "v").toLocalIterator(prefetchPartitions=True):
+    for r in queries.where("v is not null").select("qid", "v").repartition(1).toLocalIterator():
         qids.append(r.qid), rows.append(r.v)
         if len(rows) * len(r.v) >= QUERY_NUMBERS:
             yield qids, np.array(rows, np.float64)
