@@ -130,7 +130,7 @@ pct AS (
 z AS (SELECT qid, doc_id, source, n, {_quantile("(pos::DOUBLE / (n + 1))")} AS z, {_quantile("(0.5::DOUBLE / (n + 1))")} AS low FROM pct),
 base AS (SELECT qid, sum(low) AS base, count(*) AS k FROM (SELECT DISTINCT qid, source, low FROM z) GROUP BY qid),
 fused AS (SELECT z.qid, doc_id, round((sum(z - low) + max(base)) / max(k), 9) AS fused FROM z JOIN base ON base.qid = z.qid GROUP BY z.qid, doc_id)
-SELECT qid, doc_id, fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, doc_id) AS rank FROM fused"""
+SELECT qid, doc_id, CASE WHEN fused = 0 THEN 0.0::DOUBLE ELSE fused END AS fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, doc_id) AS rank FROM fused"""
 
 
 _GROUPS = """

@@ -145,7 +145,9 @@ def fused_order(hits: DataFrame, weights: Mapping[str, float] | None = None, lon
     document of the query, equal values by doc_id. Places are found as in
     ranked_lists."""
     fused = fused_ranking(hits, weights, long_list=long_list)
-    placed = ranked_lists(fused.select("qid", F.lit("fused").alias("source"), "doc_id", F.round("fused", 9).alias("score")), long_list)
+    value = F.round("fused", 9)
+    value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # no zero with a sign
+    placed = ranked_lists(fused.select("qid", F.lit("fused").alias("source"), "doc_id", value.alias("score")), long_list)
     return placed.select("qid", "doc_id", F.col("score").alias("fused"), F.col("place").alias("rank"))
 
 
