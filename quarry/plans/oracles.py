@@ -73,6 +73,24 @@ WINDOW = "WITH RECURSIVE " + CURRENT + ",\n" + _spans("src AS (SELECT doc_id, do
 PARAGRAPH = "WITH RECURSIVE " + CURRENT + ",\n" + _spans(f"""parts AS (SELECT doc_id, doc_ord, unnest(string_split(t, chr(10) || chr(10))) AS part, unnest(range(len(string_split(t, chr(10) || chr(10))))) AS i FROM cur),
 placed AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS base FROM parts),
 src AS (SELECT doc_id, doc_ord, base, part FROM placed WHERE trim(part, {_WS}) <> '')""")
+# paragraphs joined one after the other; what is joined is cut by words
+STRUCTURE = "WITH RECURSIVE " + CURRENT + ",\n" + _spans(f"""parts AS (SELECT doc_id, doc_ord, t, unnest(string_split(t, chr(10) || chr(10))) AS part, unnest(range(len(string_split(t, chr(10) || chr(10))))) AS i FROM cur),
+placed AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS base FROM parts),
+para AS (
+  SELECT doc_id, base + length(part) - length(ltrim(part, {_WS})) AS s, base + length(part) - length(ltrim(part, {_WS})) + length(trim(part, {_WS})) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM placed WHERE trim(part, {_WS}) <> ''),
+joined(doc_id, k, hs, he, os, oe) AS (
+  SELECT doc_id, k, s, e, NULL::INT, NULL::INT FROM para WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.k,
+    CASE WHEN p.e - hs <= {MAX_CHARS} AND (he - hs < 100 OR p.e - p.s < 100) THEN hs ELSE p.s END, p.e,
+    CASE WHEN p.e - hs <= {MAX_CHARS} AND (he - hs < 100 OR p.e - p.s < 100) THEN NULL ELSE hs END,
+    CASE WHEN p.e - hs <= {MAX_CHARS} AND (he - hs < 100 OR p.e - p.s < 100) THEN NULL ELSE he END
+  FROM joined j JOIN para p ON p.doc_id = j.doc_id AND p.k = j.k + 1),
+whole AS (
+  SELECT doc_id, os AS s, oe AS e FROM joined WHERE os IS NOT NULL
+  UNION ALL SELECT doc_id, arg_max(hs, k), arg_max(he, k) FROM joined GROUP BY doc_id),
+src AS (SELECT w.doc_id, doc_ord, s AS base, substr(t, s + 1, e - s) AS part FROM whole w JOIN cur ON cur.doc_id = w.doc_id)""")
 DOCUMENT = f"""WITH {CURRENT},
 ch AS (SELECT doc_id, 0 AS chunk_ord, length(t) - length(ltrim(t, {_WS})) AS s, length(t) - length(ltrim(t, {_WS})) + length(trim(t, {_WS})) AS e FROM cur WHERE trim(t, {_WS}) <> '')"""
 HARD = f"""WITH {CURRENT},
@@ -295,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_hard_window": f"{HARD} {SPAN}",
         "chunk_paragraph": f"{PARAGRAPH} {SPAN}",
         "chunk_window": f"{WINDOW} {SPAN}",
+        "chunk_structure": f"{STRUCTURE} {SPAN}",
         "chunk_contract": "SELECT * FROM (VALUES ('not_a_substring', 0), ('overlap', 0), ('text_lost', 0), ('too_long', 0)) v(rule, violations)",
         "chunk_gaps": f"{WINDOW} SELECT doc_id, chunk_ord, s - before AS gap FROM (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY chunk_ord) AS before FROM ch) WHERE before IS NOT NULL",
         "resolve_offsets": f"""WITH {CURRENT}, spans AS (SELECT DISTINCT doc_id, start AS s, "end" AS e FROM hits)
@@ -305,6 +324,12 @@ SELECT spans.doc_id, s AS start, e AS "end", length(substr(t, s + 1, e - s)) AS
         "idf": f"{WINDOW}, {TOKENS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN stats",
         "bm25_postings": f"{BM} SELECT tf.term, tf.slot, tf, dl FROM tf JOIN dl ON dl.slot = tf.slot WHERE tf.term IN (SELECT term FROM qt)",
         "index_stats": f"{WINDOW}, {TOKENS} SELECT (SELECT count(*) FROM cur) AS documents, (SELECT count(*) FROM ch) AS chunks, count(DISTINCT term) AS terms, count(*) AS postings, sum(tf)::BIGINT AS tokens FROM tf",
+        "index_documents": f"WITH {CURRENT} SELECT row_number() OVER (ORDER BY doc_ord, doc_id) - 1 AS doc_ord, doc_id FROM cur",
+        "index_chunks": f"""{WINDOW}, place AS (SELECT doc_id, row_number() OVER (ORDER BY doc_ord, doc_id) - 1 AS doc_ord FROM cur)
+SELECT p.doc_ord * {SLOTS} + chunk_ord AS slot, ch.doc_id || '#' || chunk_ord AS chunk_id, ch.doc_id, p.doc_ord, s AS start, e AS "end" FROM ch JOIN place p ON p.doc_id = ch.doc_id""",
+        "index_stored_stats": f"""{WINDOW}, {TOKENS}
+SELECT (SELECT count(*) FROM cur) AS documents, (SELECT count(*) FROM ch) AS chunks, count(DISTINCT term) AS terms, count(*) AS postings, 64 AS dim, 'window' AS chunk_mode,
+       (SELECT count(*) FROM cur) + (SELECT count(*) FROM ({_ALLOWED})) - 1 AS max_ordinal, (SELECT count(*) FROM ch) AS n_chunks, 0 AS seen FROM tf""",
         "join_chunks_docs": f'WITH {CURRENT} SELECT c.doc_id, chunk_id, start, "end", doc_ord FROM (SELECT DISTINCT chunk_id, doc_id, start, "end" FROM chunks) c JOIN cur ON cur.doc_id = c.doc_id',
         "bm25_scores": f"{BM} SELECT qid, slot, round(score, 6) AS score FROM bm",
         "bm25_topk": f"{BM}, {_top('bm', 100, 'b')} SELECT qid, slot, round(score, 6) AS score, rank FROM b",

@@ -234,6 +234,22 @@ def _from_index(s: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "rank", "doc_id", _r("score"), "chunk_id", "start", "end")
 
 
+def _index(s: SparkSession, d: str) -> Index:
+    index = Index(s, scratch(s, "index"), "window", c.MAX_CHARS)
+    index.add_documents(c.docs(s, d))
+    return index
+
+
+def _stored_stats(s: SparkSession, d: str) -> DataFrame:
+    """What an index says of itself after metadata were changed and some documents put in again."""
+    index = _index(s, d)
+    some = c.docs(s, d).where(filters.compile_filter(WHERE))
+    index.update_metadata(some.select("doc_id", F.lit('{"seen": true}').alias("meta")))
+    index.add_documents(some)
+    seen = index.table("docs").agg(F.count_if(F.get_json_object("meta", "$.seen") == "true").alias("seen"))
+    return index.stats().join(seen).select("documents", "chunks", "terms", "postings", "dim", "chunk_mode", F.lit(index.max_ordinal()).alias("max_ordinal"), F.lit(index.n_chunks).alias("n_chunks"), "seen")
+
+
 def _with_reranker(s: SparkSession, d: str) -> search.Collection:
     return replace(c.collection(s, d, vectors=True), reranker=search.ngram_reranker())
 
@@ -292,6 +308,9 @@ def queries() -> dict[str, Query]:
         "search_hybrid_rerank": lambda s, d: search.search(_with_reranker(s, d), c.queries(s, d), 10, "hybrid_rerank").select("qid", "rank", "doc_id", _r("score"), "chunk_id"),
         "rerank_ngram": lambda s, d: search.rerank(_with_reranker(s, d), c.queries(s, d), c.wanted(s, d), "rerank").select("qid", "doc_id", _r("score"), "rank"),
         "index_search": _from_index,
+        "index_documents": lambda s, d: _index(s, d).document_ids(),
+        "index_chunks": lambda s, d: _index(s, d).scan_chunks(),
+        "index_stored_stats": _stored_stats,
         # evaluation
         "task_stats": _task_stats,
         "eval_reranking": lambda s, d: evaluate.evaluate_reranking(c.list_ranking(s, d, "lexical"), c.qrels(s, d)).select("metric", "queries", _r("value")),
