@@ -191,7 +191,7 @@ def _query_blocks(told: DataFrame, k: int) -> Iterator[dict]:
     """{qid: [(term, idf)]} of so many queries as go along at a time; no more are on the driver."""
     block: dict = {}
     size = 0
-    for r in told.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("own")).repartition(1).toLocalIterator():
+    for r in told.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("own")).toLocalIterator():
         if block and (size + len(r.own) > TERM_ROWS or len(block) * k >= KEPT_ROWS):
             yield block
             block, size = {}, 0
