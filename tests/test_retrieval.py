@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,26 @@ def test_dense_topk_exact_with_ties(spark):
     assert dense.topk(vectors.where("false"), queries, 3).count() == 0
 
 
+def test_dense_task_keeps_no_more_than_k(spark, monkeypatch):
+    """Ties, a query without a direction too, and many queries take no room beyond k rows of each."""
+    rng = np.random.default_rng(5)
+    v, q = rng.integers(-2, 3, (400, 4)).astype(float), rng.integers(-2, 3, (70, 4)).astype(float)
+    q[0] = 0
+    keys = [f"k{i}" for i in rng.permutation(400)]
+    vectors = spark.createDataFrame([(key, x.tolist()) for key, x in zip(keys, v)], "slot string, v array<double>").coalesce(1)
+    kept = dense._best_of_block(vectors, (list(range(70)), q), 3, "qid bigint, slot string, score double", pa.int64())
+    assert {(r.qid, r["count"]) for r in kept.groupBy("qid").count().collect()} == {(i, 3) for i in range(70)}
+    for name, value in (("TILE_QUERIES", 16), ("TILE_ROWS", 32), ("STORED_ROWS", 50)):
+        monkeypatch.setattr(dense, name, value)
+    found = dense._Found(q, 3)
+    for i in range(0, 400, 90):
+        found.add(pa.RecordBatch.from_arrays([pa.array(keys[i : i + 90])], ["slot"]), v[i : i + 90])
+    got = [tuple(r.values()) for b in found.batches(pa.array(range(70))) for r in b.to_pylist()]
+    s = v @ q.T
+    assert got == [(j, keys[i], s[i, j]) for j in range(70) for i in sorted(range(400), key=lambda i: (-s[i, j], keys[i]))[:3]]
+    assert found.rows.num_rows <= 400 and all(len(best.held) == 1 for _, best in found.parts)
+
+
 def test_encoder_contract(spark):
     e = dense.build_encoder("hashing", dim=32)
     v = e.encode(["Ação judicial", "acao JUDICIAL", "", "x"])
