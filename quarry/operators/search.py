@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
@@ -19,6 +19,7 @@ from quarry.operators import dense, fusion, lexical
 from quarry.operators.chunking import SLOTS
 from quarry.operators.filters import compile_filter
 from quarry.operators.lexical import BM25, DIGITS
+from quarry.session import BROADCAST_ROWS, staged
 
 MODES = ("dense", "lexical", "hybrid", "hybrid_rerank")
 #: candidates(qid, slot, doc_id, text), queries(qid, text), collection -> (qid, slot, score)
@@ -87,13 +88,16 @@ def chunk_scores(c: Collection, queries: DataFrame, mode: str, where: Mapping[st
     _check(mode)
     if mode == "hybrid_rerank" and c.reranker is None:
         raise ValueError("hybrid_rerank needs a collection with a reranker")
+    if mode == "hybrid_rerank" and c.stored_postings is None:  # read by the lexical list and by the reranker
+        c = replace(c, stored_postings=staged(lexical.postings(c.chunks, tokenizer=c.bm25.tokenizer), "postings"))
     lists = candidates(c, queries, mode, c.candidate_k, where)
     if mode in ("dense", "lexical"):
         return lists.select("qid", "slot", "doc_id", "score")
     fused = fusion.rrf(lists, ["slot", "doc_id"], c.rrf_k, c.weights)
     if mode == "hybrid":
         return fused
-    best = fusion.ranked(fused, "slot", c.candidate_k).select("qid", "slot", "doc_id")
+    # written: both sides of the join read it, which else are retrieved twice and may be planned with partitions that do not fit
+    best = staged(fusion.ranked(fused, "slot", c.candidate_k).select("qid", "slot", "doc_id"), "best")
     scored = c.reranker(best.join(c.chunks.select("slot", "text"), "slot"), queries, c)
     return best.join(scored.select("qid", "slot", "score"), ["qid", "slot"])
 
@@ -185,7 +189,9 @@ def ngram_reranker(n: int = 3) -> Reranker:
         told = lexical.weighed_terms(stored, c.chunks, queries, tokenizer=c.bm25.tokenizer)
         terms = told.groupBy("qid").agg(F.collect_list("term").alias("_terms"), F.collect_list("idf").alias("_idf"))
         asked = queries.select("qid", F.col("text").alias("_query")).join(terms, "qid", "left")
-        rows = pairs.select("qid", "slot", "text").join(asked, "qid")
+        # where the query set is small it comes to the pairs, which stay as they are, ordered by slot; else texts move to their queries
+        few = queries.count() <= BROADCAST_ROWS
+        rows = pairs.select("qid", "slot", "text").join(F.broadcast(asked) if few else asked, "qid")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))

@@ -155,6 +155,20 @@ def test_search_chunks_and_errors(spark, small):
         search.search(search.Collection(small.chunks, small.docs), q, mode="hybrid_rerank")
 
 
+def test_hybrid_rerank_where_joins_shuffle(spark, small):
+    """Partitions fit where no side of a join is broadcast by its size, and candidates are retrieved once."""
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["alíquota do imposto", "prazo", "licença", "", "xyz"])], "qid string, text string")
+    before = {key: spark.conf.get(key) for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1"), spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        hits = search.search(small, q, 3, "hybrid_rerank")
+        assert hits._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+        assert {r.qid: r.doc_id for r in hits.where("rank = 1").collect() if r.qid < "q3"} == {"q0": "d0", "q1": "d1", "q2": "d2"}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @pytest.mark.parametrize("mode", ["lexical", "dense", "hybrid", "rerank"])
 def test_rerank_is_a_permutation(spark, small, mode):
     q = spark.createDataFrame([("q", "imposto alíquota")], "qid string, text string")
