@@ -47,6 +47,24 @@ def test_bm25_against_definition(spark, random_texts):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_scores_need_no_shuffle_by_query(spark, random_texts, monkeypatch):
+    """Postings are dealt by chunk once; scores leave their task in batches, over several blocks of queries too."""
+    _, chunks = corpus(spark, random_texts)
+    asked = {f"q{i}": f"t{i} t{i + 3} t{2 * i}" for i in range(9)}
+    queries = spark.createDataFrame(list(asked.items()), "qid string, text string")
+    plan = lexical.bm25_scores(chunks, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" not in plan and "hashpartitioning(slot" in plan
+    want = {(q, i): s for q, t in asked.items() for i, s in bm25(random_texts, t).items()}
+    for name, value in (("TERM_ROWS", 8), ("OUT_ROWS", 7), ("FULL_ROWS", 2)):
+        monkeypatch.setattr(lexical, name, value)
+    rows = lexical.bm25_scores(chunks, queries).collect()
+    got = {(r.qid, r.slot // chunking.SLOTS): r.score for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    best = {(r.qid, r["rank"]): r.slot // chunking.SLOTS for r in lexical.bm25_topk(chunks, queries, 2).collect()}
+    for q in asked:
+        assert [best[q, 1], best[q, 2]] == sorted((i for x, i in want if x == q), key=lambda i: (-round(want[q, i], 6), i))[:2]
+
+
 def test_statistics_agree_however_made(spark, random_texts):
     _, chunks = corpus(spark, [*random_texts, "-"])
     post = lexical.postings(chunks)
