@@ -74,11 +74,13 @@ def candidates(c: Collection, queries: DataFrame, mode: str, k: int, where: Mapp
         if allowed is not None:
             vectors = vectors.join(allowed, "doc_id", "left_semi")
         q = dense.encode(queries, c.encoder, query=True).select("qid", "v")
-        lists.append(dense.topk(vectors, q, k, keep=("doc_id",)).withColumn("source", F.lit("dense")).select(columns))
+        found = dense.topk(vectors, q, k, keep=("doc_id",)).withColumn("source", F.lit("dense")).select(columns)
+        # of two lists each is written, so that only one retriever's rows are on the disks at a time
+        lists.append(found if mode == "dense" else staged(found, "list", tidy=True))
     if mode != "dense":
         found = lexical.bm25_topk(c.chunks, queries, k, c.bm25, allowed, c.stored_postings, c.known)
         lists.append(found.withColumn("source", F.lit("lexical")).select(columns))
-    return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    return lists[0] if len(lists) == 1 else lists[0].unionByName(staged(lists[1], "list", tidy=True))
 
 
 def chunk_scores(c: Collection, queries: DataFrame, mode: str, where: Mapping[str, Any] | None = None) -> DataFrame:

@@ -173,6 +173,14 @@ def test_search_chunks_and_errors(spark, small):
         search.search(search.Collection(small.chunks, small.docs), q, mode="hybrid_rerank")
 
 
+def test_hybrid_lists_are_written_one_by_one(spark, small):
+    """What one retriever shuffles is gone before the other begins."""
+    q = spark.createDataFrame([("q", "imposto alíquota")], "qid string, text string")
+    lists = search.candidates(small, q, "hybrid", 3)
+    assert "Window" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.source, r["rank"], r.doc_id) for r in lists.where("rank = 1").collect()} <= {(s, 1, d) for s in ("dense", "lexical") for d in ("d0", "d3")}
+
+
 def test_hybrid_rerank_where_joins_shuffle(spark, small):
     """Partitions fit where no side of a join is broadcast by its size, and candidates are retrieved once."""
     q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["alíquota do imposto", "prazo", "licença", "", "xyz"])], "qid string, text string")
