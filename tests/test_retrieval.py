@@ -65,6 +65,18 @@ def test_scores_need_no_shuffle_by_query(spark, random_texts, monkeypatch):
         assert [best[q, 1], best[q, 2]] == sorted((i for x, i in want if x == q), key=lambda i: (-round(want[q, i], 6), i))[:2]
 
 
+def test_a_task_holds_numbers_of_its_postings():
+    """A posting takes a place and a weight; its document is held once for a slot."""
+    rows = [(slot, f"d{slot}", t, slot + t / 10) for slot in (7, 3, 5) for t in (2, 0, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["slot", "doc_id", "t", "w"])
+    held = lexical._Held(iter([batch.slice(0, 4), batch.slice(4), batch.slice(0, 0)]), 6)
+    assert held.slots.tolist() == [3, 5, 7] and held.docs.to_pylist() == ["d3", "d5", "d7"]
+    assert held.at.nbytes + held.weight.nbytes == 12 * len(rows)
+    hit, value = held.scores(np.array([0, 1, 4]), np.array([1.0, 1.0, 2.0]))
+    assert hit.tolist() == [0, 1, 2] and value == pytest.approx([9.8, 15.8, 21.8])
+    assert [x.tolist() for x in held.best(np.array([2]), np.array([1.0]), 1)] == [[2], [7.2]]
+
+
 def test_statistics_agree_however_made(spark, random_texts):
     _, chunks = corpus(spark, [*random_texts, "-"])
     post = lexical.postings(chunks)
