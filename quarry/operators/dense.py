@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.text import TOKEN, _folds
-from quarry.operators.lexical import DIGITS
+from quarry.operators.lexical import DIGITS, RUNS
 from quarry.session import staged
 
 #: Numbers in the block of query vectors that a pass over the vectors takes along (8 bytes each).
@@ -44,7 +44,7 @@ class _Places(dict):
         self.fold = dict(zip(map(ord, _folds()[0]), _folds()[1]))
 
     def __missing__(self, run: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > RUNS:
             self.clear()
         digest = hashlib.md5(run.lower().translate(self.fold).encode()).hexdigest()
         at = self[run] = int(digest[:4], 16) % self.dim + (0 if int(digest[4], 16) < 8 else self.dim)
@@ -251,7 +251,8 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "slot", keep
     if found is None:
         return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # shuffled here: else the planner first sorts the rows of each task to keep k of a query, which they are already
+    return found.repartition("qid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _vector_blocks(queries: DataFrame, k: int) -> Iterator[tuple[list, np.ndarray]]:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from quarry.session import staged
 
 #: Decimals at which scores are ranked, so that the order does not hang on the order of additions.
 DIGITS = 6
+#: Texts whose terms are counted at a time, and folded runs that a task remembers.
+TEXTS, RUNS = 500, 200_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +51,7 @@ def term_rows(df: DataFrame, keep: tuple[str, ...], text: str = "text", tokenize
             for run, n in Counter(runs).items():
                 term = memo.get(run)
                 if term is None:
-                    if len(memo) > 1_000_000:
+                    if len(memo) > RUNS:
                         memo.clear()
                     term = memo[run] = run.lower().translate(fold)
                 counts[term] = counts.get(term, 0) + n
@@ -59,7 +62,7 @@ def term_rows(df: DataFrame, keep: tuple[str, ...], text: str = "text", tokenize
             return Counter(found), len(found)
 
         counted = plain if tokenizer == "plain" else other
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):  # a text has a hundred rows
             sizes, terms, tfs, dls = [], [], [], []
             for t in batch.column(len(keep)).to_pylist():
                 counts, dl = counted(t or "")
@@ -142,7 +145,7 @@ def weighed_terms(stored: DataFrame, chunks: DataFrame, queries: DataFrame, know
     wanted = query_terms(queries, tokenizer)
     df = known.terms if known is not None else None
     if df is None:
-        df = stored.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        df = doc_freq(stored)  # of all terms: a join with the wanted ones would shuffle the postings, not their counts
     rows = wanted.join(df, "term")
     if known is not None:
         rows = rows.withColumn("n", F.lit(known.n)).withColumn("avgdl", F.lit(known.avgdl))
@@ -185,8 +188,8 @@ def pair_scores(chunks: DataFrame, queries: DataFrame, pairs: DataFrame, p: BM25
 
 #: Rows (query, term), and rows that are kept of a task, for which queries go along with one pass over the postings.
 TERM_ROWS, KEPT_ROWS = 500_000, 2_000_000
-#: Chunks whose postings of the queries' terms a task holds.
-TASK_CHUNKS = 50_000
+#: Chunks whose postings of the queries' terms a task holds at a time, and tokens of these: no chunk has more postings than tokens.
+HELD_CHUNKS, HELD_TOKENS = 50_000, 4_000_000
 
 
 def _query_blocks(told: DataFrame, k: int) -> Iterator[dict]:
@@ -209,13 +212,16 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, p: BM25 = BM25(), a
 
     The queries' terms go along in blocks; of several blocks, each one's result
     is written before the next is read. Postings of these terms are dealt by
-    chunk, TASK_CHUNKS to a task. For a query, a task adds up the postings of
-    its terms at the chunks that they touch, and keeps k rows, so k rows for
-    each query and task are shuffled.
+    chunk into parts of HELD_CHUNKS and HELD_TOKENS at most, of which a task
+    holds one at a time. For a query, it adds up the postings of its terms at
+    the chunks that they touch, and keeps k rows over all its parts, so k rows
+    for each query and task are shuffled.
     """
     stored = staged(postings(chunks, tokenizer=p.tokenizer), "postings") if stored is None else stored
     order = Window.partitionBy("qid").orderBy(F.round("score", DIGITS).desc(), "slot")
-    return _scored(chunks, queries, k, p, allowed, stored, known).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # shuffled here: else the planner first sorts the rows of each task to keep k of a query, which they are already
+    found = _scored(chunks, queries, k, p, allowed, stored, known).repartition("qid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _scored(chunks: DataFrame, queries: DataFrame, k: int | None, p: BM25, allowed: DataFrame | None, stored: DataFrame, known: Known | None) -> DataFrame:
@@ -227,12 +233,12 @@ def _scored(chunks: DataFrame, queries: DataFrame, k: int | None, p: BM25, allow
     told = weighed_terms(stored, chunks, queries, known, p.tokenizer)
     qid_type = to_arrow_type(queries.schema["qid"].dataType)
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, slot bigint, doc_id {stored.schema['doc_id'].dataType.simpleString()}, score double"
-    tasks = max(spark.sparkContext.defaultParallelism, -(-known.n // TASK_CHUNKS))
+    parts = max(spark.sparkContext.defaultParallelism, -(-known.n // HELD_CHUNKS), int(known.n * known.avgdl // HELD_TOKENS) + 1)
     found = None
     blocks = _query_blocks(told, k or 0)
     block = next(blocks, None)
     while block is not None:
-        part = _scored_block(spark, _allowed_only(stored, allowed), block, known.avgdl or 1.0, k, p, schema, qid_type, tasks)
+        part = _scored_block(spark, _allowed_only(stored, allowed), block, known.avgdl or 1.0, k, p, schema, qid_type, parts)
         block = next(blocks, None)
         if k is not None and (block is not None or found is not None):
             part = staged(part, "best")
@@ -245,7 +251,7 @@ FULL_ROWS = 60
 
 
 class _Held:
-    """The postings of a task by term: ``at`` are places in ``slots``, a term has
+    """The postings of a part by term: ``at`` are places in ``slots``, a term has
     those from begin[t] to begin[t + 1]. Numbers only are kept of the batches,
     and of doc_id one for each slot."""
 
@@ -287,9 +293,9 @@ class _Held:
         else:  # a term is at a chunk once
             self._score[self.at[a:b]] += idf * self.weight[a:b]
 
-    def scores(self, terms: np.ndarray, idf: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, terms: np.ndarray, idf: np.ndarray, k: int | None = None, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(places in slots, in their order; scores above 0) of a query; with k
-        those may be left out that k others are above."""
+        those may be left out that k others are above, or that are below floor."""
         own = [(i, x) for i, x in zip(terms.tolist(), idf.tolist()) if self.begin[i] < self.begin[i + 1]]
         if not own:
             return np.zeros(0, np.int64), np.zeros(0)
@@ -302,14 +308,17 @@ class _Held:
             score[hit] = 0.0
             return hit, value
         some = score[::8]
-        least = np.partition(some, len(some) - k)[len(some) - k] if k is not None and len(some) > k else 0.0  # k scores at least reach it
+        least = np.partition(some, len(some) - k)[len(some) - k] if not floor and k is not None and len(some) > k else floor  # k scores at least reach it
         hit = np.flatnonzero(score >= least - 1.1 * 10.0**-DIGITS) if least > 1e-5 else np.flatnonzero(score)
         value = score[hit]
         score[:] = 0.0
         return hit, value
 
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        hit, value = self.scores(terms, idf, k)
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        hit, value = self.scores(terms, idf, k, floor)
+        if floor:
+            keep = np.round(value, DIGITS) >= floor
+            hit, value = hit[keep], value[keep]
         if len(hit) > k:
             keep = value >= np.partition(value, len(value) - k)[len(value) - k] - 1.1 * 10.0**-DIGITS
             hit, value = hit[keep], value[keep]
@@ -317,11 +326,87 @@ class _Held:
         return hit[order], value[order]
 
 
+class _Kept:
+    """The best k of each query over the parts of a task: two numbers a row, and doc_id once for a slot."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.slot, self.score = np.zeros((queries, k), np.int64), np.zeros((queries, k))
+        self.size = np.zeros(queries, np.int64)
+        self.floor = np.zeros(queries)  # the rounded score of row k; 0: there are fewer
+        self._docs: list[tuple[np.ndarray, pa.Array]] = []
+
+    def add(self, held: _Held, asked: list[tuple]) -> None:
+        k = self.slot.shape[1]
+        used = np.zeros(len(held.slots), bool)
+        for i, (_, terms, idf) in enumerate(asked):
+            hit, value = held.best(terms, idf, k, self.floor[i])
+            if not len(hit):
+                continue
+            used[hit] = True
+            slot, n = held.slots[hit], self.size[i]
+            if n:
+                slot, value = np.concatenate([self.slot[i, :n], slot]), np.concatenate([self.score[i, :n], value])
+                order = np.lexsort((slot, -np.round(value, DIGITS)))[:k]
+                slot, value = slot[order], value[order]
+            n = self.size[i] = len(slot)
+            self.slot[i, :n], self.score[i, :n] = slot, value
+            if n == k:
+                self.floor[i] = np.round(value[-1], DIGITS)
+        at = np.flatnonzero(used)
+        self._docs.append((held.slots[at], held.docs.take(pa.array(at))))
+
+    def rows(self) -> tuple[np.ndarray, pa.Array]:
+        """(slots in order, their doc_id) of all that may be kept."""
+        slots = np.concatenate([s for s, _ in self._docs])
+        order = np.argsort(slots)
+        return slots[order], pa.chunked_array([d for _, d in self._docs]).combine_chunks().take(pa.array(order))
+
+
 #: Rows of scores that leave a task at a time.
 OUT_ROWS = 50_000
 
 
-def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int | None, p: BM25, schema: str, qid_type: pa.DataType, tasks: int) -> DataFrame:
+def _leaving(found: Iterator[tuple], slots: np.ndarray, docs: pa.Array, qid_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """found: (qid, places in slots and docs, scores); a query with very many rows leaves in several batches."""
+
+    def batch(own: list[tuple]) -> Iterator[pa.RecordBatch]:
+        qids = pa.array([q for q, _, _ in own], qid_type)
+        query = np.repeat(np.arange(len(own)), [len(h) for _, h, _ in own])
+        hit, value = np.concatenate([h for _, h, _ in own]), np.concatenate([v for _, _, v in own])
+        for i in range(0, len(hit), OUT_ROWS):
+            at = hit[i : i + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(query[i : i + OUT_ROWS])), pa.array(slots[at]), docs.take(pa.array(at)), pa.array(value[i : i + OUT_ROWS])], ["qid", "slot", "doc_id", "score"])
+
+    own, size = [], 0
+    for one in found:
+        if len(one[1]):
+            own.append(one)
+            size += len(one[1])
+        if size >= OUT_ROWS:
+            yield from batch(own)
+            own, size = [], 0
+    if own:
+        yield from batch(own)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of each part; the parts come one after the other, the last column is their number."""
+
+    def pieces() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            part = b.column(b.num_columns - 1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            yield from ((int(part[i]), b.slice(i, j - i)) for i, j in zip(cuts, cuts[1:]) if i < j)
+
+    seen: set[int] = set()
+    for part, own in groupby(pieces(), lambda x: x[0]):
+        if part in seen:
+            raise ValueError("the rows of a part do not come together")
+        seen.add(part)
+        yield (b for _, b in own)
+
+
+def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int | None, p: BM25, schema: str, qid_type: pa.DataType, parts: int) -> DataFrame:
     terms = sorted({t for own in block.values() for t, _ in own})
     number = {t: i for i, t in enumerate(terms)}
     asked = [(qid, np.array([number[t] for t, _ in own], np.int64), np.array([x for _, x in own])) for qid, own in block.items()]
@@ -329,34 +414,25 @@ def _scored_block(spark, stored: DataFrame, block: dict, avgdl: float, k: int |
     ids = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "_term": pa.array(range(len(terms)), pa.int32())}))
     # dealt by chunk; the numbers of the terms, no more than TERM_ROWS, replace their texts before the shuffle
     weight = F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / avgdl))
-    rows = stored.join(F.broadcast(ids), "term").select("slot", "doc_id", F.col("_term").alias("t"), weight.alias("w")).repartition(tasks, "slot")
+    rows = stored.join(F.broadcast(ids), "term").select("slot", "doc_id", F.col("_term").alias("t"), weight.alias("w")).repartition(parts, "slot").withColumn("_part", F.spark_partition_id())
+    if k is not None:  # a task takes several parts, one by one, and keeps k rows of all
+        rows = rows.coalesce(spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, n_terms = told.value
-        held = _Held(batches, n_terms)
-        if not len(held.slots):
-            return
-
-        def batch(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            """The rows of some queries; a query with very many leaves in several batches."""
-            qids = pa.array([q for q, _, _ in found], qid_type)
-            query = np.repeat(np.arange(len(found)), [len(h) for _, h, _ in found])
-            hit, value = np.concatenate([h for _, h, _ in found]), np.concatenate([v for _, _, v in found])
-            for i in range(0, len(hit), OUT_ROWS):
-                at = hit[i : i + OUT_ROWS]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(query[i : i + OUT_ROWS])), pa.array(held.slots[at]), held.docs.take(pa.array(at)), pa.array(value[i : i + OUT_ROWS])], ["qid", "slot", "doc_id", "score"])
-
-        found, size = [], 0
-        for qid, own, idf in asked:
-            hit, value = held.scores(own, idf) if k is None else held.best(own, idf, k)
-            if len(hit):
-                found.append((qid, hit, value))
-                size += len(hit)
-            if size >= OUT_ROWS:
-                yield from batch(found)
-                found, size = [], 0
-        if found:
-            yield from batch(found)
+        kept = None
+        for own in _by_part(batches):
+            held = _Held(own, n_terms)
+            if k is None:
+                yield from _leaving(((qid, *held.scores(terms, idf)) for qid, terms, idf in asked), held.slots, held.docs, qid_type)
+            else:
+                kept = kept or _Kept(len(asked), k)
+                kept.add(held, asked)
+            del held  # before the next one is made
+        if kept is not None:
+            slots, docs = kept.rows()
+            found = ((asked[i][0], np.searchsorted(slots, kept.slot[i, :n]), kept.score[i, :n]) for i, n in enumerate(kept.size.tolist()))
+            yield from _leaving(found, slots, docs, qid_type)
 
     return rows.mapInArrow(run, schema)
 

@@ -77,6 +77,53 @@ def test_a_task_holds_numbers_of_its_postings():
     assert [x.tolist() for x in held.best(np.array([2]), np.array([1.0]), 1)] == [[2], [7.2]]
 
 
+def test_a_task_holds_one_part_at_a_time(spark, random_texts, monkeypatch):
+    """Parts have no more tokens than HELD_TOKENS; a task takes several and keeps k rows of a query over all of them."""
+    _, chunks = corpus(spark, random_texts)
+    asked = {f"q{i}": f"t{i} t{i + 3} t{2 * i}" for i in range(9)}
+    queries = spark.createDataFrame(list(asked.items()), "qid string, text string")
+    monkeypatch.setattr(lexical, "HELD_TOKENS", 60)
+    cores = spark.sparkContext.defaultParallelism
+    tokens = sum(len(t.split()) for t in random_texts)
+    best = lexical.bm25_topk(chunks, queries, 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(slot#\d+L?, {tokens // 60 + 1}\)", plan) and f"Coalesce {cores}" in plan
+    got = {(r.qid, r["rank"]): r.slot // chunking.SLOTS for r in best.collect()}
+    for q, t in asked.items():
+        want = bm25(random_texts, t)
+        assert [got.get((q, i)) for i in (1, 2, 3)] == (sorted(want, key=lambda i: (-round(want[i], 6), i)) + [None] * 3)[:3]
+    assert lexical._scored(chunks, queries, 3, lexical.BM25(), None, lexical.postings(chunks), None).count() <= cores * 3 * len(asked)
+
+
+def test_parts_are_merged_with_ties_by_slot():
+    """A later part's row of an equal score and a smaller slot goes first; rows below the floor are left."""
+    rows = [(9, "d9", 0, 2.0, 4), (4, "d4", 0, 1.0, 4), (8, "d8", 0, 2.0, 4), (2, "d2", 0, 2.0, 7), (1, "d1", 0, 0.5, 7), (5, "d5", 1, 3.0, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["slot", "doc_id", "t", "w", "_part"])
+    parts = [[b.column(0).to_pylist() for b in own] for own in lexical._by_part(iter([batch.slice(0, 2), batch.slice(2), batch.slice(0, 0)]))]
+    assert parts == [[[9, 4], [8]], [[2, 1]], [[5]]]
+    asked = [("a", np.array([0]), np.array([1.0])), ("b", np.array([1]), np.array([2.0]))]
+    kept = lexical._Kept(2, 2)
+    for own in lexical._by_part(iter([batch])):
+        kept.add(lexical._Held(own, 2), asked)
+    slots, docs = kept.rows()
+    assert kept.slot[0].tolist() == [2, 8] and kept.size.tolist() == [2, 1] and kept.floor.tolist() == [2.0, 0.0]
+    assert dict(zip(slots.tolist(), docs.to_pylist())) == {2: "d2", 5: "d5", 8: "d8", 9: "d9"}
+    with pytest.raises(ValueError):
+        list(map(list, lexical._by_part(iter([batch, batch]))))
+
+
+def test_terms_of_many_texts_and_their_counts(spark):
+    """Texts are counted some at a time; of postings only their counts are shuffled."""
+    n = 2 * lexical.TEXTS + 7
+    chunks = spark.range(n, numPartitions=1).selectExpr("id as slot", "cast(id as string) as doc_id", "concat('a a x', id % 5) as text")
+    rows = lexical.term_rows(chunks, ("slot",)).collect()
+    assert {(r.slot, r.term, r.tf, r.dl) for r in rows} == {x for i in range(n) for x in ((i, "a", 2, 3), (i, f"x{i % 5}", 1, 3))} and len(rows) == 2 * n
+    told = lexical.weighed_terms(lexical.postings(chunks), chunks, spark.createDataFrame([("q", "a x1 zz")], "qid string, text string"))
+    assert "LeftSemi" not in told._jdf.queryExecution().optimizedPlan().toString()
+    df = {"a": n, "x1": len(range(1, n, 5))}
+    assert {r.term: r.idf for r in told.collect()} == pytest.approx({t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()})
+
+
 def test_statistics_agree_however_made(spark, random_texts):
     _, chunks = corpus(spark, [*random_texts, "-"])
     post = lexical.postings(chunks)
